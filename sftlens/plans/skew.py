@@ -95,18 +95,18 @@ def number_rows(
     ranged = (
         df.repartitionByRange(parts, key, *order)
         .sortWithinPartitions(key, *order)
-        .withColumn("__at", F.monotonically_increasing_id())
-        .withColumn("__chunk", F.shiftright("__at", 33))
+        .withColumn("__part_pos", F.monotonically_increasing_id())
+        .withColumn("__chunk", F.shiftright("__part_pos", 33))
         .checkpoint()
     )
     before = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(key, "__chunk")
-        .agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+        .agg(F.min("__part_pos").alias("__part_first"), F.count(F.lit(1)).alias("__rows"))
         .select(
             key,
             "__chunk",
-            (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
+            (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__part_first")).alias("__shift"),
         )
     )
     # One row per partition plus one more wherever a new key starts inside one.
@@ -114,8 +114,8 @@ def number_rows(
         offsets = F.broadcast(offsets)
     return (
         join_keys(ranged, offsets, [key, "__chunk"], "inner")
-        .withColumn(out, F.col("__at") + F.col("__shift") + 1)
-        .drop("__at", "__chunk", "__shift")
+        .withColumn(out, F.col("__part_pos") + F.col("__shift") + 1)
+        .drop("__part_pos", "__chunk", "__shift")
     )
 
 
