@@ -228,3 +228,25 @@ def running_by_segment(
     ).drop("__whole")
     joined = join_keys(df.withColumn("__local", local), summary, [key, "__seg"], "inner")
     return joined.withColumn(out, merged).drop("__seg", "__local", "__earlier")
+
+
+def lag_columns(
+    df: DataFrame,
+    key: str,
+    order: list[str],
+    columns: dict[str, str],
+    max_rows: int = MAX_ROWS_PER_KEY,
+) -> DataFrame:
+    """Add the previous row's values (``out name -> column``) within each key."""
+    split = split_hot(df, key, max_rows)
+
+    def lagged(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*by)
+        return rows.withColumns({out: F.lag(c).over(w) for out, c in columns.items()})
+
+    usual = lagged(split.usual, [key], order)
+    if split.hot is None:
+        return usual
+    hot = number_rows(split.hot, key, order, split.hot_rows, split.hot_keys, max_rows, "__no")
+    hot = lagged(segment_rows(hot, "__no", max_rows, 1), [key, "seg"], ["__no"])
+    return usual.unionByName(hot.where("owned").drop("__no", "seg", "owned"))
