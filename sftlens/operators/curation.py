@@ -77,6 +77,15 @@ def missing_required_columns(
     return [c for c in wanted if c not in columns]
 
 
+def missing_columns_of(
+    columns: Column, fmt: str, mapping: dict[str, str] | None = None
+) -> Column:
+    """B2 over a catalog: the required columns missing from an array of column names."""
+    mapping = mapping or {}
+    wanted = [F.lit(mapping.get(c, c)) for c in REQUIRED_COLUMNS.get(fmt, [])]
+    return F.array_except(F.array(*wanted).cast("array<string>"), columns)
+
+
 def apply_mapping(df: DataFrame, mapping: dict[str, str] | None) -> DataFrame:
     """Rename physical columns to the logical names the operators use."""
     renames = {}
@@ -157,10 +166,15 @@ def validate_dataset(
             raise ValueError("sampling needs an order and a single dataset")
         first = renamed.orderBy(*order).limit(sample_rows)
         sampled = first.agg(
-            F.count_if(empty).alias("__empty"), F.count(F.lit(1)).alias("__checked")
+            F.lit(0).cast("long").alias("num_rows"),
+            F.count_if(empty).alias("__empty"),
+            F.count(F.lit(1)).alias("__checked"),
+        )
+        unsampled = F.lit(0).cast("long")
+        counted = renamed.agg(total, unsampled.alias("__empty"), unsampled.alias("__checked"))
+        counts = counted.unionByName(sampled).agg(
+            *[F.max(c).alias(c) for c in ("num_rows", "__empty", "__checked")]
         )
-        # One row each: joining them has nothing to multiply.
-        counts = renamed.agg(total).join(F.broadcast(sampled))
     label = F.col(by) if by else F.lit(source)
     report = counts.select(
         label.alias("source"),
