@@ -1,10 +1,10 @@
 from sftlens.catalog import (  # noqa: F401  (registering)
     curation,
     evaluation,
-    # sessions,
-    # streams,
+    sessions,
+    streams,
     telemetry,
-    # transcripts,
+    transcripts,
 )
 from sftlens.catalog.registry import ORACLES, QUERIES
 

@@ -173,14 +173,14 @@ sessions AS (
               ELSE 'completed' END AS status,
          strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS updated_at,
          1 + o_orderkey % 4 AS current_round,
-         CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_totalprice / 100000 END AS latest_loss
+         CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_totalprice / 99991 END AS latest_loss
   FROM orders)"""
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session documents out of orders (without their lists)."""
     key, status = F.col("o_orderkey"), F.col("o_orderstatus")
-    loss = F.when(key % 6 != 0, F.col("o_totalprice") / 100000)
+    loss = F.when(key % 6 != 0, F.col("o_totalprice") / 99991)
     return table(spark, sf_dir, "orders").select(
         key.cast("string").alias("session_id"),
         key.alias("o_orderkey"),
@@ -199,7 +199,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("last_checkpoint_path"),
         F.struct(
             (key % 1000).alias("current_step"),
-            (key % 7 * 500).alias("total_steps"),
+            (key % 7 * 487).alias("total_steps"),
             (F.col("o_totalprice") / 7000).alias("current_epoch"),
             (F.col("o_totalprice") / 10).alias("elapsed_seconds"),
             F.when(key % 3 != 0, F.col("o_totalprice") / 20).alias("estimated_remaining_seconds"),
