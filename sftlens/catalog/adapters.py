@@ -200,8 +200,8 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(
             (key % 1000).alias("current_step"),
             (key % 7 * 487).alias("total_steps"),
-            (F.col("o_totalprice") / 7000).alias("current_epoch"),
-            (F.col("o_totalprice") / 10).alias("elapsed_seconds"),
+            (F.col("o_totalprice") / 6997).alias("current_epoch"),
+            (F.col("o_totalprice") / 10.007).alias("elapsed_seconds"),
             F.when(key % 3 != 0, F.col("o_totalprice") / 20).alias("estimated_remaining_seconds"),
         ).alias("training_progress"),
         F.struct(

@@ -55,7 +55,10 @@ DELTA_SQL = "WITH" + JUDGE_SQL + """
 
 @query("eval_rounds_delta", DELTA_SQL)
 def eval_rounds_delta(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.compare_rounds(evals(spark, sf), "eval_id", ("round_num",))
+    scored = judge(spark, sf)
+    return evaluation.compare_rounds(
+        evals(spark, sf), "eval_id", ("round_num",), sizes_from=scored
+    )
 
 
 @query("eval_rounds_delta_segmented", DELTA_SQL)
@@ -96,8 +99,8 @@ def score_band(spark: SparkSession, sf: str) -> DataFrame:
 REPLIES_SQL = """,
 expected AS (
   SELECT doc_id, CASE
-      WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 17 = 0 THEN 'neutral'
-      WHEN doc_id % 19 = 0 THEN 'none' ELSE 'good' END AS kind, *
+      WHEN doc_id % 17 = 0 THEN 'neutral' WHEN doc_id % 19 = 0 THEN 'none'
+      WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'neutral' ELSE 'good' END AS kind, *
   FROM judge)"""
 
 

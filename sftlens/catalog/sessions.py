@@ -120,7 +120,7 @@ def history_rows(spark: SparkSession, sf: str) -> DataFrame:
     e AS (SELECT session_id, string_agg(round_num || ':' || printf('%.2f', avg_score) || ':' || passed,
                                         ' ' ORDER BY ts, round_num, avg_score) AS evals FROM evals GROUP BY 1)
     SELECT session_id, status, project_name AS project, o_orderkey % 1000 AS step,
-           round(o_totalprice / 7000, 3) AS epoch, round(o_totalprice / 10 / 60, 1) AS elapsed_min,
+           round(o_totalprice / 6997, 3) AS epoch, round(o_totalprice / 10.007::DOUBLE / 60, 1) AS elapsed_min,
            coalesce(decisions, '') AS decisions, coalesce(evals, '') AS evals
     FROM sessions JOIN orders USING (o_orderkey) LEFT JOIN d USING (session_id) LEFT JOIN e USING (session_id)""",
 )
@@ -166,7 +166,7 @@ def latest_decisions(spark: SparkSession, sf: str) -> DataFrame:
     "WITH" + SESSIONS_SQL + """
     SELECT session_id, status, step, total_steps,
            CASE WHEN total_steps > 0 THEN round(step / total_steps * 100, 1) ELSE 0.0 END AS progress_pct,
-           round(o_totalprice / 7000, 3) AS epoch, round(o_totalprice / 10 / 60, 1) AS elapsed_min,
+           round(o_totalprice / 6997, 3) AS epoch, round(o_totalprice / 10.007::DOUBLE / 60, 1) AS elapsed_min,
            CASE WHEN o_orderkey % 3 <> 0 THEN round(o_totalprice / 20 / 60, 1) END
              AS estimated_remaining_min,
            latest_loss, latest_loss AS best_loss, 'decreasing' AS trend,
@@ -334,8 +334,8 @@ def agent_context(spark: SparkSession, sf: str) -> DataFrame:
         "session_id", F.lit("2024-01-01T00:00:00").alias("ts"), "seq", "trigger",
         F.lit("No actions taken").alias("action"),
     )
-    evals = triggers.select(
-        "session_id", F.col("seq").alias("ts"), F.lit(1).alias("round_num"),
+    evals = states.select(
+        "session_id", F.lit(1).alias("ts"), F.lit(1).alias("round_num"),
         F.lit(3.0).alias("avg_score"), F.lit(True).alias("passed"),
     )
     note = F.to_json(F.struct(F.concat(F.lit("step "), F.col("seq").cast("string")).alias("v")))

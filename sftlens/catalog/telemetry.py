@@ -29,7 +29,7 @@ RULES = telemetry.Rules(
     trend_band=0.05,
 )
 # Small enough that every run of the given tables is processed in segments.
-SEGMENT = 300
+SEGMENT = 1000
 
 LABELS_SQL = """,
 f AS (
@@ -240,7 +240,7 @@ FROM a JOIN walk ON a.run_id = walk.run_id AND a.i = walk.i"""
 
 def throttled(points: DataFrame, **options) -> DataFrame:
     triggers = alerts.anomaly_triggers(labels(points))
-    out = alerts.debounce_alerts(triggers, GAP_HOURS * 3600, **options)
+    out = alerts.debounce_alerts(triggers, GAP_HOURS * 3600, sizes_from=points, **options)
     return out.select("run_id", F.col("seq").alias("step"), "trigger", "passed")
 
 

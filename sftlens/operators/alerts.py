@@ -229,6 +229,7 @@ def debounce_alerts(
     seq: tuple[str, ...] = ("seq",),
     critical: Column | None = None,
     max_rows: int = MAX_ROWS_PER_KEY,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``passed``. A trigger passes if it is critical, the first of its run, or
     at least ``gap_seconds`` after the last one that passed; every pass resets the clock.
@@ -237,7 +238,8 @@ def debounce_alerts(
     than ``max_rows`` triggers are cut into segments that are solved side by side: each
     segment first reports how its last pass depends on its first one, a short chain over
     those reports yields the state every segment starts in, and the segments are then
-    walked independently.
+    walked independently. ``sizes_from`` is a table with at least as many rows per run
+    that is cheaper to count than ``triggers``, such as the metric points.
     """
     if "critical" not in triggers.columns:
         if critical is None:
@@ -249,7 +251,7 @@ def debounce_alerts(
     order = ["__at", *seq]
     schema = T.StructType([*df.schema.fields, T.StructField("passed", T.BooleanType())])
 
-    split = split_hot(df, key, max_rows)
+    split = split_hot(df, key, max_rows, sizes_from)
     out = (
         split.usual.repartition(key)
         .sortWithinPartitions(key, *order)

@@ -11,6 +11,7 @@ from sftlens.plans.skew import (
     collect_ordered,
     join_keys,
     lag_columns,
+    last_rows,
     with_row_numbers,
 )
 
@@ -258,10 +259,17 @@ def compare_rounds(
     key: str = "session_id",
     order: tuple[str, ...] = ("timestamp", "round_num"),
     max_rows: int = MAX_ROWS_PER_KEY,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Every evaluation against the one before it in its session."""
-    before = {"previous_round": "round_num", "previous_score": "avg_score"}
-    evals = lag_columns(evals, key, list(order), before, max_rows)
+    evals = lag_columns(evals, key, list(order), PREVIOUS, max_rows, sizes_from)
+    return _deltas(evals, key)
+
+
+PREVIOUS = {"previous_round": "round_num", "previous_score": "avg_score"}
+
+
+def _deltas(evals: DataFrame, key: str) -> DataFrame:
     delta = F.round(F.col("avg_score") - F.col("previous_score"), 2)
     return evals.where(F.col("previous_score").isNotNull()).select(
         key,
@@ -283,9 +291,10 @@ def compare_with_previous(
 
     Two rows per session survive the map side, however many evaluations it has.
     """
-    newest = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    last_two = evals.withColumn("__rank", F.row_number().over(newest)).where("__rank <= 2")
-    return compare_rounds(last_two.drop("__rank"), key, order)
+    last_two = last_rows(evals, key, list(order), 2, "__rank")
+    w = Window.partitionBy(key).orderBy(F.col("__rank").desc())
+    pairs = last_two.withColumns({out: F.lag(c).over(w) for out, c in PREVIOUS.items()})
+    return _deltas(pairs, key)
 
 
 def stars(score: Column) -> Column:

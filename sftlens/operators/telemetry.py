@@ -56,14 +56,12 @@ def spike_rule(df: DataFrame, keys: list[str], order: list[str], rules: Rules) -
     prior = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(rules.window - 1), -1)
     df = df.withColumn("__lf", finite(F.col("loss")))
     # A frame holding a NaN or an infinity compares false everywhere, hence the count of
-    # finite values must equal the frame length.
-    mean = F.avg("__lf").over(prior)
-    complete = F.count("__lf").over(prior) == rules.window - 1
+    # finite values must equal the frame length. Frames are columns of their own, because
+    # Spark would evaluate one for every mention.
+    df = df.withColumns({"__mean": F.avg("__lf").over(prior), "__seen": F.count("__lf").over(prior)})
+    high = (F.col("__mean") > 0) & (F.col("__lf") > rules.spike_factor * F.col("__mean"))
     return df.withColumn(
-        "spike",
-        F.coalesce(
-            complete & (mean > 0) & (F.col("__lf") > rules.spike_factor * mean), F.lit(False)
-        ),
+        "spike", F.coalesce((F.col("__seen") == rules.window - 1) & high, F.lit(False))
     )
 
 
@@ -106,13 +104,10 @@ def grad_rule(df: DataFrame, keys: list[str], order: list[str], rules: Rules) ->
         .rowsBetween(-(rules.window - 1), -1)
     )
     gf = finite(g)
-    mean = F.avg(gf).over(prior)
-    complete = F.count(gf).over(prior) == rules.window - 1
+    df = df.withColumns({"__mean": F.avg(gf).over(prior), "__seen": F.count(gf).over(prior)})
+    high = ~F.isnan(g) & (F.col("__mean") > 0) & (g > rules.grad_factor * F.col("__mean"))
     return df.withColumn(
-        "grad_spike",
-        F.coalesce(
-            ~F.isnan(g) & complete & (mean > 0) & (g > rules.grad_factor * mean), F.lit(False)
-        ),
+        "grad_spike", F.coalesce((F.col("__seen") == rules.window - 1) & high, F.lit(False))
     )
 
 

@@ -20,6 +20,8 @@ from sftlens.session import ensure_checkpoint_dir
 
 # Rows of one key that a single task may hold.
 MAX_ROWS_PER_KEY = 1_000_000
+# Range partitions are not made smaller than this.
+MIN_ROWS_PER_PARTITION = 10_000
 # A side with at most this many rows (a key and a few numbers each) may be broadcast.
 MAX_BROADCAST_ROWS = 100_000
 
@@ -45,10 +47,20 @@ class KeySplit:
     hot_rows: int
 
 
-def split_hot(df: DataFrame, key: str, max_rows: int = MAX_ROWS_PER_KEY) -> KeySplit:
-    """Separate the keys with more than ``max_rows`` rows."""
+def split_hot(
+    df: DataFrame,
+    key: str,
+    max_rows: int = MAX_ROWS_PER_KEY,
+    sizes_from: DataFrame | None = None,
+) -> KeySplit:
+    """Separate the keys with more than ``max_rows`` rows.
+
+    ``sizes_from`` may name a table with at least as many rows per key that is cheaper to
+    count, for instance the table ``df`` was filtered from.
+    """
+    counted = df if sizes_from is None else sizes_from
     oversized = (
-        df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_rows)
+        counted.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_rows)
     )
     # At most MAX_BROADCAST_ROWS + 1 key values reach the driver, whatever the table's size.
     head = oversized.limit(MAX_BROADCAST_ROWS + 1).collect()
@@ -89,8 +101,9 @@ def number_rows(
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    per_part = max(max_rows, MIN_ROWS_PER_PARTITION)
     parts = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total_rows / max_rows)
+        int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total_rows / per_part)
     )
     ranged = (
         df.repartitionByRange(parts, key, *order)
@@ -147,9 +160,10 @@ def with_row_numbers(
     order: list[str],
     out: str = "row_no",
     max_rows: int = MAX_ROWS_PER_KEY,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Gap-free row numbers per key: a window for ordinary keys, ``number_rows`` for hot ones."""
-    split = split_hot(df, key, max_rows)
+    split = split_hot(df, key, max_rows, sizes_from)
     numbered = split.usual.withColumn(
         out, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long")
     )
@@ -159,14 +173,32 @@ def with_row_numbers(
     return numbered.unionByName(hot)
 
 
-def last_rows(df: DataFrame, key: str, order: list[str], n: int, rank: str) -> DataFrame:
+def last_rows(
+    df: DataFrame,
+    key: str,
+    order: list[str],
+    n: int,
+    rank: str,
+    max_rows: int = MAX_ROWS_PER_KEY,
+) -> DataFrame:
     """The newest ``n`` rows of every key, ``rank`` 1 being the newest.
 
     The filter on the rank lets Spark cut each map task's output to ``n`` rows per key
-    before the shuffle (window group limit), so a hot key costs no more than others.
+    before the shuffle (window group limit), so a hot key costs no more than others. Spark
+    does that up to a configured ``n``; beyond it, oversized keys are numbered instead.
     """
     newest_first = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn(rank, F.row_number().over(newest_first)).where(F.col(rank) <= n)
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    split = KeySplit(df, None, 0, 0) if n <= limit else split_hot(df, key, max_rows)
+    ranked = split.usual.withColumn(rank, F.row_number().over(newest_first))
+    ranked = ranked.where(F.col(rank) <= n)
+    if split.hot is None:
+        return ranked
+    hot = number_rows(split.hot, key, order, split.hot_rows, split.hot_keys, max_rows, "__no")
+    sizes = hot.groupBy(key).agg(F.max("__no").alias("__size"))
+    hot = join_keys(hot, sizes, [key], "inner")
+    hot = hot.withColumn(rank, (F.col("__size") - F.col("__no") + 1).cast("int"))
+    return ranked.unionByName(hot.where(F.col(rank) <= n).drop("__no", "__size"))
 
 
 def collect_ordered(
@@ -176,13 +208,14 @@ def collect_ordered(
     item: Column,
     out: str,
     max_items: int,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Gather the items of each key into ordered arrays of at most ``max_items``.
 
     A key with more rows becomes several rows, numbered by ``part``; reading the parts in
     order gives the whole sequence, so no key can overflow a task or a row.
     """
-    split = split_hot(df, key, max_items)
+    split = split_hot(df, key, max_items, sizes_from)
 
     def gather(rows: DataFrame, keys: list[str]) -> DataFrame:
         packed = F.sort_array(F.collect_list(F.struct(*order, item.alias("__item"))))
@@ -236,9 +269,10 @@ def lag_columns(
     order: list[str],
     columns: dict[str, str],
     max_rows: int = MAX_ROWS_PER_KEY,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add the previous row's values (``out name -> column``) within each key."""
-    split = split_hot(df, key, max_rows)
+    split = split_hot(df, key, max_rows, sizes_from)
 
     def lagged(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy(*by)
