@@ -18,7 +18,6 @@ from sftlens.catalog.registry import query
 from sftlens.catalog.telemetry import CLEAN, RULES, labels
 from sftlens.operators import sessions as S
 from sftlens.operators import telemetry
-from sftlens.plans.skew import collect_ordered
 
 # Line items stand for the evaluations and decisions of their order.
 EVENTS_SQL = """,
@@ -101,12 +100,10 @@ def resumable_by_project(spark: SparkSession, sf: str) -> DataFrame:
     FROM sessions LEFT JOIN last USING (session_id)""",
 )
 def history_rows(spark: SparkSession, sf: str) -> DataFrame:
-    item = F.struct("round_num", "avg_score")
-    rounds = collect_ordered(
-        session_evals(spark, sf), "session_id", ["ts", "round_num"], item, "eval_results", 10_000
+    rows = S.history_rows(
+        sessions(spark, sf), session_evals(spark, sf), ("ts", "round_num", "avg_score")
     )
-    states = sessions(spark, sf).join(rounds.drop("part"), "session_id", "left")
-    return S.history_rows(states).drop("model", "dataset", "output_dir", "checkpoint")
+    return rows.drop("model", "dataset", "output_dir", "checkpoint")
 
 
 @query(

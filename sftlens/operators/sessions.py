@@ -58,15 +58,29 @@ def resumable_by_project(states: DataFrame, project: str = "project_name") -> Da
     )
 
 
-def history_rows(states: DataFrame) -> DataFrame:
-    """One line per session; the score is that of its last evaluation."""
+def history_rows(
+    states: DataFrame,
+    evals: DataFrame | None = None,
+    order: tuple[str, ...] = ("ts", "round_num"),
+    key: str = "session_id",
+) -> DataFrame:
+    """One line per session; the score is that of its last evaluation.
+
+    Evaluations come from the ``eval_results`` of the documents, or from a table
+    (session, order columns, avg_score), of which one row per session and task is shuffled.
+    """
+    if evals is not None:
+        last = evals.groupBy(key).agg(F.max_by("avg_score", F.struct(*order)).alias("__score"))
+        states = join_keys(states, last, [key], "left")
+        score = F.col("__score")
+    else:
+        score = F.try_element_at("eval_results", F.lit(-1))["avg_score"]
     status = F.coalesce("status", F.lit("?"))
     label = reduce(
         lambda c, kv: c.when(status == kv[0], kv[1]),
         STATUS_LABELS.items(),
         F.when(F.lit(False), F.lit("")),
     ).otherwise(status)
-    score = F.try_element_at("eval_results", F.lit(-1))["avg_score"]
     return states.select(
         "session_id",
         F.coalesce("project_name", F.lit("unknown")).alias("project"),
