@@ -2,6 +2,7 @@ from sftlens.catalog import (  # noqa: F401  (registering)
     curation,
     evaluation,
     sessions,
+    sources,
     streams,
     telemetry,
     transcripts,

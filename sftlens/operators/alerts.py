@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,28 +124,37 @@ def _passes(at: np.ndarray, critical: np.ndarray, gap: int, last: int | None) ->
 def _throttle_sorted(key: str, gap: int):
     """Pass over sorted partitions; a run may continue in the next Arrow batch."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, last, started = None, None, False
-        for pdf in batches:
-            keep = np.zeros(len(pdf), dtype=bool)
-            codes = pd.factorize(pdf[key], use_na_sentinel=False)[0]
-            cuts = np.flatnonzero(np.diff(codes)) + 1
-            edges = [0, *cuts.tolist(), len(pdf)] if len(pdf) else [0]
-            at, critical = pdf["__at"].to_numpy(), pdf["critical"].to_numpy(dtype=bool)
-            for a, b in zip(edges[:-1], edges[1:]):
-                value = pdf[key].iloc[a]
-                value = None if pd.isna(value) else value
+        for batch in batches:
+            at, critical = _clock(batch)
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            stretches = pc.run_end_encode(batch.column(key))
+            start = 0
+            for end, value in zip(stretches.run_ends.to_pylist(), stretches.values.to_pylist()):
                 if not started or value != current:
                     current, last, started = value, None, True
-                keep[a:b] = _passes(at[a:b], critical[a:b], gap, last)
-                hits = np.flatnonzero(keep[a:b])
+                keep[start:end] = _passes(at[start:end], critical[start:end], gap, last)
+                hits = np.flatnonzero(keep[start:end])
                 if len(hits):
-                    last = int(at[a + hits[-1]])
-            yield pdf.assign(passed=keep)
+                    last = int(at[start + hits[-1]])
+                start = end
+            yield _with_passed(batch, keep)
 
     return run
 
 
+def _clock(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    at, critical = rows.column("__at"), rows.column("critical")
+    return at.to_numpy(zero_copy_only=False), critical.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _with_passed(rows, keep: np.ndarray):
+    return type(rows).from_arrays(
+        [*rows.columns, pa.array(keep)], names=[*rows.schema.names, "passed"]
+    )
+
+
 def _segment_exits(key: str, gap: int):
     """Per segment: time of its last pass, as a step function of its first pass."""
 
@@ -209,14 +220,10 @@ def _chain_segments(key: str, gap: int):
 
 
 def _throttle_group(gap: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__no", kind="stable")
-        entered = pdf["entered"].iloc[0]
-        last = None if pd.isna(entered) else int(entered)
-        keep = _passes(
-            pdf["__at"].to_numpy(), pdf["critical"].to_numpy(dtype=bool), gap, last
-        )
-        return pdf.assign(passed=keep)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("__no").combine_chunks()
+        at, critical = _clock(rows)
+        return _with_passed(rows, _passes(at, critical, gap, rows.column("entered")[0].as_py()))
 
     return run
 
@@ -255,7 +262,7 @@ def debounce_alerts(
     out = (
         split.usual.repartition(key)
         .sortWithinPartitions(key, *order)
-        .mapInPandas(_throttle_sorted(key, gap), schema)
+        .mapInArrow(_throttle_sorted(key, gap), schema)
         .select(*columns, "passed")
     )
     if split.hot is None:
@@ -264,9 +271,10 @@ def debounce_alerts(
     numbered = number_rows(
         split.hot, key, order, split.hot_rows, split.hot_keys, max_rows, "__no"
     ).withColumn("seg", F.floor((F.col("__no") - 1) / F.lit(max_rows)).cast("long"))
+    clock = numbered.select(key, "seg", "__no", "__at", "critical")
     key_field = T.StructField(key, df.schema[key].dataType)
     long = T.LongType()
-    steps = numbered.groupBy(key, "seg").applyInPandas(
+    steps = clock.groupBy(key, "seg").applyInPandas(
         _segment_exits(key, gap),
         T.StructType([
             key_field,
@@ -284,7 +292,7 @@ def debounce_alerts(
         )
     )
     hot = join_keys(numbered, states, [key, "seg"], "inner")
-    walked = hot.groupBy(key, "seg").applyInPandas(
+    walked = hot.groupBy(key, "seg").applyInArrow(
         _throttle_group(gap),
         T.StructType([*hot.schema.fields, T.StructField("passed", T.BooleanType())]),
     )

@@ -34,7 +34,7 @@ SMALL_DATASET_ISSUE = (
 SMALL_DATASET_ROWS = 10
 
 # Turns of one conversation that go into one row.
-MAX_TURNS_PER_ROW = 10_000
+MAX_TURNS_PER_ROW = 1_000
 
 
 # --- format and columns ---------------------------------------------------------------

@@ -15,7 +15,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sftlens.functions.numeric import finite, full_window_slope, is_finite, is_infinite, trailing_sums
+from sftlens.functions.numeric import (
+    finite,
+    full_window_slope,
+    is_finite,
+    is_infinite,
+    linear_slope,
+    trailing_sums,
+)
 from sftlens.plans.skew import (
     MAX_ROWS_PER_KEY,
     join_keys,
@@ -253,7 +260,7 @@ def run_trend(
     """Slope and trend of the newest points of each run."""
     recent = last_rows(df, key, list(order), rules.trend_points, "__rank")
     lf = finite(F.col("loss"))
-    fitted = F.coalesce(F.regr_slope(lf, -F.col("__rank")), F.lit(0.0))
+    fitted = linear_slope(lf, -F.col("__rank"))
     return (
         recent.groupBy(key)
         .agg(
@@ -371,7 +378,7 @@ def _snapshots(
         F.max(F.when(at_end, F.col("__lr"))).alias("learning_rate"),
         F.count(trend_lf).alias("__finite"),
         # x counted back from the snapshot keeps the products small.
-        F.regr_slope(trend_lf, (F.col("row_no") - end).cast("double")).alias("__slope"),
+        linear_slope(trend_lf, (F.col("row_no") - end).cast("double")).alias("__slope"),
         F.min(F.when(F.col("row_no") > end - every, F.col("__lf"))).alias("__min"),
     )
     per = running(per, key, "__min", "min", "__best").where(is_finite(F.col("__latest")))
@@ -379,13 +386,12 @@ def _snapshots(
     out = join_keys(per, _snapshot_grads(numbered, key, rules, number_grads, running),
                     [key, "snapshot"], "left")
     total = F.col("snapshot") * every
-    slope = F.coalesce(F.col("__slope"), F.lit(0.0))
     return out.select(
         key,
         total.alias("row_no"),
         F.round("__latest", 6).alias("latest_loss"),
         F.round("__best", 6).alias("best_loss"),
-        trend_label(total, F.col("__finite"), slope, rules).alias("trend"),
+        trend_label(total, F.col("__finite"), F.col("__slope"), rules).alias("trend"),
         F.round("__grad.mean", 4).alias("grad_norm_avg"),
         "learning_rate",
         F.least(total, F.lit(rules.history_points)).cast("long").alias("step_count"),

@@ -20,7 +20,9 @@ from sftlens.session import ensure_checkpoint_dir
 
 # Rows of one key that a single task may hold.
 MAX_ROWS_PER_KEY = 1_000_000
-# Range partitions are not made smaller than this.
+# Range partitions are only sorted, which spills; they may hold several tasks' worth of
+# rows and are not made smaller than the minimum.
+SEGMENTS_PER_PARTITION = 4
 MIN_ROWS_PER_PARTITION = 10_000
 # A side with at most this many rows (a key and a few numbers each) may be broadcast.
 MAX_BROADCAST_ROWS = 100_000
@@ -101,7 +103,7 @@ def number_rows(
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    per_part = max(max_rows, MIN_ROWS_PER_PARTITION)
+    per_part = max(SEGMENTS_PER_PARTITION * max_rows, MIN_ROWS_PER_PARTITION)
     parts = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total_rows / per_part)
     )

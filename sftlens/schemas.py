@@ -68,6 +68,10 @@ METRICS_SUMMARY = _struct(
     learning_rate=NUMBER,
     step_count=COUNT,
 )
+# Event tables carry the session they belong to.
+DECISION_EVENT = _struct(session_id=TEXT, **{f.name: f.dataType for f in DECISION.fields})
+EVAL_EVENT = _struct(session_id=TEXT, **{f.name: f.dataType for f in EVAL_RUN.fields})
+ROUND_EVENT = _struct(session_id=TEXT, **{f.name: f.dataType for f in ROUND.fields})
 LOSS_POINT = _struct(step=COUNT, loss=NUMBER, ts=TEXT, grad_norm=NUMBER, lr=NUMBER)
 
 SESSION_STATE = _struct(

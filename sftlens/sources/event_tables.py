@@ -14,9 +14,9 @@ from sftlens import schemas
 
 TABLES = {
     "metrics": schemas.METRIC_POINT,
-    "decisions": schemas.DECISION,
-    "evals": schemas.EVAL_RUN,
-    "rounds": schemas.ROUND,
+    "decisions": schemas.DECISION_EVENT,
+    "evals": schemas.EVAL_EVENT,
+    "rounds": schemas.ROUND_EVENT,
     "notifications": schemas.NOTIFICATION,
 }
 
@@ -67,6 +67,7 @@ def append_events(df: DataFrame, root: str, table: str, ts: str | None = None) -
 
 
 def read_events(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """An event table with its ``day`` partitions."""
     return spark.read.parquet(f"{root}/{table}")
 
 

@@ -20,20 +20,24 @@ STATE_FILE = "state.json"
 
 
 def read_session_states(
-    spark: SparkSession, directories: tuple[str, ...] = ("./output",)
+    spark: SparkSession,
+    directories: tuple[str, ...] = ("./output",),
+    name: str = STATE_FILE,
+    one_per_file: bool = True,
 ) -> DataFrame:
     """The state file of each directory and of its immediate subdirectories.
 
-    Missing directories and unreadable documents are passed over. ``path`` says where a
+    Documents collected into larger files, one per line, are read with ``one_per_file``
+    off and a matching ``name`` pattern; millions of tiny files are slow to list. Missing directories and unreadable documents are passed over. ``path`` says where a
     document came from.
     """
     schema = StructType([*SESSION_STATE.fields, StructField("_corrupt", StringType())])
     found = None
     for directory in directories:
-        for pattern in (f"{directory}/{STATE_FILE}", f"{directory}/*/{STATE_FILE}"):
+        for pattern in (f"{directory}/{name}", f"{directory}/*/{name}"):
             reader = (
                 spark.read.schema(schema)
-                .option("multiLine", True)
+                .option("multiLine", one_per_file)
                 .option("mode", "PERMISSIVE")
                 .option("columnNameOfCorruptRecord", "_corrupt")
             )

@@ -244,10 +244,11 @@ def live_monitor(
     and, when due, summary snapshot.
 
     Points are ordered by (ts, step). A point at or before the newest one already seen of
-    its run is marked ``late`` and changes nothing.
+    its run is marked ``late`` and changes nothing. A NaN loss leaves Python as null; the
+    label tells.
     """
     grad = F.col("grad_norm")
-    prepared = points.select(
+    prepared = points.where(F.col("loss").isNotNull()).select(
         F.col(key).alias("run_id"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
         F.col(step).cast("long").alias("step"),
