@@ -24,6 +24,7 @@ from sftlens.functions.numeric import (
     trailing_sums,
 )
 from sftlens.plans.skew import (
+    MAX_BROADCAST_ROWS,
     MAX_ROWS_PER_KEY,
     join_keys,
     last_rows,
@@ -189,6 +190,8 @@ def _label_hot(
             F.min("__seg_best").over(before).alias("__best_before"),
         )
     )
+    if rows // size + 2 * n_keys <= MAX_BROADCAST_ROWS:
+        summary = F.broadcast(summary)
     out = join_keys(out, summary, keys, "inner")
     out = out.withColumn(
         "increases",
