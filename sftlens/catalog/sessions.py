@@ -217,7 +217,7 @@ def session_state(spark: SparkSession, sf: str) -> DataFrame:
 ROUNDS_SQL = "WITH" + RUNS_SQL + """,
     points AS (SELECT *, 1 + (step - 1) // 100 AS round FROM runs),
     scores AS (SELECT run_id, round, arg_max(loss / 100, ts) AS eval_score FROM points
-               WHERE event_id % 7 = 0 GROUP BY ALL),
+               GROUP BY ALL),
     rounds AS (SELECT run_id, round, min(loss) AS final_loss, max(ts) AS completed_at,
                       'set ' || round AS dataset, round + 1 AS next_round
                FROM points GROUP BY run_id, round)"""
@@ -227,9 +227,7 @@ def rounds(spark: SparkSession, sf: str) -> DataFrame:
     number = (1 + F.floor((F.col("step") - 1) / 100)).cast("long")
     points = numbered_runs(spark, sf).withColumn("round", number)
     points = points.withColumn("dataset", F.concat(F.lit("set "), F.col("round").cast("string")))
-    scores = points.where(F.col("event_id") % 7 == 0).select(
-        "run_id", "round", "ts", (F.col("loss") / 100).alias("avg_score")
-    )
+    scores = points.select("run_id", "round", "ts", (F.col("loss") / 100).alias("avg_score"))
     return S.finalize_rounds(points, scores, dataset="dataset")
 
 
@@ -253,8 +251,8 @@ NOTES_SQL = CLEAN.rstrip() + """,
     notes AS (SELECT run_id AS session_id, ts, anomaly || ' at ' || step AS message,
                      anomaly = 'loss_spike' AS requires_response
               FROM labeled WHERE anomaly IS NOT NULL),
-    reads AS (SELECT run_id AS session_id, max(ts) AS read_at FROM runs WHERE event_id % 301 = 0
-              GROUP BY 1)"""
+    reads AS (SELECT run_id AS session_id, ts AS read_at FROM runs
+              QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY loss, ts) = 1)"""
 
 
 def notifications(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,9 +271,9 @@ def notifications(spark: SparkSession, sf: str) -> DataFrame:
                    WHERE read_at IS NULL OR ts > read_at""",
 )
 def notifications_inbox(spark: SparkSession, sf: str) -> DataFrame:
-    reads = runs(spark, sf).where(F.col("event_id") % 301 == 0).select(
-        F.col("run_id").alias("session_id"), F.col("ts").alias("read_at")
-    )
+    """Every inbox was last read when its run had its best loss."""
+    best = telemetry.best_step(runs(spark, sf), order=RUN_ORDER)
+    reads = best.select(F.col("run_id").alias("session_id"), F.col("ts").alias("read_at"))
     return S.notifications_inbox(notifications(spark, sf), reads)
 
 

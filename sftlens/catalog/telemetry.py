@@ -367,10 +367,11 @@ def curve_legend(spark: SparkSession, sf: str) -> DataFrame:
     "WITH" + RUNS_SQL + """
     SELECT run_id, 'out/' || run_id || '/checkpoint-' || max(step) AS last_checkpoint,
            max(step) AS step
-    FROM runs WHERE step % 500 = 0 OR step = 1 GROUP BY run_id""",
+    FROM runs GROUP BY run_id""",
 )
 def checkpoint_latest(spark: SparkSession, sf: str) -> DataFrame:
-    saves = numbered_runs(spark, sf).where((F.col("step") % 500 == 0) | (F.col("step") == 1))
+    """Every point counts as a save."""
+    saves = numbered_runs(spark, sf)
     path = telemetry.checkpoint_path(
         F.concat(F.lit("out/"), F.col("run_id")), F.col("step")
     )

@@ -77,8 +77,10 @@ def tool_actions(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "decision_log",
     "WITH" + CALLS_SQL + """,
+    replies AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN '' ELSE "text" END AS "text"
+                FROM conversations WHERE role = 'assistant'),
     said AS (SELECT conv_id, left(string_agg("text", ' | ' ORDER BY turn), 1000) AS t
-             FROM conversations WHERE role = 'assistant' AND conv_id % 5 <> 0 GROUP BY 1),
+             FROM replies WHERE "text" <> '' GROUP BY 1),
     did AS (SELECT conv_id, left(string_agg(""" + ACTION_SQL + """, '; ' ORDER BY turn), 500) AS a
             FROM good GROUP BY 1)
     SELECT conv_id, coalesce(t, 'No text reasoning provided') AS agent_reasoning,
@@ -87,9 +89,11 @@ def tool_actions(spark: SparkSession, sf: str) -> DataFrame:
     LEFT JOIN did USING (conv_id)""",
 )
 def decision_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Agents that answered with calls only, in every fifth conversation, said nothing."""
     turns = table(spark, sf, "conversations")
-    said = turns.where((F.col("role") == "assistant") & (F.col("conv_id") % 5 != 0)).select(
-        "conv_id", F.col("turn").alias("position"), "text"
+    text = F.when(F.col("conv_id") % 5 == 0, "").otherwise(F.col("text"))
+    said = turns.where("role = 'assistant'").select(
+        "conv_id", F.col("turn").alias("position"), text.alias("text")
     )
     return X.decision_log(
         turns.select("conv_id").distinct(), said, actions(spark, sf), key="conv_id"

@@ -24,6 +24,11 @@ def get_spark(app: str = "sftlens", master: str | None = None, **conf: str) -> S
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # State of many runs belongs on disk, not on the heap.
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -13,18 +13,21 @@ def read_training_dataset(
     source: str,
     split: str | None = None,
     schema: StructType | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read ``.json``/``.jsonl``, ``.csv`` or ``.parquet`` files or a directory of parquet.
 
     ``split`` picks a subdirectory of a directory source. ``multi_line`` reads JSON files
-    that hold one array instead of one document per line. Inference costs a pass over the
-    data; give a ``schema`` for large inputs.
+    that hold one array instead of one document per line; by default the first line tells
+    which it is. Inference costs a pass over the data; give a ``schema`` for large inputs.
     """
     path = f"{source}/{split}" if split else source
     reader = spark.read if schema is None else spark.read.schema(schema)
     kind = source.rsplit(".", 1)[-1].lower()
     if kind in ("json", "jsonl"):
+        if multi_line is None:
+            head = spark.read.text(path).first()
+            multi_line = head is not None and head[0].lstrip().startswith("[")
         return reader.option("multiLine", multi_line).json(path)
     if kind == "csv":
         return (
