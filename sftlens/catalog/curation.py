@@ -134,7 +134,8 @@ def validate_first_rows(spark: SparkSession, sf: str) -> DataFrame:
     + ISSUES_SQL.format(source="'chat'", fmt="sharegpt"),
 )
 def validate_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    rows = curation.turns_to_conversations(turns(spark, sf)).select("conversations")
+    parts = curation.turns_to_conversations(turns(spark, sf))
+    rows = parts.where("part = 0").select("conversations")
     return joined_issues(curation.validate_dataset(rows, "chat"))
 
 
@@ -227,7 +228,7 @@ def sharegpt_text_parts(spark: SparkSession, sf: str) -> DataFrame:
 def inject_system(spark: SparkSession, sf: str) -> DataFrame:
     rows = curation.turns_to_conversations(turns(spark, sf))
     messages = curation.inject_system_message(
-        curation.sharegpt_messages(rows), F.lit(" [tools]")
+        curation.sharegpt_messages(rows), F.lit(" [tools]"), F.col("part")
     )
     return rows.select("conv_id", curation.render_transcript(messages).alias("text"))
 

@@ -38,7 +38,13 @@ def title_words(c: Column) -> Column:
 
 def format_or_dash(c: Column, digits: int) -> Column:
     """The number with ``digits`` decimals, a dash where it is null."""
-    return F.when(c.isNull(), DASH).otherwise(F.format_string(f"%.{digits}f", c))
+    return (
+        F.when(c.isNull(), DASH)
+        .when(F.isnan(c), "nan")
+        .when(c == float("inf"), "inf")
+        .when(c == float("-inf"), "-inf")
+        .otherwise(F.format_string(f"%.{digits}f", c))
+    )
 
 
 def json_text(c: Column) -> Column:

@@ -302,15 +302,23 @@ def prepare_for_training(
     return df.select(*keep, text.alias("text"))
 
 
-def inject_system_message(messages: Column, text: Column) -> Column:
-    """Append to the leading system message, or put one in front."""
+def inject_system_message(
+    messages: Column, text: Column, part: Column | None = None
+) -> Column:
+    """Append to the leading system message, or put one in front.
+
+    ``part`` numbers the rows of a conversation that spans several; only the first one
+    opens it.
+    """
     head = F.try_element_at(messages, F.lit(1))
     extended = F.concat(
         F.array(_message(head["role"], F.concat(head["content"], text))),
         F.slice(messages, F.lit(2), F.greatest(F.size(messages) - 1, F.lit(0))),
     )
     prepended = F.concat(F.array(_message(F.lit("system"), text)), messages)
-    return F.when(F.coalesce(head["role"] == "system", F.lit(False)), extended).otherwise(prepended)
+    opens = F.lit(True) if part is None else part == 0
+    leads = F.coalesce(head["role"] == "system", F.lit(False))
+    return F.when(opens & leads, extended).when(opens, prepended).otherwise(messages)
 
 
 def turns_to_conversations(

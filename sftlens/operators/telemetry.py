@@ -29,6 +29,7 @@ from sftlens.plans.skew import (
     join_keys,
     last_rows,
     number_rows,
+    renumber_rows,
     segment_rows,
     running_by_segment,
     split_hot,
@@ -201,7 +202,7 @@ def _label_hot(
     ).withColumn("best_loss", F.least("__best", "__best_before"))
 
     grads = numbered.where(F.col("grad_norm").isNotNull()).select(key, "row_no", "grad_norm")
-    grads = number_rows(grads, key, ["row_no"], rows, n_keys, max_rows, "grad_no")
+    grads = renumber_rows(grads, key, "row_no", rows, n_keys, max_rows, "grad_no")
     grads = segment_rows(grads, "grad_no", max(max_rows, rules.window), rules.window - 1)
     grads = (
         grad_rule(grads, keys, ["grad_no"], rules)
@@ -333,7 +334,7 @@ def metrics_snapshots(
     rows, n_keys = split.hot_rows, split.hot_keys
 
     def number_hot(grads: DataFrame, key: str, width: int) -> tuple[DataFrame, list[str]]:
-        grads = number_rows(grads, key, ["row_no"], rows, n_keys, max_rows, "grad_no")
+        grads = renumber_rows(grads, key, "row_no", rows, n_keys, max_rows, "grad_no")
         return segment_rows(grads, "grad_no", max(max_rows, width), width - 1), [key, "seg"]
 
     def running_hot(df: DataFrame, key: str, value: str, how: str, out: str) -> DataFrame:

@@ -134,6 +134,38 @@ def number_rows(
     )
 
 
+def renumber_rows(
+    df: DataFrame,
+    key: str,
+    number: str,
+    total_rows: int,
+    n_keys: int,
+    max_rows: int = MAX_ROWS_PER_KEY,
+    out: str = "row_no",
+) -> DataFrame:
+    """Gap-free numbers for a subset of rows that already carry a ``number`` per key.
+
+    The given numbers cut the keys into bounded pieces, so counting inside the pieces and
+    a prefix sum over one count per piece are enough: no sampling, no checkpoint.
+    """
+    df = df.withColumn("__piece", F.floor((F.col(number) - 1) / F.lit(max_rows)).cast("long"))
+    inside = Window.partitionBy(key, "__piece").orderBy(number)
+    before = Window.partitionBy(key).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (
+        df.groupBy(key, "__piece")
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .select(key, "__piece", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    )
+    if total_rows // max_rows + 2 * n_keys <= MAX_BROADCAST_ROWS:
+        counts = F.broadcast(counts)
+    counted = df.withColumn("__inside", F.row_number().over(inside))
+    return (
+        join_keys(counted, counts, [key, "__piece"], "inner")
+        .withColumn(out, F.col("__before") + F.col("__inside"))
+        .drop("__piece", "__before", "__inside")
+    )
+
+
 def segment_rows(df: DataFrame, number: str, size: int, overlap: int) -> DataFrame:
     """Lay numbered rows out in segments of ``size`` rows plus the ``overlap`` rows before.
 
