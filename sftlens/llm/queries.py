@@ -6,14 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sftlens.llm import (
     decontamination,
+    language_id,
     mixing,
+    ppm,
     quality,
+    secret_scan,
+    sentence_spans,
     superminhash,
+    surrogates,
     token_files,
 )
 from sftlens.llm.tables import read_table, shared_path
 
 TOKEN_FILE = "byte_bpe_50k.json"
+RANK_FILE = "byte_bpe_50k.tiktoken"
+# Production passes its own secret; a query has to give the same rows every time.
+SURROGATE_KEY = "example key, not a secret"
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,21 +30,43 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(read_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = superminhash.NearDuplicates(shingle=3, percent=85)
     return superminhash.near_duplicates(read_table(spark, sf_dir, "documents"), near)
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.predict_languages(docs, language_id.train(docs))
+
+
 def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.remove_repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "op6-tokens")
     token_files.write_token_files(read_table(spark, sf_dir, "documents"), tokenizer_path(TOKEN_FILE), path)
     return token_files.read_token_files(spark, path)
 
 
+def op7_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = secret_scan.TokenEfficiency(tokenizer_path(RANK_FILE))
+    return secret_scan.find_secrets(read_table(spark, sf_dir, "documents"), rule)
+
+
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return mixing.mixed(docs).select("doc_id", "source", "pass", "block", "slot")
@@ -48,9 +78,14 @@ def op10_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_surrogates": op1_surrogates,
     "op2_superminhash": op2_superminhash,
+    "op3_kneser_ney": op3_kneser_ney,
     "op4_quality_cascade": op4_quality_cascade,
+    "op5_sentence_spans": op5_sentence_spans,
     "op6_simple8b": op6_simple8b,
+    "op7_token_efficiency": op7_token_efficiency,
+    "op8_ppm": op8_ppm,
     "op9_temperature_mix": op9_temperature_mix,
     "op10_pigeonhole": op10_pigeonhole,
 }
