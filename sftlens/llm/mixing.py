@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sftlens.llm.tables import written
+from sftlens.llm.tables import as_row, free_name, written
 from sftlens.llm.textarrays import slices
 
 # Sources up to this number are sent to all tasks as one small table.
 MAX_BROADCAST_SOURCES = 20_000
+# The name under which documents without a source are mixed.
+NO_SOURCE = "\x00none"
 
 
 @dataclass(frozen=True)
@@ -105,10 +107,6 @@ def find_exponent(shares: DataFrame, mix: Mixture) -> float:
     return low if mix.entropy is not None else high
 
 
-def _source_key() -> Column:
-    return F.coalesce(F.col("source").cast("string"), F.lit("\x00null"))
-
-
 def _plan(counted: DataFrame, mix: Mixture) -> DataFrame:
     """One row per source: whole passes, blocks, and where the last pass is cut."""
     sources = written(
@@ -183,16 +181,19 @@ def mixed(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
     last pass holds the first documents of the permutation, within the source's budget. A
     document's place follows its doc_id alone, so repeated rows stay together. Sources
     whose weight is less than one pass read only a part of their documents, which only a
-    given ``budget`` can bring about. Null sources are one source; null and empty texts
+    given ``budget`` can bring about. Where ``docs`` has columns of these names, the new ones
+    end in an underscore. Null sources are one source; null and empty texts
     count one token; an empty table gives an empty result.
     """
-    names = docs.columns
-    tagged = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("__source", _source_key())
-    tagged = tagged.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    tagged = as_row(docs).select(
+        "__row",
+        F.coalesce(F.col("__row.source").cast("string"), F.lit(NO_SOURCE)).alias("__source"),
+        F.coalesce(F.col("__row.doc_id").cast("long"), F.lit(-1)).alias("__id"),
+    )
     thin = docs.select("doc_id", "source", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     counted = written(
         token_counts(thin, "__tokens").select(
-            _source_key().alias("__source"),
+            F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("__source"),
             F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__id"),
             "__tokens",
         ),
@@ -205,7 +206,10 @@ def mixed(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
     )
     copies = (F.col("passes") + F.when(again, 1).otherwise(0)).cast("int")
     out = placed.withColumn("__copies", copies).where("__copies > 0")
-    out = out.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    out = out.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     return out.select(
-        *[F.col(f"`{c}`") for c in names], "pass", F.col("__block").alias("block"), F.col("__key").alias("slot")
+        "__row.*",
+        F.col("__pass").alias(free_name("pass", docs.columns)),
+        F.col("__block").alias(free_name("block", docs.columns)),
+        F.col("__key").alias(free_name("slot", docs.columns)),
     )

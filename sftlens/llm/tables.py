@@ -34,3 +34,16 @@ def text_of(column: str = "text") -> Column:
 def doc_key(column: str = "doc_id") -> Column:
     """A document id as a join key: null is one more value."""
     return F.coalesce(F.col(column).cast("string"), F.lit("null"))
+
+
+def as_row(df: DataFrame, name: str = "__row") -> DataFrame:
+    """``df`` with every row as one struct, so that no name of its columns can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added while a column of that name exists."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
