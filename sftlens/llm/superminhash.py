@@ -21,12 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sftlens.llm.components import component_roots
-from sftlens.llm.tables import doc_key, text_of, written
+from sftlens.llm.tables import as_row, doc_key, text_of, written
 from sftlens.llm.textarrays import HASH_BITS, Texts, doc_keys, mix, rolling, slices, texts_of
 
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 SIGNED_SLICE = 2 << 20
+# Buckets with more members left than this are compared in blocks of so many documents.
+CROWD = 32
+CROWD_BLOCK = 256
+INCIDENCE_COLUMNS = 8192
 
 
 @dataclass(frozen=True)
@@ -181,9 +185,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, near: NearDuplic
                 [batch.column("a"), batch.column("b")], ["a", "b"]
             ).filter(pa.array(keep))
 
-    asked = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
-    chosen = asked.join(sets.select("set_key", "one.doc", "one.text_hash"), "set_key")
-    texts = written(
+    asked = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b"))
+    texts = _with_texts(asked, sets, docs)
+    left = texts.select(F.col("set_key").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("set_key").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
+
+
+def _with_texts(keys: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """``set_key, text`` for the given set keys, the text of one document that has the set."""
+    chosen = keys.distinct().join(sets.select("set_key", "one.doc", "one.text_hash"), "set_key")
+    return written(
         docs.select(doc_key().alias("doc"), text_of().alias("text"))
         .withColumn("text_hash", F.xxhash64("text"))
         .join(chosen, ["doc", "text_hash"])
@@ -191,9 +203,93 @@ def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, near: NearDuplic
         .dropDuplicates(["set_key"]),
         "near-texts",
     )
-    left = texts.select(F.col("set_key").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("set_key").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
+
+
+def _block_links(near: NearDuplicates):
+    """The links of one pair of blocks, as far as they join different components.
+
+    Shared shingles of all pairs are counted at once, as a product of incidence matrices
+    over the shingles that occur twice; pairs themselves are never listed.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        names = table.column("set_key").to_pylist()
+        roots = table.column("comp").to_pylist()
+        side = table.column("block").to_numpy()
+        owners, keys, base = [], [], 0
+        batch = pa.RecordBatch.from_arrays([table.column("text").combine_chunks()], ["text"])
+        for _, texts in slices([batch]):
+            found = shingle_sets(texts, near.shingle)
+            owners.append((found >> _U(HASH_BITS)).astype(np.int64) + base)
+            keys.append(found & _U((1 << HASH_BITS) - 1))
+            base += texts.size
+        owner, key = np.concatenate(owners), np.concatenate(keys)
+        sizes = np.bincount(owner, minlength=base)
+        _, at, counts = np.unique(key, return_inverse=True, return_counts=True)
+        twice = counts[at] > 1
+        column = (np.cumsum(counts > 1) - 1)[at][twice]
+        owner = owner[twice]
+        rows = np.flatnonzero(side == side.min())
+        others = np.flatnonzero(side == side.max())
+        shared = np.zeros((len(rows), len(others)), np.float32)
+        place = np.zeros((2, base), np.int64)
+        place[0, rows], place[1, others] = np.arange(len(rows)), np.arange(len(others))
+        for first in range(0, int(column.max(initial=-1)) + 1, INCIDENCE_COLUMNS):
+            part = (column >= first) & (column < first + INCIDENCE_COLUMNS)
+            matrices = []
+            for k, chosen in enumerate((rows, others)):
+                mine = part & np.isin(owner, chosen)
+                matrix = np.zeros((len(chosen), INCIDENCE_COLUMNS), np.float32)
+                matrix[place[k, owner[mine]], column[mine] - first] = 1
+                matrices.append(matrix)
+            shared += matrices[0] @ matrices[1].T
+        both = sizes[rows][:, None] + sizes[others][None, :] - shared
+        parent: dict = {}
+
+        def find(x):
+            while (up := parent.setdefault(x, x)) != x:
+                x = up
+            return x
+
+        links = []
+        for i, j in zip(*np.nonzero(100 * shared.astype(np.float64) >= near.percent * both), strict=True):
+            x, y = find(roots[rows[i]]), find(roots[others[j]])
+            if x != y:
+                parent[x] = y
+                links.append((names[rows[i]], names[others[j]]))
+        left, right = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
+
+    return run
+
+
+def _crowd_links(rest: DataFrame, sets: DataFrame, docs: DataFrame, near: NearDuplicates) -> DataFrame:
+    """The links between the members of large buckets that leaders have not joined.
+
+    Members are grouped by the buckets that connect them, a group is cut into blocks, and
+    each pair of blocks is compared as a whole (``_block_links``). A task holds two blocks,
+    whatever the size of the group.
+    """
+    stars = rest.groupBy("bucket").agg(F.min("node").alias("b"))
+    edges = rest.join(stars, "bucket").select(F.col("node").alias("a"), "b").where("a != b").distinct()
+    groups = component_roots(edges).toDF("set_key", "crowd")
+    nodes = rest.select(F.col("node").alias("set_key"), "comp").distinct()
+    members = nodes.join(groups, "set_key").checkpoint()
+    sizes = members.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"))
+    cut = sizes.select("crowd", F.ceil(F.col("n") / F.lit(CROWD_BLOCK)).cast("int").alias("blocks"))
+    dealt = members.join(cut, "crowd").withColumn(
+        "block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
+    )
+    texts = _with_texts(dealt.select("set_key"), sets, docs)
+    partners = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = (
+        dealt.withColumn("partner", partners)
+        .withColumn("i", F.least("block", "partner"))
+        .withColumn("j", F.greatest("block", "partner"))
+        .join(texts, "set_key")
+        .select("crowd", "i", "j", "block", "set_key", "comp", "text")
+    )
+    return spread.groupBy("crowd", "i", "j").applyInArrow(_block_links(near), "a binary, b binary")
 
 
 def _pair(a: str, b: str) -> list:
@@ -206,36 +302,43 @@ def _components(shared: DataFrame, sets: DataFrame, docs: DataFrame, near: NearD
     Connected sets need one path, not all pairs. So every bucket first compares its members
     with one leader, the member that meets most others over all bands (in a group of copies,
     the one the copies were made from), then members still in another component with the
-    next leader. What is left after ``rounds`` leaders is compared pair by pair, between
-    different components only; so no link that could join two components is lost.
+    next leader. What is left after ``rounds`` leaders is compared with all of its bucket,
+    pair by pair in small buckets and block by block in large ones, between different
+    components only; so no link that could join two components is lost.
     """
     active = shared.withColumn("comp", F.col("node"))
     tested = labels = None
     for turn in range(near.rounds + 1):
+        crowds = None
         mixed = active.groupBy("bucket").agg(
             F.max(F.struct("weight", "node", "comp")).alias("leader"),
             F.min("comp").alias("low"),
             F.max("comp").alias("high"),
+            F.count(F.lit(1)).alias("left"),
         )
-        mixed = mixed.where("low < high").select("bucket", "leader")
+        mixed = mixed.where("low < high").select("bucket", "leader", "left")
         if turn < near.rounds:
             followers = active.join(mixed, "bucket").where("node != leader.node")
-            active = followers.drop("leader").checkpoint()
+            active = followers.drop("leader", "left").checkpoint()
             pairs = followers.where("comp != leader.comp").select(*_pair("node", "leader.node"))
         else:
-            rest = active.join(mixed, "bucket", "left_semi")
+            rest = active.join(mixed.select("bucket", "left"), "bucket").checkpoint()
+            crowds = rest.where(F.col("left") > CROWD)
+            rest = rest.where(F.col("left") <= CROWD)
             other = rest.select("bucket", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
             pairs = rest.join(other, "bucket").where("comp < comp2").select(*_pair("node", "node2"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pairs.checkpoint()
-        if pairs.isEmpty():
-            if turn < near.rounds:
-                continue
-            break
+        crowded = crowds is not None and not crowds.isEmpty()
+        if not crowded and pairs.isEmpty():
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = _linked(pairs, sets, docs, near).checkpoint()
+        links = _linked(pairs, sets, docs, near)
+        if crowded:
+            links = links.unionByName(_crowd_links(crowds, sets, docs, near))
+        links = links.checkpoint()
         if labels is not None:
             name = labels.select("node", "root")
             links = (
@@ -252,11 +355,12 @@ def _components(shared: DataFrame, sets: DataFrame, docs: DataFrame, near: NearD
             )
             fresh = found.join(labels, found["was"] == labels["node"], "left_anti")
             labels = moved.unionByName(fresh.toDF("node", "root")).checkpoint()
-        active = (
-            active.drop("comp")
-            .join(labels, "node", "left")
-            .select("bucket", "node", "weight", F.coalesce("root", "node").alias("comp"))
-        )
+        if turn < near.rounds:
+            active = (
+                active.drop("comp")
+                .join(labels, "node", "left")
+                .select("bucket", "node", "weight", F.coalesce("root", "node").alias("comp"))
+            )
     return labels
 
 
@@ -316,8 +420,11 @@ def drop_near_duplicates(docs: DataFrame, near: NearDuplicates = NearDuplicates(
     one stays. Documents without words all stay.
     """
     found = written(near_duplicates(docs, near), "near-found")
-    keyed = docs.withColumn("__doc", doc_key()).withColumn(
-        "__words", F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = as_row(docs)
+    keyed = rows.select(
+        "__row",
+        doc_key("__row.doc_id").alias("__doc"),
+        F.coalesce(F.col("__row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("__words"),
     )
     kept = found.where("kept and n_shingles > 0").select(doc_key().alias("__doc"))
     counts = kept.groupBy("__doc").agg(F.count(F.lit(1)).alias("n"))
@@ -327,4 +434,4 @@ def drop_near_duplicates(docs: DataFrame, near: NearDuplicates = NearDuplicates(
     chosen = full.join(once, "__doc", "left_semi").unionByName(
         full.join(more, "__doc", "left_semi").dropDuplicates(["__doc"])
     )
-    return chosen.unionByName(keyed.where("not __words")).drop("__doc", "__words")
+    return chosen.unionByName(keyed.where("not __words")).select("__row.*")
