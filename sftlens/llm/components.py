@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sftlens.llm.tables import written
+
 
 def _spanning_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drop the edges of a batch whose ends its earlier edges already connect."""
@@ -36,10 +38,11 @@ def component_roots(edges: DataFrame) -> DataFrame:
     edges are renamed to what their ends follow, and those that became loops or repeat
     disappear. Hashes are redrawn every round, so paths and stars alike shrink by a constant
     factor. Neighbour lists are never gathered: the choice is a minimum, combined before
-    the shuffle. Rounds are checkpointed. An empty edge table has no nodes.
+    the shuffle. Every round is written as a table: a checkpoint would keep the size estimates
+    of its plan, which multiply with every join. An empty edge table has no nodes.
     """
     edges = edges.select("a", "b").where(F.col("a") != F.col("b"))
-    edges = edges.mapInArrow(_spanning_forest, edges.schema).checkpoint()
+    edges = written(edges.mapInArrow(_spanning_forest, edges.schema), "component-edges")
     labels = None
     level = 0
     while not edges.isEmpty():
@@ -51,29 +54,18 @@ def component_roots(edges: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        follow = (
-            both.groupBy("u")
-            .agg(F.least(F.min(ranked("v")), ranked("u"))["x"].alias("p"))
-            .checkpoint()
-        )
+        smallest = F.least(F.min(ranked("v")), ranked("u"))["x"]
+        follow = written(both.groupBy("u").agg(smallest.alias("p")), "component-follow")
         if labels is None:
             labels = follow.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:
-            labels = (
-                labels.join(follow, labels["root"] == follow["u"], "left")
-                .select("node", F.coalesce("p", "root").alias("root"))
-                .checkpoint()
-            )
+            moved = labels.join(follow, labels["root"] == follow["u"], "left")
+            labels = written(moved.select("node", F.coalesce("p", "root").alias("root")), "component-labels")
         left = follow.select(F.col("u").alias("a"), F.col("p").alias("pa"))
         right = follow.select(F.col("u").alias("b"), F.col("p").alias("pb"))
-        edges = (
-            edges.join(left, "a")
-            .join(right, "b")
-            .where("pa != pb")
-            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-            .distinct()
-            .checkpoint()
-        )
+        renamed = edges.join(left, "a").join(right, "b").where("pa != pb")
+        ends = renamed.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+        edges = written(ends.distinct(), "component-edges")
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return labels

@@ -274,7 +274,7 @@ def _crowd_links(rest: DataFrame, sets: DataFrame, docs: DataFrame, near: NearDu
     edges = rest.join(stars, "bucket").select(F.col("node").alias("a"), "b").where("a != b").distinct()
     groups = component_roots(edges).toDF("set_key", "crowd")
     nodes = rest.select(F.col("node").alias("set_key"), "comp").distinct()
-    members = nodes.join(groups, "set_key").checkpoint()
+    members = written(nodes.join(groups, "set_key"), "near-crowds")
     sizes = members.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"))
     cut = sizes.select("crowd", F.ceil(F.col("n") / F.lit(CROWD_BLOCK)).cast("int").alias("blocks"))
     dealt = members.join(cut, "crowd").withColumn(
@@ -319,10 +319,10 @@ def _components(shared: DataFrame, sets: DataFrame, docs: DataFrame, near: NearD
         mixed = mixed.where("low < high").select("bucket", "leader", "left")
         if turn < near.rounds:
             followers = active.join(mixed, "bucket").where("node != leader.node")
-            active = followers.drop("leader", "left").checkpoint()
+            active = written(followers.drop("leader", "left"), "near-active")
             pairs = followers.where("comp != leader.comp").select(*_pair("node", "leader.node"))
         else:
-            rest = active.join(mixed.select("bucket", "left"), "bucket").checkpoint()
+            rest = written(active.join(mixed.select("bucket", "left"), "bucket"), "near-rest")
             crowds = rest.where(F.col("left") > CROWD)
             rest = rest.where(F.col("left") <= CROWD)
             other = rest.select("bucket", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
@@ -330,7 +330,7 @@ def _components(shared: DataFrame, sets: DataFrame, docs: DataFrame, near: NearD
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.checkpoint()
+        pairs = written(pairs, "near-pairs")
         crowded = crowds is not None and not crowds.isEmpty()
         if not crowded and pairs.isEmpty():
             continue
@@ -338,7 +338,7 @@ def _components(shared: DataFrame, sets: DataFrame, docs: DataFrame, near: NearD
         links = _linked(pairs, sets, docs, near)
         if crowded:
             links = links.unionByName(_crowd_links(crowds, sets, docs, near))
-        links = links.checkpoint()
+        links = written(links, "near-links")
         if labels is not None:
             name = labels.select("node", "root")
             links = (
@@ -348,13 +348,13 @@ def _components(shared: DataFrame, sets: DataFrame, docs: DataFrame, near: NearD
             )
         found = component_roots(links).toDF("was", "now")
         if labels is None:
-            labels = found.toDF("node", "root").checkpoint()
+            labels = found.toDF("node", "root")
         else:
             moved = labels.join(found, labels["root"] == found["was"], "left").select(
                 "node", F.coalesce("now", "root").alias("root")
             )
             fresh = found.join(labels, found["was"] == labels["node"], "left_anti")
-            labels = moved.unionByName(fresh.toDF("node", "root")).checkpoint()
+            labels = written(moved.unionByName(fresh.toDF("node", "root")), "near-labels")
         if turn < near.rounds:
             active = (
                 active.drop("comp")
@@ -389,9 +389,9 @@ def near_duplicates(docs: DataFrame, near: NearDuplicates = NearDuplicates()) ->
     )
     members = sets.select(F.explode("bands").alias("bucket"), F.col("set_key").alias("node"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = members.join(sizes, "bucket").checkpoint()
+    shared = written(members.join(sizes, "bucket"), "near-buckets")
     weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    shared = shared.drop("n").join(weights, "node").checkpoint()
+    shared = written(shared.drop("n").join(weights, "node"), "near-buckets")
     labels = _components(shared, sets, docs, near)
     classes = sets.select("set_key", "first_id")
     if labels is not None:
