@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def missing_columns(spark: SparkSession, sf: str) -> DataFrame:
 ISSUES_SQL = """
   SELECT {source} AS source, '{fmt}' AS format, n AS num_rows, bad AS empty_rows,
          array_to_string([x FOR x IN [
-           CASE WHEN bad > 0 THEN bad || '/' || n || ' sampled rows have empty required fields (' ||
+           CASE WHEN bad > 0 THEN bad || '/' || n || ' rows have empty required fields (' ||
              CAST(round(bad / n * 100, 1) AS VARCHAR) || '%).' END,
            CASE WHEN n < 10 THEN 'Dataset is very small (' || n || ' rows). At least 100 rows ' ||
              'recommended for meaningful SFT.' END] IF x IS NOT NULL], '; ') AS issues,
@@ -108,25 +109,6 @@ def validate_mapped(spark: SparkSession, sf: str) -> DataFrame:
     return joined_issues(curation.validate_dataset(rows, "mapped", mapping=MAPPING))
 
 
-@query(
-    "validate_first_rows",
-    "WITH" + ALPACA_SQL + """,
-    head AS (SELECT * FROM alpaca ORDER BY doc_id LIMIT 500),
-    c AS (SELECT count(*) AS k, CAST(count(*) FILTER (WHERE """ + BLANK_SQL + """) AS BIGINT) AS bad FROM head)
-    SELECT 'docs' AS source, 'alpaca' AS format, (SELECT count(*) FROM alpaca) AS num_rows,
-           bad AS empty_rows,
-           CASE WHEN bad > 0 THEN bad || '/' || k || ' sampled rows have empty required fields (' ||
-             CAST(round(bad / k * 100, 1) AS VARCHAR) || '%).' ELSE '' END AS issues,
-           bad = 0 AS valid FROM c""",
-)
-def validate_first_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The report as a check of the first 500 rows gives it."""
-    rows = alpaca(spark, sf).select("doc_id", "instruction", "input", "output")
-    return joined_issues(
-        curation.validate_dataset(rows, "docs", sample_rows=500, order=["doc_id"])
-    )
-
-
 @query(
     "validate_conversations",
     "WITH" + TURNS_SQL + """,
@@ -134,8 +116,7 @@ def validate_first_rows(spark: SparkSession, sf: str) -> DataFrame:
     + ISSUES_SQL.format(source="'chat'", fmt="sharegpt"),
 )
 def validate_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    parts = curation.turns_to_conversations(turns(spark, sf))
-    rows = parts.where("part = 0").select("conversations")
+    rows = curation.turns_to_conversations(turns(spark, sf)).select("conversations")
     return joined_issues(curation.validate_dataset(rows, "chat"))
 
 
@@ -180,34 +161,62 @@ def alpaca_chat_template(spark: SparkSession, sf: str) -> DataFrame:
     return curation.prepare_for_training(rows, template=TEMPLATE, keep=("doc_id",))
 
 
+@query(
+    "alpaca_tokenizer",
+    "WITH" + ALPACA_SQL + "SELECT doc_id, '<user>' || " + ASKED_SQL
+    + " || '<assistant>' || output AS text FROM alpaca",
+)
+def alpaca_tokenizer(spark: SparkSession, sf: str) -> DataFrame:
+    """The hook for a model's own chat template, run on Arrow batches."""
+
+    @F.pandas_udf("string")
+    def tokenizer(messages: pd.Series) -> pd.Series:
+        return messages.map(lambda turns: "".join(f"<{m['role']}>{m['content']}" for m in turns))
+
+    rows = alpaca(spark, sf).drop("source")
+    return curation.prepare_for_training(rows, tokenizer=tokenizer, keep=("doc_id",))
+
+
 LINE_SQL = "upper(left(role, 1)) || substr(role, 2) || ': ' || content"
 TEXT_SQL = f"""
-    SELECT conv_id, CAST(0 AS BIGINT) AS part,
-           coalesce(string_agg({LINE_SQL}, chr(10) ORDER BY turn)
-                    FILTER (WHERE role IS NOT NULL), '') || chr(10) AS text
+    SELECT conv_id, coalesce(string_agg({LINE_SQL}, chr(10) ORDER BY turn)
+                             FILTER (WHERE role IS NOT NULL), '') || chr(10) AS text
     FROM messages GROUP BY conv_id"""
 
 
 @query("sharegpt_text", "WITH" + TURNS_SQL + TEXT_SQL)
 def sharegpt_text(spark: SparkSession, sf: str) -> DataFrame:
     rows = curation.turns_to_conversations(turns(spark, sf))
-    return curation.prepare_for_training(rows, keep=("conv_id", "part"))
+    return curation.prepare_for_training(rows, keep=("conv_id",))
+
+
+NUMBERED_SQL = """,
+    numbered AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position,
+                        """ + LINE_SQL + """ AS line FROM messages WHERE role IS NOT NULL)"""
+LINES_SQL = "WITH" + TURNS_SQL + NUMBERED_SQL + "SELECT conv_id, position, line FROM numbered"
+
+
+@query("transcript_lines", LINES_SQL)
+def transcript_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return curation.transcript_lines(turns(spark, sf))
+
+
+@query("transcript_lines_segmented", LINES_SQL)
+def transcript_lines_segmented(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with every conversation of more than two turns too long for one task."""
+    return curation.transcript_lines(turns(spark, sf), max_rows=2)
 
 
 @query(
     "sharegpt_text_parts",
-    "WITH" + TURNS_SQL + """,
-    numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
-                        count(*) OVER (PARTITION BY conv_id) AS n FROM messages)
-    SELECT conv_id, CAST(CASE WHEN n > 3 THEN (i - 1) // 3 ELSE 0 END AS BIGINT) AS part,
-           coalesce(string_agg(""" + LINE_SQL + """, chr(10) ORDER BY turn)
-                    FILTER (WHERE role IS NOT NULL), '') || chr(10) AS text
+    "WITH" + TURNS_SQL + NUMBERED_SQL + """
+    SELECT conv_id, CAST((position - 1) // 3 AS BIGINT) AS part,
+           string_agg(line, chr(10) ORDER BY position) || chr(10) AS text
     FROM numbered GROUP BY ALL""",
 )
 def sharegpt_text_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations of more than three turns treated as too long for one row."""
-    rows = curation.turns_to_conversations(turns(spark, sf), max_turns=3)
-    return curation.prepare_for_training(rows, keep=("conv_id", "part"))
+    """Conversations in pieces of three turns."""
+    return curation.conversation_pieces(curation.transcript_lines(turns(spark, sf)), 3)
 
 
 @query(
@@ -228,7 +237,7 @@ def sharegpt_text_parts(spark: SparkSession, sf: str) -> DataFrame:
 def inject_system(spark: SparkSession, sf: str) -> DataFrame:
     rows = curation.turns_to_conversations(turns(spark, sf))
     messages = curation.inject_system_message(
-        curation.sharegpt_messages(rows), F.lit(" [tools]"), F.col("part")
+        curation.sharegpt_messages(rows), F.lit(" [tools]")
     )
     return rows.select("conv_id", curation.render_transcript(messages).alias("text"))
 

@@ -43,6 +43,17 @@ def eval_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.eval_alerts(rows, ["eval_id", "round_num"], PASS_SCORE)
 
 
+@query(
+    "eval_pending_actions",
+    "WITH" + JUDGE_SQL + """
+    SELECT eval_id, round_num,
+           'Quality ' || printf('%.2f', avg_score) || ' below threshold. Provide new dataset?' AS pending_user_action
+    FROM evals WHERE NOT passed""",
+)
+def eval_pending_actions(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.eval_pending_actions(evals(spark, sf), ["eval_id", "round_num"])
+
+
 DELTA_SQL = "WITH" + JUDGE_SQL + """
     SELECT eval_id, previous_round, previous_score, round_num AS current_round,
            avg_score AS current_score, round(avg_score - previous_score, 2) AS delta,
@@ -177,9 +188,9 @@ def parsed_score_means(spark: SparkSession, sf: str) -> DataFrame:
     """From raw replies to dimension means."""
     parsed = evaluation.parse_scores(replies(spark, sf))
     items = evaluation.item_scores(parsed.withColumn("batch", F.col("doc_id") % 10), ["batch"])
-    counts = items.groupBy("batch").agg(F.count("*").alias("items"))
-    means = evaluation.dimension_scores(items, ["batch"]).select("batch", *DIMENSIONS)
-    return means.join(counts, "batch")
+    neutral = F.lit(evaluation.NEUTRAL_SCORE)
+    means = [F.round(F.avg(F.coalesce(d, neutral)), 2).alias(d) for d in DIMENSIONS]
+    return items.groupBy("batch").agg(*means, F.count("*").alias("items"))
 
 
 # --- prompts --------------------------------------------------------------------------
@@ -257,6 +268,45 @@ def pair_prompts_segmented(spark: SparkSession, sf: str) -> DataFrame:
     return pairs(spark, sf, max_rows=2)
 
 
+PROMPT_TEMPLATE = "Ask {n} things about {dataset}. {hint}"
+SCORING_TEMPLATE = "Judge {dataset} by {dimensions}: {pairs}"
+
+
+@query(
+    "prompt_requests",
+    """SELECT item_id, 'Ask 7 things about set ' || item_id || '. Focus on these categories: facts, style.' AS request
+       FROM benchmark""",
+)
+def prompt_requests(spark: SparkSession, sf: str) -> DataFrame:
+    dataset = F.concat(F.lit("set "), F.col("item_id").cast("string"))
+    request = evaluation.prompt_request(dataset, 7, ["facts", "style"], PROMPT_TEMPLATE)
+    return table(spark, sf, "benchmark").select("item_id", request.alias("request"))
+
+
+@query(
+    "scoring_request_texts",
+    "WITH" + PAIRS_SQL + """
+    SELECT conv_id, 'Judge chat ' || conv_id || ' by relevance, coherence, instruction_following, factual_accuracy: ['
+             || string_agg('{"prompt": ' || CAST(to_json(prompt) AS VARCHAR) || ', "response": '
+                           || CAST(to_json(response) AS VARCHAR) || '}', ', ' ORDER BY position) || ']' AS request
+    FROM pairs GROUP BY conv_id""",
+)
+def scoring_request_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole requests, out of a prompt array and a response array per conversation."""
+    turns = table(spark, sf, "conversations")
+
+    def said(role: str) -> Column:
+        turn = F.when(F.col("role") == role, F.struct("turn", "text"))
+        return F.transform(F.sort_array(F.collect_list(turn)), lambda x: x["text"])
+
+    both = turns.groupBy("conv_id").agg(said("user").alias("q"), said("assistant").alias("a"))
+    paired = evaluation.zip_pairs(F.col("q"), F.col("a"))
+    both = both.withColumn("pairs", paired).where(F.size("pairs") > 0)
+    dataset = F.concat(F.lit("chat "), F.col("conv_id").cast("string"))
+    request = evaluation.scoring_request(dataset, F.col("pairs"), SCORING_TEMPLATE)
+    return both.select("conv_id", request.alias("request"))
+
+
 @query(
     "scoring_requests",
     "WITH" + PAIRS_SQL + """

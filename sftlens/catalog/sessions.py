@@ -81,7 +81,7 @@ def resumable_session(spark: SparkSession, sf: str) -> DataFrame:
     "WITH" + SESSIONS_SQL + """
     SELECT project_name, updated_at, session_id, status FROM sessions
     WHERE status IN ('training', 'paused')
-    QUALIFY row_number() OVER (PARTITION BY project_name ORDER BY updated_at DESC, session_id DESC) = 1""",
+    QUALIFY row_number() OVER (PARTITION BY project_name ORDER BY updated_at DESC, session_id) = 1""",
 )
 def resumable_by_project(spark: SparkSession, sf: str) -> DataFrame:
     return S.resumable_by_project(sessions(spark, sf)).drop("output_dir")

@@ -8,10 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sftlens.catalog.adapters import ALPACA_SQL, RUNS_SQL, SESSIONS_SQL, alpaca, runs, sessions
+from sftlens.catalog.adapters import (
+    ALPACA_SQL,
+    RUNS_SQL,
+    SESSIONS_SQL,
+    alpaca,
+    runs,
+    sessions,
+    table,
+)
 from sftlens.catalog.curation import BLANK_SQL, ISSUES_SQL, joined_issues
 from sftlens.catalog.registry import query
 from sftlens.operators import sessions as S
+from sftlens.operators.curation import prepare_for_training
 from sftlens.session import ensure_checkpoint_dir
 from sftlens.sources import datasets, event_tables, session_files
 
@@ -41,7 +50,8 @@ def read_csv_dataset(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark, "dataset") + ".csv"
     rows = alpaca(spark, sf)
     rows.write.option("header", True).option("escape", '"').csv(path)
-    return digests(datasets.read_training_dataset(spark, path, schema=rows.schema))
+    # Instructions have line breaks inside quotes.
+    return digests(datasets.read_training_dataset(spark, path, schema=rows.schema, multi_line=True))
 
 
 @query(
@@ -60,7 +70,8 @@ def validate_source(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "append_metrics",
     "WITH" + RUNS_SQL + """
-    SELECT run_id, event_id AS step, ts, loss, grad_norm, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM runs""",
+    SELECT run_id, event_id AS step, ts, loss, grad_norm, CAST(NULL AS DOUBLE) AS lr,
+           CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM runs""",
 )
 def append_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Two appends to one event table."""
@@ -69,9 +80,122 @@ def append_metrics(spark: SparkSession, sf: str) -> DataFrame:
     for half in (0, 1):
         event_tables.append_events(points.where(F.col("step") % 2 == half), root, "metrics")
     back = event_tables.read_events(spark, root, "metrics")
+    return back.withColumns({"day": F.col("day").cast("string"), "ts": F.col("ts").cast("timestamp_ntz")})
+
+
+def stored_events(spark: SparkSession, rows: DataFrame, table: str) -> DataFrame:
+    root = shared_folder(spark, "events")
+    event_tables.append_events(rows, root, table)
+    back = event_tables.read_events(spark, root, table)
     return back.withColumn("day", F.col("day").cast("string"))
 
 
+@query(
+    "append_decisions",
+    """SELECT CAST(o_custkey AS VARCHAR) AS session_id, strftime(o_orderdate, '%Y-%m-01') AS timestamp,
+              o_orderstatus AS "trigger", CAST(NULL AS VARCHAR) AS agent_reasoning,
+              'order ' || o_orderkey AS action_taken, strftime(o_orderdate, '%Y-%m-01') AS day FROM orders""",
+)
+def append_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions without the reasoning column."""
+    rows = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("session_id"),
+        F.date_format("o_orderdate", "yyyy-MM-01").alias("timestamp"),
+        F.col("o_orderstatus").alias("trigger"),
+        F.concat(F.lit("order "), F.col("o_orderkey")).alias("action_taken"),
+    )
+    return stored_events(spark, rows, "decisions")
+
+
+@query(
+    "append_evals",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS session_id, CAST(l_linenumber AS BIGINT) AS round_num, l_quantity AS avg_score,
+              l_returnflag = 'R' AS passed_threshold, strftime(l_shipdate, '%Y-%m-01') AS day
+       FROM lineitem""",
+)
+def append_evals(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("session_id"),
+        F.date_format("l_shipdate", "yyyy-MM-01").alias("timestamp"),
+        F.col("l_linenumber").alias("round_num"),
+        F.col("l_quantity").alias("avg_score"),
+        (F.col("l_returnflag") == "R").alias("passed_threshold"),
+    )
+    return stored_events(spark, rows, "evals").select(
+        "session_id", "round_num", "avg_score", "passed_threshold", "day"
+    )
+
+
+@query(
+    "append_rounds",
+    """SELECT CAST(o_custkey AS VARCHAR) AS session_id, o_orderkey AS round_num, o_totalprice AS final_loss,
+              strftime(o_orderdate, '%Y-%m-01') AS day FROM orders""",
+)
+def append_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("session_id"),
+        F.col("o_orderkey").alias("round_num"),
+        F.col("o_totalprice").alias("final_loss"),
+        F.date_format("o_orderdate", "yyyy-MM-01").alias("completed_at"),
+    )
+    return stored_events(spark, rows, "rounds").select("session_id", "round_num", "final_loss", "day")
+
+
+@query(
+    "append_notifications",
+    """SELECT event_type AS session_id, ts, 'event ' || event_id AS message, event_id % 2 = 0 AS requires_response,
+              'info' AS priority, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events""",
+)
+def append_notifications(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").select(
+        F.col("event_type").alias("session_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("event "), F.col("event_id")).alias("message"),
+        (F.col("event_id") % 2 == 0).alias("requires_response"),
+        F.lit("info").alias("priority"),
+    )
+    back = stored_events(spark, rows, "notifications")
+    return back.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+BROKEN_SQL = "WITH" + ALPACA_SQL + """,
+    kept AS (SELECT * FROM alpaca WHERE doc_id % 10 <> 3),
+    counts AS (SELECT count(*) AS n, CAST(count(*) FILTER (WHERE """ + BLANK_SQL + """) AS BIGINT) AS bad,
+               (SELECT count(*) FROM alpaca WHERE doc_id % 10 = 3) AS broken FROM kept)
+    SELECT 'stored' AS source, 'alpaca' AS format, n AS num_rows, bad AS empty_rows,
+      broken || ' records could not be parsed.' || CASE WHEN bad > 0 THEN '; ' || bad || '/' || n ||
+        ' rows have empty required fields (' || CAST(round(bad / n * 100, 1) AS VARCHAR) || '%).' ELSE '' END
+        AS issues, false AS valid FROM counts"""
+
+
+def broken_file(spark: SparkSession, sf: str) -> str:
+    """A JSON lines dataset of which every tenth record is cut short."""
+    path = shared_folder(spark, "dataset") + ".jsonl"
+    line = F.to_json(F.struct("doc_id", "instruction", "input", "output"))
+    line = F.when(F.col("doc_id") % 10 == 3, F.left(line, F.length(line) - 2)).otherwise(line)
+    alpaca(spark, sf).select(line.alias("value")).write.text(path)
+    return path
+
+
+@query("validate_broken_source", BROKEN_SQL)
+def validate_broken_source(spark: SparkSession, sf: str) -> DataFrame:
+    report = datasets.validate_source(spark, broken_file(spark, sf))
+    return joined_issues(report.withColumn("source", F.lit("stored")))
+
+
+@query(
+    "broken_source_text",
+    "WITH" + ALPACA_SQL + """SELECT doc_id, md5('User: ' || instruction || CASE WHEN input = '' THEN '' ELSE
+      chr(10) || chr(10) || input END || chr(10) || 'Assistant: ' || output || chr(10)) AS digest
+      FROM alpaca WHERE doc_id % 10 <> 3""",
+)
+def broken_source_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that could not be parsed are not trained on."""
+    rows = datasets.read_training_dataset(spark, broken_file(spark, sf))
+    text = prepare_for_training(rows, keep=("doc_id",), corrupt=datasets.corrupt_column(rows))
+    return text.select("doc_id", F.md5("text").alias("digest"))
+
+
 @query(
     "session_documents",
     "WITH" + SESSIONS_SQL + """

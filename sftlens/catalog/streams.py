@@ -8,30 +8,46 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sftlens.catalog.adapters import RUNS_SQL, spoil, table
 from sftlens.catalog.registry import query
 from sftlens.catalog.telemetry import (
-    CHECKS_SQL,
+    CHECK_MINUTES,
     DEBOUNCE_SQL,
     DIRTY,
     GAP_HOURS,
     LABEL_ROWS,
     RULES,
     SNAPSHOTS_SQL,
+    SPANS_SQL,
 )
 from sftlens.session import ensure_checkpoint_dir
 from sftlens.streaming import monitor
 
 
-def streamed_points(spark: SparkSession, sf: str) -> DataFrame:
-    schema = table(spark, sf, "events").schema
-    events = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    )
-    return events.select(
+# The table is streamed in so many files, one per micro-batch.
+PARTS = 4
+
+
+def streamed_points(spark: SparkSession, sf: str, again: Column | None = None) -> DataFrame:
+    """The events as a stream of several micro-batches in order of time.
+
+    ``again`` chooses events that come once more at the end.
+    """
+    events = table(spark, sf, "events")
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/events-{uuid.uuid4().hex}"
+    # A file per range of days; files are read in the order in which they were written.
+    day = F.dayofmonth("ts")
+    parts = [events.where((day > 8 * i) & (day <= 8 * (i + 1))) for i in range(PARTS)]
+    if again is not None:
+        parts.append(events.where(again))
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(root)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    return source.select(
         F.col("event_type").alias("run_id"),
         "ts",
         "event_id",
@@ -41,6 +57,11 @@ def streamed_points(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _shared(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def run_to_end(spark: SparkSession, df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
@@ -85,19 +106,73 @@ def stream_snapshots(spark: SparkSession, sf: str) -> DataFrame:
         F.round("best_loss", 6).alias("best_loss"),
         "trend",
         F.round("grad_norm_avg", 4).alias("grad_norm_avg"),
-        F.least(step, F.lit(RULES.history_points)).alias("step_count"),
+        step.alias("step_count"),
     )
 
 
 @query(
     "stream_checks",
-    "WITH" + RUNS_SQL + CHECKS_SQL + """
-    SELECT run_id, ts, 'scheduled_interval' AS trigger, latest_loss, points FROM checks
-    WHERE ts <= (SELECT max(ts) FROM runs) - INTERVAL 10 MINUTE""",
+    "WITH" + RUNS_SQL + SPANS_SQL + """,
+    slots AS (
+      SELECT run_id, began, unnest(range(1, ((SELECT max(epoch_ms(ts)) - 600000 FROM runs) * 1000
+             - epoch_us(began)) // 1800000000 + 1)) AS no
+      FROM spans)
+    SELECT run_id, began + to_minutes(30 * CAST(no AS INTEGER)) AS ts, 'scheduled_interval' AS trigger,
+           last_value(loss IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY no) AS latest_loss,
+           coalesce(points, 0) AS points
+    FROM slots LEFT JOIN logged USING (run_id, no)""",
 )
 def stream_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """The checks of all intervals the watermark has closed."""
-    checks = monitor.live_checks(streamed_points(spark, sf), minutes=24 * 60)
+    """The checks of all intervals the watermark has closed, silent ones included."""
+    points = streamed_points(spark, sf)
+    checks = monitor.live_checks(points, minutes=CHECK_MINUTES, max_silent=10_000)
     return run_to_end(spark, checks).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query(
+    "stream_late_points",
+    "WITH" + RUNS_SQL + """
+    SELECT run_id, event_id FROM runs WHERE dayofmonth(ts) <= 8 AND event_id % 50 = 0 AND loss IS NOT NULL""",
+)
+def stream_late_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points that come again after newer ones."""
+    again = (F.dayofmonth("ts") <= 8) & (F.col("event_id") % 50 == 0)
+    points = streamed_points(spark, sf, again)
+    out = run_to_end(spark, monitor.live_monitor(points, RULES, GAP_HOURS * 3600))
+    return out.where("late").select("run_id", F.col("step").alias("event_id"))
+
+
+@query("stream_delivered", "SELECT run_id, step, trigger FROM (" + DEBOUNCE_SQL + ") WHERE passed")
+def stream_delivered(spark: SparkSession, sf: str) -> DataFrame:
+    """What a callback is handed, batch by batch."""
+    root = f"{_shared(spark)}/delivered-{uuid.uuid4().hex}"
+    points = spoil(streamed_points(spark, sf))
+    alerts = monitor.live_monitor(points, RULES, GAP_HOURS * 3600)
+
+    def deliver(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    monitor.on_alerts(alerts, deliver, f"{root}/state").awaitTermination()
+    found = spark.read.schema(alerts.schema).parquet(f"{root}/out")
+    return found.select("run_id", F.col("row_no").alias("step"), F.col("anomaly").alias("trigger"))
+
+
+@query(
+    "stream_summary",
+    "WITH" + RUNS_SQL + """
+    SELECT run_id, arg_max(loss, step) AS latest_loss, min(loss) AS best_loss, count(*) AS points,
+           max(ts) AS updated_at FROM runs GROUP BY run_id""",
+)
+def stream_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The live view of every run after the last micro-batch."""
+    root = f"{_shared(spark)}/summary-{uuid.uuid4().hex}"
+    view = monitor.live_summary(streamed_points(spark, sf))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    monitor.upsert_batches(view, write, f"{root}/state").awaitTermination()
+    changes = spark.read.parquet(f"{root}/out")
+    columns = ["latest_loss", "best_loss", "points", "updated_at"]
+    newest = F.max_by(F.struct(*columns), "batch").alias("v")
+    return changes.groupBy("run_id").agg(newest).select("run_id", "v.*")

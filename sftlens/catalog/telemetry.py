@@ -16,6 +16,7 @@ from sftlens.catalog.adapters import (
 )
 from sftlens.catalog.registry import query
 from sftlens.operators import alerts, telemetry
+from sftlens.plans.skew import with_row_numbers
 from sftlens.sources.event_tables import normalize_training_log
 
 # Thresholds that the given series can reach.
@@ -106,8 +107,11 @@ def grad_norm_spike(spark: SparkSession, sf: str) -> DataFrame:
     DIRTY + "SELECT run_id, step, anomaly FROM labeled WHERE NOT fin",
 )
 def nonfinite_loss(spark: SparkSession, sf: str) -> DataFrame:
-    bad = F.col("anomaly").isin("nan_loss", "inf_loss")
-    return labels(runs_dirty(spark, sf)).where(bad).select("run_id", step(), "anomaly")
+    loss = F.col("loss")
+    kind = F.when(F.isnan(loss), "nan_loss").when(F.abs(loss) == float("inf"), "inf_loss")
+    numbered = with_row_numbers(runs_dirty(spark, sf), "run_id", list(RUN_ORDER), "row_no")
+    found = numbered.select("run_id", step(), kind.alias("anomaly"))
+    return found.where(F.col("anomaly").isNotNull())
 
 
 LABEL_ROWS = "SELECT run_id, step, event_id, increases, anomaly FROM labeled WHERE anomaly IS NOT NULL"
@@ -180,7 +184,7 @@ def run_trend(spark: SparkSession, sf: str) -> DataFrame:
               FROM runs GROUP BY 1)
     SELECT w.run_id, round(latest, 6) AS latest_loss, round(best, 6) AS best_loss, """
     + TREND.format(n="f.n", fin="f.n", s="s") + """ AS trend, round(g, 4) AS grad_norm_avg,
-    CAST(NULL AS DOUBLE) AS learning_rate, least(w.n, 1000) AS step_count
+    CAST(NULL AS DOUBLE) AS learning_rate, w.n AS step_count
     FROM whole w JOIN fit f USING (run_id)""",
 )
 def metrics_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,7 +205,7 @@ SNAPSHOTS_SQL = "WITH" + DIRTY_SQL + """,
                        ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
     SELECT run_id, step, round(loss, 6) AS latest_loss, round(best, 6) AS best_loss, """ + TREND.format(
     n="n", fin="fin", s="s"
-) + """ AS trend, round(gm, 4) AS grad_norm_avg, least(step, 1000) AS step_count
+) + """ AS trend, round(gm, 4) AS grad_norm_avg, step AS step_count
     FROM t WHERE step % 100 = 0 AND isfinite(loss)"""
 
 
@@ -254,11 +258,23 @@ def alerts_debounced_segmented(spark: SparkSession, sf: str) -> DataFrame:
     return throttled(runs_dirty(spark, sf), max_rows=40)
 
 
-CHECKS_SQL = """,
+# Runs have a point every few minutes to hours here, so many intervals are silent.
+CHECK_MINUTES = 30
+SPANS_SQL = """,
+spans AS (SELECT run_id, min(ts) AS began, max(ts) AS ended FROM runs GROUP BY run_id),
+logged AS (
+  SELECT run_id, (epoch_us(ts) - epoch_us(began)) // 1800000000 + 1 AS no,
+         arg_max(loss, step) AS loss, count(*) AS points
+  FROM runs JOIN spans USING (run_id) GROUP BY ALL)"""
+CHECKS_SQL = SPANS_SQL + """,
+slots AS (
+  SELECT run_id, began, unnest(range(1, (epoch_us(ended) - epoch_us(began)) // 1800000000 + 1)) AS no
+  FROM spans),
 checks AS (
-  SELECT run_id, date_trunc('day', ts) + INTERVAL 1 DAY AS ts,
-         arg_max(loss, step) AS latest_loss, count(*) AS points
-  FROM runs GROUP BY run_id, date_trunc('day', ts))"""
+  SELECT run_id, began + to_minutes(30 * CAST(no AS INTEGER)) AS ts,
+         last_value(loss IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY no) AS latest_loss,
+         coalesce(points, 0) AS points
+  FROM slots LEFT JOIN logged USING (run_id, no))"""
 
 
 @query(
@@ -267,7 +283,7 @@ checks AS (
     "latest_loss, points FROM checks",
 )
 def scheduled_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return alerts.scheduled_checks(runs(spark, sf), minutes=24 * 60, order=("event_id",))
+    return alerts.scheduled_checks(runs(spark, sf), minutes=CHECK_MINUTES, order=("event_id",))
 
 
 @query(
@@ -277,26 +293,78 @@ def scheduled_checks(spark: SparkSession, sf: str) -> DataFrame:
       SELECT 'monitor' AS source, anomaly AS trigger, ts, false AS critical, true AS debounced
       FROM labeled WHERE anomaly IS NOT NULL
       UNION ALL SELECT 'timer', 'scheduled_interval', ts, false, true FROM checks
+      UNION ALL SELECT 'user', 'user_message', ts, false, true FROM runs WHERE event_id % 97 = 0
+      UNION ALL SELECT 'user', 'user_chat', ts, false, false FROM runs WHERE event_id % 97 = 0
       UNION ALL SELECT 'trainer', 'training_complete', max(ts), false, true FROM runs GROUP BY run_id
       UNION ALL SELECT 'trainer', 'training_start', min(ts), false, false FROM runs GROUP BY run_id)
     GROUP BY ALL""",
 )
 def merged_triggers(spark: SparkSession, sf: str) -> DataFrame:
-    points = runs(spark, sf)
+    merged = all_triggers(runs(spark, sf))
+    return merged.groupBy("source", "trigger", "critical", "debounced").agg(
+        F.count("*").alias("triggers"), F.max("ts").alias("last_ts")
+    )
+
+
+def all_triggers(points: DataFrame) -> DataFrame:
+    """Anomalies, checks, starts, ends, and a user's question at every 97th point, as one sequence."""
     bounds = points.groupBy("run_id").agg(
         F.array(
             F.struct(F.max("ts").alias("ts"), F.lit("training_complete").alias("trigger")),
             F.struct(F.min("ts").alias("ts"), F.lit("training_start").alias("trigger")),
         ).alias("b")
     )
-    merged = alerts.merge_triggers(
+    asked = points.where(F.col("event_id") % 97 == 0)
+    chats = [
+        asked.select("run_id", "ts", F.col("event_id").alias("seq"), F.lit(t).alias("trigger"))
+        for t in ("user_message", "user_chat")
+    ]
+    return alerts.merge_triggers(
         ("monitor", alerts.anomaly_triggers(labels(points))),
-        ("timer", alerts.scheduled_checks(points, minutes=24 * 60, order=("event_id",))),
+        ("timer", alerts.scheduled_checks(points, minutes=CHECK_MINUTES, order=("event_id",))),
         ("trainer", bounds.select("run_id", F.inline("b"))),
+        ("user", chats[0].unionByName(chats[1])),
     )
-    return merged.groupBy("source", "trigger", "critical", "debounced").agg(
-        F.count("*").alias("triggers"), F.max("ts").alias("last_ts")
+
+
+MERGED_SQL = DIRTY.rstrip() + CHECKS_SQL + """,
+    merged AS (
+      SELECT run_id, 'monitor' AS source, anomaly AS trigger, ts, step AS seq,
+             anomaly IN ('nan_loss', 'inf_loss') AS critical, true AS debounced
+      FROM labeled WHERE anomaly IS NOT NULL
+      UNION ALL SELECT run_id, 'timer', 'scheduled_interval', ts, 0, false, true FROM checks
+      UNION ALL SELECT run_id, 'trainer', 'training_complete', ended, 0, false, true FROM spans
+      UNION ALL SELECT run_id, 'user', 'user_message', ts, event_id, false, true FROM runs WHERE event_id % 97 = 0),
+    a AS (SELECT *, epoch_us(ts) AS at_us,
+                 row_number() OVER (PARTITION BY run_id ORDER BY ts, seq, source, trigger) AS i FROM merged),
+    walk AS (
+      SELECT run_id, i, true AS passed, at_us AS last_us FROM a WHERE i = 1
+      UNION ALL
+      SELECT a.run_id, a.i, a.critical OR a.at_us - walk.last_us >= 21600000000,
+             CASE WHEN a.critical OR a.at_us - walk.last_us >= 21600000000 THEN a.at_us ELSE walk.last_us END
+      FROM walk JOIN a ON a.run_id = walk.run_id AND a.i = walk.i + 1)
+    SELECT a.run_id, source, trigger, ts, seq, debounced, walk.passed
+    FROM a JOIN walk ON a.run_id = walk.run_id AND a.i = walk.i
+    UNION ALL SELECT run_id, 'trainer', 'training_start', began, 0, false, true FROM spans
+    UNION ALL SELECT run_id, 'user', 'user_chat', ts, event_id, false, true FROM runs WHERE event_id % 97 = 0"""
+
+
+def throttled_merge(points: DataFrame, **options) -> DataFrame:
+    out = alerts.debounce_alerts(
+        all_triggers(points), GAP_HOURS * 3600, seq=("seq", "source", "trigger"), **options
     )
+    return out.select("run_id", "source", "trigger", "ts", "seq", "debounced", "passed")
+
+
+@query("merged_alerts_debounced", MERGED_SQL)
+def merged_alerts_debounced(spark: SparkSession, sf: str) -> DataFrame:
+    """The throttle over all triggers; starts and chats pass beside it."""
+    return throttled_merge(runs_dirty(spark, sf))
+
+
+@query("merged_alerts_debounced_segmented", MERGED_SQL)
+def merged_alerts_debounced_segmented(spark: SparkSession, sf: str) -> DataFrame:
+    return throttled_merge(runs_dirty(spark, sf), max_rows=200)
 
 
 @query(
@@ -310,8 +378,12 @@ def merged_triggers(spark: SparkSession, sf: str) -> DataFrame:
 )
 def progress_eta(spark: SparkSession, sf: str) -> DataFrame:
     points = numbered_runs(spark, sf)
-    totals = points.groupBy("run_id").agg(F.max("step").alias("total"))
-    out = telemetry.progress_eta(points.join(totals, "run_id"), F.col("total"))
+    # One row per run: its length and start, from columns of the table.
+    bounds = runs(spark, sf).groupBy("run_id").agg(
+        F.count("*").alias("total"), F.min("ts").alias("started")
+    )
+    joined = points.join(bounds, "run_id")
+    out = telemetry.progress_eta(joined, F.col("total"), started=F.col("started"))
     return out.select(
         "run_id", "step", "total_steps", "progress_pct", "elapsed_min", "remaining_min"
     )

@@ -114,15 +114,15 @@ def capped_rounds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "provider_replies",
-    """SELECT conv_id, turn, "text" AS content,
-              CASE WHEN turn % 4 = 1 THEN 'tool_calls' ELSE 'stop' END AS finish_reason,
-              CASE WHEN turn % 4 = 1 THEN 't' || conv_id ELSE '' END AS id,
-              CASE WHEN turn % 4 = 1 THEN 'get_loss_history' ELSE '' END AS name,
-              CASE WHEN turn % 4 <> 1 THEN '' WHEN conv_id % 3 = 0 THEN '{"raw":"{broken"}'
+    """SELECT conv_id, turn, CASE WHEN valid THEN "text" END AS content,
+              CASE WHEN NOT valid THEN NULL WHEN turn % 4 = 1 THEN 'tool_calls' ELSE 'stop' END AS finish_reason,
+              CASE WHEN valid AND turn % 4 = 1 THEN 't' || conv_id ELSE '' END AS id,
+              CASE WHEN valid AND turn % 4 = 1 THEN 'get_loss_history' ELSE '' END AS name,
+              CASE WHEN NOT valid OR turn % 4 <> 1 THEN '' WHEN conv_id % 3 = 0 THEN '{"raw":"{broken"}'
                    WHEN conv_id % 3 = 1 THEN '{"last_n": 5}' ELSE '{}' END AS arguments,
-              CASE WHEN conv_id % 2 = 0 THEN turn + 7 ELSE 0 END AS input_tokens,
-              CAST(0 AS BIGINT) AS output_tokens
-       FROM conversations""",
+              CASE WHEN valid THEN CASE WHEN conv_id % 2 = 0 THEN turn + 7 ELSE 0 END END AS input_tokens,
+              CASE WHEN valid THEN CAST(0 AS BIGINT) END AS output_tokens, valid
+       FROM (SELECT *, conv_id % 7 <> 0 AND conv_id % 11 <> 0 AS valid FROM conversations)""",
 )
 def provider_replies(spark: SparkSession, sf: str) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
@@ -149,6 +149,12 @@ def provider_replies(spark: SparkSession, sf: str) -> DataFrame:
         ).otherwise(""),
         F.lit("}"),
     )
+    # Every seventh reply is cut short, every eleventh has no choices.
+    reply = (
+        F.when(conv % 7 == 0, F.left(reply, F.length(reply) - 1))
+        .when(conv % 11 == 0, '{"choices": []}')
+        .otherwise(reply)
+    )
     rows = table(spark, sf, "conversations").select("conv_id", "turn", reply.alias("reply"))
     parsed = X.parse_provider_reply(rows)
     first = F.try_element_at("tool_calls", F.lit(1))
@@ -160,6 +166,7 @@ def provider_replies(spark: SparkSession, sf: str) -> DataFrame:
         *[F.coalesce(first[c], F.lit("")).alias(c) for c in ("id", "name", "arguments")],
         "input_tokens",
         "output_tokens",
+        "valid",
     )
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,33 +43,42 @@ def scheduled_checks(
     order: tuple[str, ...] = ("step",),
     completed: DataFrame | None = None,
 ) -> DataFrame:
-    """One trigger at the end of every interval in which a run logged something.
+    """One trigger at the end of every whole interval of a run, counted from its first point.
 
-    Carries the newest loss of the interval. ``completed`` (run, completed_at) stops the
-    checks of finished runs; a non-positive interval switches them off.
+    Intervals in which a run logged nothing are checked as well: a silent run is what the
+    checks are for. A check carries the number of points of its interval and the newest loss
+    up to it. Checks end with the run: at its last point, or before ``completed_at`` where
+    ``completed`` (run, completed_at) has one. A non-positive interval switches them off.
     """
     if minutes <= 0:
         df = df.where(F.lit(False))
         minutes = 1
-    checks = (
-        df.groupBy(key, F.window(ts, f"{minutes} minutes").alias("__w"))
-        .agg(
-            F.max_by("loss", F.struct(ts, *order)).alias("latest_loss"),
-            F.count(F.lit(1)).alias("points"),
-        )
-        .select(
-            key,
-            F.col("__w.end").alias(ts),
-            F.lit("scheduled_interval").alias("trigger"),
-            "latest_loss",
-            "points",
-        )
+    step = minutes * 60_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    spans = df.groupBy(key).agg(F.min(at).alias("__from"), F.max(at).alias("__to"))
+    points = join_keys(df.withColumn("__at", at), spans.drop("__to"), [key], "inner")
+    number = (F.floor((F.col("__at") - F.col("__from")) / F.lit(step)) + 1).cast("long")
+    logged = points.groupBy(key, number.alias("__no")).agg(
+        F.max_by("loss", F.struct(ts, *order)).alias("__loss"), F.count(F.lit(1)).alias("points")
     )
+    whole = F.floor((F.col("__to") - F.col("__from")) / F.lit(step))
     if completed is not None:
         done = completed.groupBy(key).agg(F.min("completed_at").alias("__done"))
-        checks = join_keys(checks, done, [key], "left")
-        checks = checks.where(F.col("__done").isNull() | (F.col(ts) < F.col("__done"))).drop("__done")
-    return checks
+        spans = join_keys(spans, done, [key], "left")
+        until = F.unix_micros(F.col("__done").cast("timestamp")) - F.col("__from")
+        whole = F.coalesce(F.ceil(until / F.lit(step)) - 1, whole)
+    numbers = F.when(whole >= 1, F.sequence(F.lit(1).cast("long"), whole.cast("long")))
+    slots = spans.select(key, "__from", F.explode(numbers).alias("__no"))
+    checks = join_keys(slots, logged, [key, "__no"], "left")
+    so_far = Window.partitionBy(key).orderBy("__no").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.timestamp_micros(F.col("__from") + F.col("__no") * F.lit(step))
+    return checks.select(
+        key,
+        end.cast(df.schema[ts].dataType).alias(ts),
+        F.lit("scheduled_interval").alias("trigger"),
+        F.last("__loss", ignorenulls=True).over(so_far).alias("latest_loss"),
+        F.coalesce("points", F.lit(0)).alias("points"),
+    )
 
 
 def merge_triggers(
@@ -240,6 +249,8 @@ def debounce_alerts(
 ) -> DataFrame:
     """Adds ``passed``. A trigger passes if it is critical, the first of its run, or
     at least ``gap_seconds`` after the last one that passed; every pass resets the clock.
+    Triggers whose ``debounced`` column is false reach the agent directly: they pass and
+    leave the clock alone.
 
     Which triggers pass is a recurrence, so each run is walked in order. Runs with more
     than ``max_rows`` triggers are cut into segments that are solved side by side: each
@@ -252,6 +263,14 @@ def debounce_alerts(
         if critical is None:
             critical = F.col("trigger").isin(CRITICAL_TRIGGERS)
         triggers = triggers.withColumn("critical", critical)
+    if "debounced" in triggers.columns:
+        direct = ~F.coalesce("debounced", F.lit(True))
+        rest = debounce_alerts(
+            triggers.where(~direct).withColumnRenamed("debounced", "__debounced"),
+            gap_seconds, key, ts, seq, critical, max_rows, sizes_from,
+        )
+        rest = rest.withColumnRenamed("__debounced", "debounced")
+        return rest.unionByName(triggers.where(direct).withColumn("passed", F.lit(True)))
     gap = int(round(gap_seconds * 1_000_000))
     columns = triggers.columns
     df = triggers.withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sftlens.functions.text import capitalize, is_blank
-from sftlens.plans.skew import collect_ordered
+from sftlens.plans.skew import MAX_ROWS_PER_KEY, collect_ordered, with_row_numbers
 
 # Required columns of the known formats, in order of preference.
 REQUIRED_COLUMNS = {"alpaca": ["instruction", "output"], "sharegpt": ["conversations"]}
@@ -27,15 +27,13 @@ UNKNOWN_FORMAT_ISSUE = (
     "(instruction/output), sharegpt (conversations), or specify --format."
 )
 MISSING_COLUMN_ISSUE = "Missing required column '{column}' for {fmt} format."
-EMPTY_ROWS_ISSUE = "%d/%d sampled rows have empty required fields (%s%%)."
+EMPTY_ROWS_ISSUE = "%d/%d rows have empty required fields (%s%%)."
+CORRUPT_ROWS_ISSUE = "%d records could not be parsed."
 SMALL_DATASET_ISSUE = (
     "Dataset is very small (%d rows). At least 100 rows recommended for meaningful SFT."
 )
 SMALL_DATASET_ROWS = 10
 
-# Turns of one conversation that go into one row.
-MAX_TURNS_PER_ROW = 1_000
-
 
 # --- format and columns ---------------------------------------------------------------
 
@@ -117,10 +115,11 @@ def empty_row(df: DataFrame, fmt: str, null_as_literal: bool = False) -> Column:
     return F.lit(fmt == "sharegpt")
 
 
-def _issue_columns(fixed: list[str], rows: Column, empty: Column, checked: Column) -> Column:
-    pct = F.round(F.try_divide(empty, checked) * 100, 1).cast("string")
+def _issue_columns(fixed: list[str], rows: Column, empty: Column, corrupt: Column) -> Column:
+    pct = F.round(F.try_divide(empty, rows) * 100, 1).cast("string")
     found = [F.lit(i) for i in fixed]
-    found.append(F.when(empty > 0, F.format_string(EMPTY_ROWS_ISSUE, empty, checked, pct)))
+    found.append(F.when(corrupt > 0, F.format_string(CORRUPT_ROWS_ISSUE, corrupt)))
+    found.append(F.when(empty > 0, F.format_string(EMPTY_ROWS_ISSUE, empty, rows, pct)))
     found.append(F.when(rows < SMALL_DATASET_ROWS, F.format_string(SMALL_DATASET_ISSUE, rows)))
     return F.array_compact(F.array(*found))
 
@@ -141,47 +140,34 @@ def validate_dataset(
     mapping: dict[str, str] | None = None,
     by: str | None = None,
     null_as_literal: bool = False,
-    sample_rows: int | None = None,
-    order: list[str] | None = None,
+    corrupt: str | None = None,
 ) -> DataFrame:
     """The report on a dataset, one row per dataset.
 
-    All rows are checked, in one aggregation. With ``sample_rows`` only the first rows in
-    ``order`` are tested for emptiness. ``by`` names a column that tells several datasets
-    in one table apart.
+    All rows are checked, in one aggregation. ``by`` names a column that tells several
+    datasets in one table apart. ``corrupt`` names the column in which the reader left the
+    records it could not parse; they are an issue of their own and count for nothing else.
     """
-    columns = [c for c in df.columns if c != by]
+    columns = [c for c in df.columns if c not in (by, corrupt)]
     fmt = detect_format(columns, mapping) if fmt == "auto" else fmt
     issues = _column_issues(columns, fmt, mapping)
     renamed = apply_mapping(df, mapping)
     keys = [by] if by else []
 
     empty = F.lit(False) if fmt == "unknown" else empty_row(renamed, fmt, null_as_literal)
-    total = F.count(F.lit(1)).alias("num_rows")
-    if sample_rows is None:
-        counts = renamed.groupBy(*keys).agg(total, F.count_if(empty).alias("__empty"))
-        counts = counts.withColumn("__checked", F.col("num_rows"))
-    else:
-        if by or not order:
-            raise ValueError("sampling needs an order and a single dataset")
-        first = renamed.orderBy(*order).limit(sample_rows)
-        sampled = first.agg(
-            F.lit(0).cast("long").alias("num_rows"),
-            F.count_if(empty).alias("__empty"),
-            F.count(F.lit(1)).alias("__checked"),
-        )
-        unsampled = F.lit(0).cast("long")
-        counted = renamed.agg(total, unsampled.alias("__empty"), unsampled.alias("__checked"))
-        counts = counted.unionByName(sampled).agg(
-            *[F.max(c).alias(c) for c in ("num_rows", "__empty", "__checked")]
-        )
+    broken = F.col(f"`{corrupt}`").isNotNull() if corrupt else F.lit(False)
+    counts = renamed.groupBy(*keys).agg(
+        F.count_if(~broken).alias("num_rows"),
+        F.count_if(empty & ~broken).alias("__empty"),
+        F.count_if(broken).alias("__corrupt"),
+    )
     label = F.col(by) if by else F.lit(source)
     report = counts.select(
         label.alias("source"),
         F.lit(fmt).alias("format"),
         "num_rows",
         F.array(*[F.lit(c) for c in columns]).cast("array<string>").alias("columns"),
-        _issue_columns(issues, F.col("num_rows"), F.col("__empty"), F.col("__checked")).alias(
+        _issue_columns(issues, F.col("num_rows"), F.col("__empty"), F.col("__corrupt")).alias(
             "issues"
         ),
         F.col("__empty").alias("empty_rows"),
@@ -222,12 +208,13 @@ def normalize_role(role: Column) -> Column:
 
 def alpaca_messages(df: DataFrame, null_as_literal: bool = False) -> Column:
     """The two messages of an instruction row."""
-    instruction = _text(F.col("instruction"), null_as_literal)
-    extra = _text(F.col("input"), null_as_literal) if "input" in df.columns else F.lit("")
+    instruction, extra, output = (
+        _text(F.col(c), null_as_literal) if c in df.columns else F.lit("")
+        for c in ("instruction", "input", "output")
+    )
     asked = F.when(extra == "", instruction).otherwise(
         F.concat(instruction, F.lit("\n\n"), extra)
     )
-    output = _text(F.col("output"), null_as_literal)
     return F.array(_message(F.lit("user"), asked), _message(F.lit("assistant"), output))
 
 
@@ -284,14 +271,17 @@ def prepare_for_training(
     tokenizer=None,
     null_as_literal: bool = False,
     keep: tuple[str, ...] = (),
+    corrupt: str | None = None,
 ) -> DataFrame:
-    """One ``text`` per training example.
+    """One ``text`` per training example; records in a ``corrupt`` column make none.
 
     ``tokenizer`` (G1) may be a pandas UDF from messages to text; without one the
     rendering stays inside the projection. ``keep`` carries key columns along.
     """
     fmt = detect_format(df.columns, mapping) if fmt == "auto" else fmt
     df = apply_mapping(df, mapping)
+    if corrupt:
+        df = df.where(F.col(f"`{corrupt}`").isNull())
     if fmt == "alpaca":
         messages = alpaca_messages(df, null_as_literal)
     elif fmt == "sharegpt":
@@ -302,23 +292,15 @@ def prepare_for_training(
     return df.select(*keep, text.alias("text"))
 
 
-def inject_system_message(
-    messages: Column, text: Column, part: Column | None = None
-) -> Column:
-    """Append to the leading system message, or put one in front.
-
-    ``part`` numbers the rows of a conversation that spans several; only the first one
-    opens it.
-    """
+def inject_system_message(messages: Column, text: Column) -> Column:
+    """Append to the leading system message, or put one in front."""
     head = F.try_element_at(messages, F.lit(1))
     extended = F.concat(
         F.array(_message(head["role"], F.concat(head["content"], text))),
         F.slice(messages, F.lit(2), F.greatest(F.size(messages) - 1, F.lit(0))),
     )
     prepended = F.concat(F.array(_message(F.lit("system"), text)), messages)
-    opens = F.lit(True) if part is None else part == 0
-    leads = F.coalesce(head["role"] == "system", F.lit(False))
-    return F.when(opens & leads, extended).when(opens, prepended).otherwise(messages)
+    return F.when(F.coalesce(head["role"] == "system", F.lit(False)), extended).otherwise(prepended)
 
 
 def turns_to_conversations(
@@ -327,15 +309,42 @@ def turns_to_conversations(
     turn: str = "turn",
     role: str = "role",
     text: str = "text",
-    max_turns: int = MAX_TURNS_PER_ROW,
 ) -> DataFrame:
-    """Conversation rows (``conversations``, ``part``) out of one row per turn.
+    """One conversation row (``conversations``) out of one row per turn.
 
-    A conversation beyond ``max_turns`` spans several parts; every rendered part ends in a
-    line break, so the parts' texts put together are the conversation's text.
+    A training example is one row, so a conversation has to fit one; ``transcript_lines``
+    has no such limit.
     """
     item = F.struct(F.col(role).alias("from"), F.col(text).alias("value"))
-    return collect_ordered(df, key, [turn], item, "conversations", max_turns)
+    return collect_ordered(df, key, [turn], item, "conversations")
+
+
+def transcript_lines(
+    df: DataFrame,
+    key: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    null_as_literal: bool = False,
+    max_rows: int = MAX_ROWS_PER_KEY,
+) -> DataFrame:
+    """B14 in the long form: ``key, position, line``, one row per rendered turn.
+
+    The lines of a conversation in order of ``position`` (from 1), each with a line break,
+    are its text. Turns with unknown roles go, as in the one-row form.
+    """
+    kept = df.withColumn("__role", normalize_role(F.col(role))).where("__role is not null")
+    numbered = with_row_numbers(kept, key, [turn], "position", max_rows)
+    line = F.concat(capitalize(F.col("__role")), F.lit(": "), _text(F.col(text), null_as_literal))
+    return numbered.select(key, "position", line.alias("line"))
+
+
+def conversation_pieces(lines: DataFrame, every: int, key: str = "conv_id") -> DataFrame:
+    """Every conversation in pieces of ``every`` rendered turns: ``key, part, text``."""
+    parted = lines.withColumn("part", F.floor((F.col("position") - 1) / F.lit(every)).cast("long"))
+    packed = F.sort_array(F.collect_list(F.struct("position", "line")))
+    text = F.array_join(F.transform(packed, lambda x: x["line"]), "\n")
+    return parted.groupBy(key, "part").agg(F.concat(text, F.lit("\n")).alias("text"))
 
 
 CONVERSATION = T.ArrayType(

@@ -22,6 +22,7 @@ PASS_SCORE = 3.0
 # Texts that appear in results.
 PARSE_ERROR_SUMMARY = "Scoring parse error — defaulted to neutral scores."
 NO_SUMMARY = "No summary provided"
+PENDING_ACTION = "Quality %.2f below threshold. Provide new dataset?"
 GENERIC_PROMPTS = [
     "Explain the concept of {dataset} in simple terms.",
     "What are the key principles in this domain?",
@@ -46,7 +47,18 @@ def parse_generated_prompts(reply: Column, n: int, dataset: Column) -> Column:
     """Up to ``n`` prompts out of a model reply: a JSON array, else its longer lines,
     else generic ones."""
     text = strip(F.coalesce(reply, F.lit("")))
-    listed = F.from_json(text, "array<string>")
+    # Text after the array makes it no array; null, true and false read as Python prints them.
+    document = F.try_parse_json(text)
+    values = F.try_variant_get(document, "$", "array<variant>")
+    words = {"null": "None", "true": "True", "false": "False"}
+    listed = F.transform(
+        values,
+        lambda v: F.coalesce(
+            F.create_map(*[F.lit(x) for pair in words.items() for x in pair])[F.to_json(v)],
+            F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string")),
+            F.to_json(v),
+        ),
+    )
     lines = F.transform(
         split_lines(text), lambda x: F.btrim(F.btrim(strip(x), F.lit('"')), F.lit("'"))
     )
@@ -98,13 +110,9 @@ def scoring_request(dataset: Column, pairs: Column, template: str | None = None)
     return F.replace(with_dataset, F.lit("\1"), pairs_json(pairs))
 
 
-def collect_pairs(
-    paired: DataFrame, key: str = "eval_id", max_pairs: int = 1000
-) -> DataFrame:
-    """Pairs of each evaluation in order; long evaluations become several requests."""
-    return collect_ordered(
-        paired, key, ["position"], F.struct("prompt", "response"), "pairs", max_pairs
-    )
+def collect_pairs(paired: DataFrame, key: str = "eval_id") -> DataFrame:
+    """The pairs of each evaluation in order, one request's worth per evaluation."""
+    return collect_ordered(paired, key, ["position"], F.struct("prompt", "response"), "pairs")
 
 
 def pair_prompts_responses(
@@ -143,8 +151,12 @@ def parse_scores(df: DataFrame, reply: str = "reply", n_prompts: str = "n_prompt
     value that is not a number, or a reply that is not such a document, makes every prompt
     of the reply neutral.
     """
-    parsed = F.try_parse_json(strip(F.coalesce(F.col(reply), F.lit(""))))
-    df = df.withColumn("__v", parsed)
+    document = strip(F.coalesce(F.col(reply), F.lit("")))
+    # A repeated member makes no variant; read by name, the last one counts, as elsewhere.
+    dims = ",".join(f"{d}:variant" for d in DIMENSIONS)
+    named = F.from_json(document, f"scores array<struct<{dims}>>, summary variant")
+    again = F.when(named["scores"].isNotNull(), F.try_parse_json(F.to_json(named)))
+    df = df.withColumn("__v", F.coalesce(F.try_parse_json(document), again))
     v = F.col("__v")
     df = df.withColumns(
         {
@@ -158,6 +170,10 @@ def parse_scores(df: DataFrame, reply: str = "reply", n_prompts: str = "n_prompt
     def value(item: Column, dim: str) -> Column:
         present = F.try_variant_get(item, f"$.{dim}", "variant").isNotNull()
         number = F.try_variant_get(item, f"$.{dim}", "bigint")
+        # A whole number beyond 64 bits is still a number, and is clamped.
+        text = F.try_variant_get(item, f"$.{dim}", "string")
+        large = F.when(text.rlike(r"^[+-]?\d{19,}$"), F.when(text.startswith("-"), 1).otherwise(5))
+        number = F.coalesce(number, large)
         clamped = F.greatest(F.lit(1), F.least(F.lit(5), number)).cast("int")
         return F.when(~present, F.lit(NEUTRAL_SCORE)).when(number.isNotNull(), clamped)
 
@@ -254,6 +270,12 @@ def eval_alerts(
     return evals.where(~F.col("passed")).select(*keep, message.alias("message"))
 
 
+def eval_pending_actions(evals: DataFrame, keep: list[str]) -> DataFrame:
+    """What the user is asked after an evaluation below the threshold."""
+    asked = F.format_string(PENDING_ACTION, F.col("avg_score"))
+    return evals.where(~F.col("passed")).select(*keep, asked.alias("pending_user_action"))
+
+
 def compare_rounds(
     evals: DataFrame,
     key: str = "session_id",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sftlens.functions.numeric import finite
@@ -17,8 +17,6 @@ STATUS_LABELS = {"training": "running", "waiting_user": "waiting"}
 RECENT_SESSIONS = 10
 SUMMARY_DECISIONS = 5
 CONTEXT_POINTS = 50
-# Evaluations of one session that go into one row of a summary.
-MAX_EVALS_PER_ROW = 10_000
 
 
 def _updated(digits: int = 16) -> Column:
@@ -48,14 +46,11 @@ def resumable_session(states: DataFrame) -> DataFrame:
 
 
 def resumable_by_project(states: DataFrame, project: str = "project_name") -> DataFrame:
-    """E2 per project: a partial aggregate of one candidate per project and task."""
-    newest = F.max(F.struct("updated_at", "session_id", "status", "output_dir")).alias("__s")
-    return (
-        states.where(F.col("status").isin(RESUMABLE))
-        .groupBy(project)
-        .agg(newest)
-        .select(project, "__s.*")
-    )
+    """E2 per project, with the same order; one candidate per project leaves a task."""
+    candidates = states.where(F.col("status").isin(RESUMABLE))
+    first = Window.partitionBy(project).orderBy(*_newest_first())
+    ranked = candidates.withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
+    return ranked.select(project, "updated_at", "session_id", "status", "output_dir")
 
 
 def history_rows(
@@ -174,12 +169,11 @@ def session_summary(
     decisions: DataFrame,
     evals: DataFrame,
     key: str = "session_id",
-    max_evals: int = MAX_EVALS_PER_ROW,
 ) -> DataFrame:
     """The compact document of each session, from the state, decision and eval tables.
 
-    Only the last five decisions of a session leave the map side. A session with more
-    than ``max_evals`` evaluations has several rows, told apart by ``part``.
+    One row per session, whose evaluations have to fit it; only the last five decisions of
+    a session leave the map side.
     """
     recent = last_rows(decisions, key, ["ts", "seq"], SUMMARY_DECISIONS, "__rank")
     item = F.struct("ts", "seq", "trigger", "action")
@@ -191,7 +185,7 @@ def session_summary(
         ).alias("last_decisions")
     )
     scored = F.struct(F.col("round_num").alias("round"), "avg_score", "passed")
-    rounds = collect_ordered(evals, key, ["ts", "round_num"], scored, "eval_results", max_evals)
+    rounds = collect_ordered(evals, key, ["ts", "round_num"], scored, "eval_results")
 
     p, m = (lambda f: F.col(f"training_progress.{f}")), (lambda f: F.col(f"metrics_summary.{f}"))
     base = states.select(
@@ -223,7 +217,6 @@ def session_summary(
         {
             "last_decisions": _or_empty(out, "last_decisions"),
             "eval_results": _or_empty(out, "eval_results"),
-            "part": F.coalesce("part", F.lit(0).cast("long")),
         }
     )
 
@@ -262,7 +255,6 @@ def agent_context(
     state = summaries.select(
         key,
         F.to_json(F.struct(*SUMMARY_FIELDS), {"ignoreNullFields": "false"}).alias("__state"),
-        "part",
     )
     joined = join_keys(join_keys(triggers, state, [key], "inner"), history, [key], "left")
     members = {
@@ -292,7 +284,11 @@ def finalize_rounds(
     ``metrics`` has a ``round`` column; ``evals`` has (run, round, ts, avg_score). Both are
     reduced to one row per round before they meet.
     """
-    named = F.max(F.col(dataset)) if dataset else F.lit(None).cast("string")
+    # A sequence number decides between rows of one instant, then the value itself.
+    at = [c for c in (ts, "seq", "step") if c in metrics.columns]
+    named = (
+        F.max_by(dataset, F.struct(*at, dataset)) if dataset else F.lit(None).cast("string")
+    )
     rounds = metrics.groupBy(key, "round").agg(
         F.min(finite(F.col("loss"))).alias("final_loss"),
         F.max(ts).alias("completed_at"),
@@ -301,7 +297,10 @@ def finalize_rounds(
     if evals is None:
         rounds = rounds.withColumn("eval_score", F.lit(None).cast("double"))
     else:
-        last = evals.groupBy(key, "round").agg(F.max_by("avg_score", ts).alias("eval_score"))
+        scored = [c for c in (ts, "seq", "round_num", "avg_score") if c in evals.columns]
+        last = evals.groupBy(key, "round").agg(
+            F.max_by("avg_score", F.struct(*scored)).alias("eval_score")
+        )
         rounds = join_keys(rounds, last, [key, "round"], "left")
     return rounds.withColumn("next_round", F.col("round") + 1)
 

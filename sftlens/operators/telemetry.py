@@ -288,7 +288,7 @@ def metrics_summary(
     rules: Rules = DEFAULT_RULES,
 ) -> DataFrame:
     """Latest and best loss, trend, mean of the newest gradient norms, last known
-    learning rate and the bounded point count of each run."""
+    learning rate and the point count of each run."""
     order = list(order)
     at = F.struct(*order)
     lr = F.col("lr") if "lr" in df.columns else F.lit(None).cast("double")
@@ -296,12 +296,14 @@ def metrics_summary(
         F.round(F.max_by("loss", at), 6).alias("latest_loss"),
         F.round(F.min(finite(F.col("loss"))), 6).alias("best_loss"),
         F.max_by(lr, F.when(lr.isNotNull(), at)).alias("learning_rate"),
-        F.least(F.count(F.lit(1)), F.lit(rules.history_points)).alias("step_count"),
+        F.count(F.lit(1)).alias("step_count"),
     )
     grads = last_rows(
         df.where(F.col("grad_norm").isNotNull()), key, order, rules.grad_mean_points, "__rank"
     )
-    grads = grads.groupBy(key).agg(F.round(F.avg("grad_norm"), 4).alias("grad_norm_avg"))
+    # Values that are no numbers leave the mean undefined, here as in the snapshots.
+    mean = F.when(F.bool_and(is_finite(F.col("grad_norm"))), F.round(F.avg("grad_norm"), 4))
+    grads = grads.groupBy(key).agg(mean.alias("grad_norm_avg"))
     trend = run_trend(df, key, tuple(order), rules).select(key, "trend")
     out = join_keys(whole, trend, [key], "left")
     out = join_keys(out, grads, [key], "left")
@@ -398,7 +400,7 @@ def _snapshots(
         trend_label(total, F.col("__finite"), F.col("__slope"), rules).alias("trend"),
         F.round("__grad.mean", 4).alias("grad_norm_avg"),
         "learning_rate",
-        F.least(total, F.lit(rules.history_points)).cast("long").alias("step_count"),
+        total.cast("long").alias("step_count"),
     )
 
 

@@ -62,11 +62,14 @@ def text_tool_calls(content: Column) -> Column:
 
 def parse_provider_reply(df: DataFrame, reply: str = "reply", text_calls: bool = False) -> DataFrame:
     """adds ``content``, ``finish_reason``, ``tool_calls`` and token counts of the first
-    choice of a chat completion. With ``text_calls``, replies without native calls are
-    searched for calls in their text."""
+    choice of a chat completion, and ``valid``. With ``text_calls``, replies without native
+    calls are searched for calls in their text. A reply that is no JSON document or has no
+    message is not valid, and all it would give is null."""
     df = df.withColumn("__r", F.from_json(F.col(reply), REPLY_TYPE))
     choice = F.try_element_at(F.col("__r.choices"), F.lit(1))
     content = choice["message"]["content"]
+    valid = F.try_parse_json(F.col(reply)).isNotNull() & choice["message"].isNotNull()
+    valid = F.coalesce(valid, F.lit(False))
 
     def call(c: Column) -> Column:
         raw = F.coalesce(c["function"]["arguments"], F.lit("{}"))
@@ -83,15 +86,15 @@ def parse_provider_reply(df: DataFrame, reply: str = "reply", text_calls: bool =
     calls = native
     if text_calls:
         calls = F.when(F.size(native) > 0, native).otherwise(text_tool_calls(content))
-    return df.withColumns(
-        {
-            "content": content,
-            "finish_reason": F.coalesce(choice["finish_reason"], F.lit("stop")),
-            "tool_calls": calls,
-            "input_tokens": F.coalesce(F.col("__r.usage.prompt_tokens"), F.lit(0)),
-            "output_tokens": F.coalesce(F.col("__r.usage.completion_tokens"), F.lit(0)),
-        }
-    ).drop("__r")
+    found = {
+        "content": content,
+        "finish_reason": F.coalesce(choice["finish_reason"], F.lit("stop")),
+        "tool_calls": calls,
+        "input_tokens": F.coalesce(F.col("__r.usage.prompt_tokens"), F.lit(0)),
+        "output_tokens": F.coalesce(F.col("__r.usage.completion_tokens"), F.lit(0)),
+    }
+    found = {name: F.when(valid, c) for name, c in found.items()}
+    return df.withColumns({**found, "valid": valid}).drop("__r")
 
 
 def explode_calls(df: DataFrame, calls: str, keep: list[str]) -> DataFrame:
@@ -120,20 +123,17 @@ def _repr(value: Column, text: Column) -> Column:
 
 def _members(document: Column, n: int, shown: str) -> Column:
     """The first ``n`` members of a JSON object in document order."""
-    names = F.slice(F.coalesce(F.json_object_keys(document), F.array().cast("array<string>")), 1, n)
-    values = F.try_parse_json(document).try_cast("map<string,variant>")
-    return F.transform(
-        names,
-        lambda k: F.format_string(
-            shown,
-            k,
-            _repr(
-                F.try_element_at(values, k),
-                F.coalesce(F.try_element_at(values, k).try_cast("string"),
-                           F.to_json(F.try_element_at(values, k))),
-            ),
-        ),
-    )
+    # Variants know the kind of a value, the plain text keeps the decimal point of a number.
+    kinds = F.slice(F.map_entries(F.from_json(document, "map<string,variant>")), 1, n)
+    texts = F.slice(F.map_entries(F.from_json(document, "map<string,string>")), 1, n)
+
+    def member(kind: Column, text: Column) -> Column:
+        value = kind["value"]
+        nested = F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
+        plain = F.when(nested, F.to_json(value)).otherwise(text["value"])
+        return F.format_string(shown, kind["key"], _repr(value, plain))
+
+    return F.coalesce(F.zip_with(kinds, texts, member), F.array().cast("array<string>"))
 
 
 def format_arguments(arguments: Column) -> Column:
@@ -215,13 +215,16 @@ def decision_log(
     actions: DataFrame,
     key: str = "call_id",
     position: str = "position",
+    reasoning_chars: int = REASONING_CHARS,
+    action_chars: int = ACTION_CHARS,
 ) -> DataFrame:
-    """reasoning and actions of each agent call as one log entry.
+    """reasoning and actions of each agent call as one log entry of bounded length.
 
+    The pieces themselves are what is passed in, so nothing is lost by the bounds.
     ``reasoning`` has (call, position, text), ``actions`` (call, position, action).
     """
-    texts = _joined_prefix(reasoning, key, position, "text", " | ", REASONING_CHARS, "agent_reasoning")
-    done = _joined_prefix(actions, key, position, "action", "; ", ACTION_CHARS, "action_taken")
+    texts = _joined_prefix(reasoning, key, position, "text", " | ", reasoning_chars, "agent_reasoning")
+    done = _joined_prefix(actions, key, position, "action", "; ", action_chars, "action_taken")
     out = join_keys(join_keys(calls, texts, [key], "left"), done, [key], "left")
     return out.withColumns(
         {

@@ -236,35 +236,15 @@ def last_rows(
 
 
 def collect_ordered(
-    df: DataFrame,
-    key: str,
-    order: list[str],
-    item: Column,
-    out: str,
-    max_items: int,
-    sizes_from: DataFrame | None = None,
+    df: DataFrame, key: str, order: list[str], item: Column, out: str
 ) -> DataFrame:
-    """Gather the items of each key into ordered arrays of at most ``max_items``.
+    """The items of each key as one ordered array: one row per key, whatever its size.
 
-    A key with more rows becomes several rows, numbered by ``part``; reading the parts in
-    order gives the whole sequence, so no key can overflow a task or a row.
+    The array has to fit a row, as any document does; keys of unknown size belong in the
+    long form (``with_row_numbers``), which has one row per item.
     """
-    split = split_hot(df, key, max_items, sizes_from)
-
-    def gather(rows: DataFrame, keys: list[str]) -> DataFrame:
-        packed = F.sort_array(F.collect_list(F.struct(*order, item.alias("__item"))))
-        return rows.groupBy(*keys).agg(
-            F.transform(packed, lambda x: x["__item"]).alias(out)
-        )
-
-    usual = gather(split.usual, [key]).withColumn("part", F.lit(0).cast("long"))
-    if split.hot is None:
-        return usual
-    numbered = number_rows(split.hot, key, order, split.hot_rows, split.hot_keys)
-    numbered = numbered.withColumn(
-        "part", F.floor((F.col("row_no") - 1) / F.lit(max_items)).cast("long")
-    )
-    return usual.unionByName(gather(numbered, [key, "part"]))
+    packed = F.sort_array(F.collect_list(F.struct(*order, item.alias("__item"))))
+    return df.groupBy(key).agg(F.transform(packed, lambda x: x["__item"]).alias(out))
 
 
 def running_by_segment(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from sftlens import schemas
@@ -63,12 +64,30 @@ def append_events(df: DataFrame, root: str, table: str, ts: str | None = None) -
     if ts is None:
         ts = next((c for c in ("ts", "timestamp", "completed_at") if c in df.columns), None)
     day = F.to_date(F.col(ts)) if ts else F.current_date()
-    df.withColumn("day", day).write.mode("append").partitionBy("day").parquet(f"{root}/{table}")
+    rows = as_declared(df.withColumn("day", day), table)
+    # Ranges of days: a task writes few days, and a day with many rows is written by several.
+    rows = rows.repartitionByRange("day", *([ts] if ts else []))
+    rows.write.mode("append").partitionBy("day").parquet(f"{root}/{table}")
+
+
+def as_declared(df: DataFrame, table: str) -> DataFrame:
+    """The rows in the table's schema: absent columns are null, unknown ones are refused, and
+    values that cannot be cast fail the write instead of the reads after it."""
+    fields = TABLES[table].fields
+    unknown = set(df.columns) - {f.name for f in fields} - {"day"}
+    if unknown:
+        raise ValueError(f"table '{table}' has no columns {sorted(unknown)}")
+    typed = [
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in fields
+    ]
+    return df.select(*typed, *[c for c in ("day",) if c in df.columns])
 
 
 def read_events(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """An event table with its ``day`` partitions."""
-    return spark.read.parquet(f"{root}/{table}")
+    """An event table, as declared, with its ``day`` partitions."""
+    schema = T.StructType([*TABLES[table].fields, T.StructField("day", T.DateType())])
+    return spark.read.schema(schema).parquet(f"{root}/{table}")
 
 
 def append_stream(
@@ -76,7 +95,7 @@ def append_stream(
 ) -> StreamingQuery:
     """A4 for streams: the file sink, which commits each batch exactly once."""
     return (
-        df.withColumn("day", F.to_date(F.col(ts)))
+        as_declared(df.withColumn("day", F.to_date(F.col(ts))), table)
         .writeStream.format("parquet")
         .partitionBy("day")
         .option("path", f"{root}/{table}")

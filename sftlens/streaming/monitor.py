@@ -29,6 +29,8 @@ OUTPUT = (
     "best_loss double, anomaly string, passed boolean, snapshot boolean, trend string, "
     "grad_norm_avg double, late boolean"
 )
+# Sliding frames that are laid out at a time; memory does not follow the micro-batch.
+FRAMES_AT_ONCE = 1024
 STATE = (
     "losses array<double>, grads array<double>, points long, increases long, best double, "
     "last_ts long, last_step long, last_pass long"
@@ -45,10 +47,12 @@ def _means_before(values: np.ndarray, width: int, count: int) -> np.ndarray:
     out = np.full(count, np.nan)
     if len(values) <= width:
         return out
-    frames = np.lib.stride_tricks.sliding_window_view(values[:-1], width)
-    full = frames[-count:]
-    means = full.mean(axis=1)
-    out[count - len(full) :] = np.where(np.isfinite(full).all(axis=1), means, np.nan)
+    frames = np.lib.stride_tricks.sliding_window_view(values[:-1], width)[-count:]
+    base = count - len(frames)
+    for first in range(0, len(frames), FRAMES_AT_ONCE):
+        full = frames[first : first + FRAMES_AT_ONCE]
+        means = np.where(np.isfinite(full).all(axis=1), full.mean(axis=1), np.nan)
+        out[base + first : base + first + len(full)] = means
     return out
 
 
@@ -59,8 +63,11 @@ def _slopes(values: np.ndarray, width: int, count: int) -> np.ndarray:
         return out
     frames = np.lib.stride_tricks.sliding_window_view(values, width)[-count:]
     x = np.arange(width) - (width - 1) / 2
-    centered = frames - frames.mean(axis=1, keepdims=True)
-    out[count - len(frames) :] = centered @ x / (x @ x)
+    base = count - len(frames)
+    for first in range(0, len(frames), FRAMES_AT_ONCE):
+        part = frames[first : first + FRAMES_AT_ONCE]
+        centered = part - part.mean(axis=1, keepdims=True)
+        out[base + first : base + first + len(part)] = centered @ x / (x @ x)
     return out
 
 
@@ -150,13 +157,16 @@ def _snapshots(
     out.loc[due, "grad_norm_avg"] = means
 
 
-def _monitor(rules: Rules, gap: int):
+def _monitor(rules: Rules, gap: int, idle_ms: int | None):
     keep_losses = max(rules.window, rules.plateau_points, rules.trend_points)
     keep_grads = max(rules.window, rules.grad_mean_points)
 
     def run(
         key: tuple, batches: Iterator[pd.DataFrame], group: GroupState
     ) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
+            return
         pdf = pd.concat(list(batches), ignore_index=True)
         pdf = pdf.sort_values(["at", "step"], kind="stable", ignore_index=True)
         if group.exists:
@@ -215,6 +225,8 @@ def _monitor(rules: Rules, gap: int):
                 "last_pass": int(at[passes][-1]) if passes.any() else state["last_pass"],
             }
             group.update(tuple(state.values()))
+        if idle_ms and group.exists:
+            group.setTimeoutDuration(idle_ms)
         names = [c.split()[0] for c in OUTPUT.split(", ")]
         for name in names:
             if name not in result:
@@ -239,13 +251,15 @@ def live_monitor(
     key: str = "run_id",
     ts: str = "ts",
     step: str = "step",
+    idle_hours: float | None = None,
 ) -> DataFrame:
     """Every point of a stream with its row number, label, throttle decision
     and, when due, summary snapshot.
 
     Points are ordered by (ts, step). A point at or before the newest one already seen of
     its run is marked ``late`` and changes nothing. A NaN loss leaves Python as null; the
-    label tells.
+    label tells. With ``idle_hours`` the state of a run goes when it had no point for so long on the
+    clock; such a query has to run continuously, as a timer always has a batch to come.
     """
     grad = F.col("grad_norm")
     prepared = points.where(F.col("loss").isNotNull()).select(
@@ -258,42 +272,113 @@ def live_monitor(
         F.coalesce(F.isnan(grad), F.lit(False)).alias("grad_nan"),
     )
     return prepared.groupBy("run_id").applyInPandasWithState(
-        _monitor(rules, int(gap_seconds * 1_000_000)),
+        _monitor(rules, int(gap_seconds * 1_000_000), int(idle_hours * 3_600_000) if idle_hours else None),
         OUTPUT,
         STATE,
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if idle_hours else GroupStateTimeout.NoTimeout,
     )
 
 
+CHECK_STATE = (
+    "began long, due long, newest_at long, newest_step long, loss double, silent long, "
+    "open_no array<long>, open_points array<long>, open_at array<long>, open_step array<long>, "
+    "open_loss array<double>"
+)
+
+
+def _checker(step: int, max_silent: int):
+    """The checks of one run. Its state holds the intervals that are still open."""
+
+    def run(
+        key: tuple, batches: Iterator[pd.DataFrame], group: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if group.exists:
+            began, due, at, number, loss, silent, *lists = group.get
+            open_intervals = {n: [c, (a, s), v] for n, c, a, s, v in zip(*lists)}
+            newest = (at, number)
+        else:
+            began, due, newest, loss, silent, open_intervals = None, 1, (-1, -1), None, 0, {}
+        for pdf in batches:
+            if began is None:
+                began = int(pdf["at"].min())
+            pdf = pdf.assign(no=(pdf["at"] - began) // step + 1)
+            pdf = pdf[pdf["no"] >= due].sort_values(["at", "step"], kind="stable")
+            for no, rows in pdf.groupby("no"):
+                last = rows.iloc[-1]
+                place = (int(last["at"]), int(last["step"]))
+                seen = open_intervals.setdefault(int(no), [0, (-1, -1), np.nan])
+                seen[0] += len(rows)
+                if place >= seen[1]:
+                    seen[1:] = [place, float(last["loss"])]
+        watermark = group.getCurrentWatermarkMs() * 1000
+        out = []
+        while began + due * step <= watermark and silent < max_silent:
+            points, place, value = open_intervals.pop(due, (0, None, None))
+            silent = 0 if points else silent + 1
+            if points and place >= newest:
+                newest, loss = place, value
+            out.append((key[0], began + due * step, loss, points))
+            due += 1
+        if silent >= max_silent:
+            group.remove()
+        else:
+            rows = sorted(open_intervals.items())
+            lists = [[n for n, _ in rows], [v[0] for _, v in rows], [v[1][0] for _, v in rows],
+                     [v[1][1] for _, v in rows], [v[2] for _, v in rows]]
+            group.update((began, due, *newest, loss, silent, *lists))
+            group.setTimeoutTimestamp(-(-(began + due * step) // 1000))
+        found = pd.DataFrame(out, columns=["run_id", "at", "latest_loss", "points"])
+        yield found.astype({"at": "int64", "latest_loss": "float64", "points": "int64"})
+
+    return run
+
+
 def live_checks(
     points: DataFrame,
     minutes: int = 30,
     delay: str = "10 minutes",
     key: str = "run_id",
     ts: str = "ts",
+    step: str = "step",
+    max_silent: int = 48,
 ) -> DataFrame:
-    """The scheduled checks as a windowed aggregation, emitted once the watermark has
-    passed the end of an interval."""
+    """The scheduled checks, each emitted once the watermark has passed its interval.
+
+    Intervals count from a run's first point. An event-time timer fires at the end of each,
+    so that silent ones are checked as well; after ``max_silent`` of them in a row the run
+    counts as ended and its state goes. Points of intervals already checked change nothing.
+    """
     stamped = points.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    return (
-        stamped.groupBy(key, F.window(ts, f"{minutes} minutes").alias("__w"))
-        .agg(F.max_by("loss", ts).alias("latest_loss"), F.count(F.lit(1)).alias("points"))
-        .select(
-            key,
-            F.col("__w.end").alias(ts),
-            F.lit("scheduled_interval").alias("trigger"),
-            "latest_loss",
-            "points",
-        )
+    prepared = stamped.select(
+        F.col(key).alias("run_id"),
+        ts,
+        F.unix_micros(ts).alias("at"),
+        F.col(step).cast("long").alias("step"),
+        F.col("loss").cast("double").alias("loss"),
+    )
+    checks = prepared.groupBy("run_id").applyInPandasWithState(
+        _checker(minutes * 60_000_000, max_silent),
+        "run_id string, at long, latest_loss double, points long",
+        CHECK_STATE,
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    return checks.select(
+        F.col("run_id").alias(key),
+        F.timestamp_micros("at").alias(ts),
+        F.lit("scheduled_interval").alias("trigger"),
+        "latest_loss",
+        "points",
     )
 
 
 def live_summary(points: DataFrame, key: str = "run_id", ts: str = "ts") -> DataFrame:
     """Newest loss, best loss and number of points per run, for update mode."""
     loss = F.col("loss")
+    at = F.struct(*[c for c in (ts, "step") if c in points.columns], loss)
     return points.groupBy(key).agg(
-        F.max_by(loss, ts).alias("latest_loss"),
+        F.max_by(loss, at).alias("latest_loss"),
         F.min(F.when(~F.isnan(loss) & (F.abs(loss) != float("inf")), loss)).alias("best_loss"),
         F.count(F.lit(1)).alias("points"),
         F.max(ts).alias("updated_at"),
