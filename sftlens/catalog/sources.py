@@ -70,7 +70,7 @@ def validate_source(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "append_metrics",
     "WITH" + RUNS_SQL + """
-    SELECT run_id, event_id AS step, ts, loss, grad_norm, CAST(NULL AS DOUBLE) AS lr,
+    SELECT run_id, event_id AS step, ts, loss, grad_norm, CAST(NULL AS DOUBLE) AS lr, CAST(NULL AS DOUBLE) AS epoch,
            CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM runs""",
 )
 def append_metrics(spark: SparkSession, sf: str) -> DataFrame:

@@ -55,6 +55,17 @@ def json_text(c: Column) -> Column:
     )
 
 
+def strict_json(c: Column) -> Column:
+    """The JSON document a text is, as a variant; null if anything else stands in it.
+
+    The parser stops at the end of a document. Inside an array with one more item, what
+    follows the document is a syntax error or changes the number of items.
+    """
+    both = F.try_parse_json(F.concat(F.lit("["), c, F.lit(",0]")))
+    items = F.try_variant_get(both, "$", "array<variant>")
+    return F.when(F.size(items) == 2, F.try_element_at(items, F.lit(1)))
+
+
 def project_slug(c: Column) -> Column:
     """A short project name out of a path, URL or dataset id."""
     base = F.split_part(F.split_part(c, F.lit("/"), F.lit(-1)), F.lit("."), F.lit(1))

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sftlens.functions.text import format_or_dash, json_text, split_lines, strip, title_words
+from sftlens.functions.text import (
+    format_or_dash,
+    json_text,
+    split_lines,
+    strict_json,
+    strip,
+    title_words,
+)
 from sftlens.plans.skew import (
     MAX_ROWS_PER_KEY,
     collect_ordered,
@@ -47,18 +54,15 @@ def parse_generated_prompts(reply: Column, n: int, dataset: Column) -> Column:
     """Up to ``n`` prompts out of a model reply: a JSON array, else its longer lines,
     else generic ones."""
     text = strip(F.coalesce(reply, F.lit("")))
-    # Text after the array makes it no array; null, true and false read as Python prints them.
-    document = F.try_parse_json(text)
-    values = F.try_variant_get(document, "$", "array<variant>")
-    words = {"null": "None", "true": "True", "false": "False"}
-    listed = F.transform(
-        values,
-        lambda v: F.coalesce(
-            F.create_map(*[F.lit(x) for pair in words.items() for x in pair])[F.to_json(v)],
-            F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string")),
-            F.to_json(v),
-        ),
-    )
+    # Variants know the kind of an item, the plain text keeps a number as it was written.
+    kinds = F.try_variant_get(strict_json(text), "$", "array<variant>")
+    plain = F.from_json(text, "array<string>")
+
+    def shown(v: Column, raw: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(raw)).otherwise(raw)
+
+    listed = F.when(kinds.isNotNull(), F.zip_with(kinds, plain, shown))
     lines = F.transform(
         split_lines(text), lambda x: F.btrim(F.btrim(strip(x), F.lit('"')), F.lit("'"))
     )
@@ -156,7 +160,8 @@ def parse_scores(df: DataFrame, reply: str = "reply", n_prompts: str = "n_prompt
     dims = ",".join(f"{d}:variant" for d in DIMENSIONS)
     named = F.from_json(document, f"scores array<struct<{dims}>>, summary variant")
     again = F.when(named["scores"].isNotNull(), F.try_parse_json(F.to_json(named)))
-    df = df.withColumn("__v", F.coalesce(F.try_parse_json(document), again))
+    lenient = F.try_parse_json(document)
+    df = df.withColumn("__v", F.coalesce(strict_json(document), F.when(lenient.isNull(), again)))
     v = F.col("__v")
     df = df.withColumns(
         {

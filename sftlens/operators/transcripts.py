@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sftlens.functions.text import strict_json
 from sftlens.plans.skew import join_keys
 
 # Names of the tools an agent can call.
@@ -68,7 +69,7 @@ def parse_provider_reply(df: DataFrame, reply: str = "reply", text_calls: bool =
     df = df.withColumn("__r", F.from_json(F.col(reply), REPLY_TYPE))
     choice = F.try_element_at(F.col("__r.choices"), F.lit(1))
     content = choice["message"]["content"]
-    valid = F.try_parse_json(F.col(reply)).isNotNull() & choice["message"].isNotNull()
+    valid = strict_json(F.col(reply)).isNotNull() & choice["message"].isNotNull()
     valid = F.coalesce(valid, F.lit(False))
 
     def call(c: Column) -> Column:

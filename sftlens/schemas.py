@@ -24,7 +24,7 @@ TEXT, NUMBER, COUNT, FLAG, TIME = (
 )
 
 METRIC_POINT = _struct(
-    run_id=TEXT, step=COUNT, ts=TIME, loss=NUMBER, grad_norm=NUMBER, lr=NUMBER
+    run_id=TEXT, step=COUNT, ts=TIME, loss=NUMBER, grad_norm=NUMBER, lr=NUMBER, epoch=NUMBER
 )
 TRAINING_LOG = _struct(
     run_id=TEXT,
