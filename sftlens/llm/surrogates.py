@@ -264,8 +264,9 @@ class Surrogates:
                     add("phone", *m.span(), plain("phone"))
         if names:
             for m in NAME.finditer(text):
+                # A name at the start of a sentence may be a word; a surname beside it tells.
                 for part in ("g1", "g2"):
-                    if m[part]:
+                    if m[part] and (part == "g1" or m["s2"][0].isupper()):
                         add("given", *m.span(part), lambda s: (s, self.given(s), self.given(s)))
                 for part in ("s1", "s2"):
                     if m[part] and m[part][0].isupper() and m[part] not in self.names:
