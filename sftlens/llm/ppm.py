@@ -6,17 +6,22 @@ bytes a context has not seen get its escape probability (method C: the number of
 followers over that number plus all followers) times the prediction of the next shorter
 context, from which the bytes already excluded are left out; below the empty context all
 remaining bytes are equally likely. The trie is pretrained on the whole corpus, so every
-(context, byte) pair has one code length. These are laid out as a table with one row per
-context, and the code length of a document is a sum over table cells.
+(context, byte) pair has one code length, and the code length of a document is a sum over
+its pairs.
+
+Every context that was counted is in the model, so it grows with the corpus. Blocks of
+documents send their pairs to buckets of the last two context bytes, which hold all that the
+two longest contexts need; shorter ones have at most 65,536 pairs and go to every bucket. A
+caller who wants a smaller model bounds it with ``Trie``.
 
 Unigram counts of all words, for the plain score beside it, are added up over the corpus by
-the packed exchange.
+the same packed exchange.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,21 +31,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sftlens.llm.exchange import BLOCK_BYTES, answers, sums_of, summed_keys
-from sftlens.llm.tables import doc_key, text_of, written
-from sftlens.llm.textarrays import Texts, mix, slices
+from sftlens.llm.tables import text_of, written
+from sftlens.llm.textarrays import SLICE_BYTES, Texts, mix, slices
 
 _U = np.uint64
 ORDER = 3
 # The key of the end of a document among word hashes.
 END_KEY = mix(np.array([0xE0D], _U))[0]
+# An odd factor spreads 16-bit contexts over the buckets, its inverse undoes that.
+_SPREAD = 0x9E37
+_GATHER = pow(_SPREAD, -1, 1 << 16)
+# Contexts of a block whose pairs are laid out as a table (64 MB); with more they are searched.
+TABLE_CONTEXTS = 1 << 16
 
 
 @dataclass(frozen=True)
 class Trie:
-    """Most contexts of three and of two bytes that the model keeps, by how often they occur.
+    """A smaller model: most contexts of three and of two bytes to keep, by how often they occur.
 
-    They bound the table (contexts x bytes) that tasks hold; rarer contexts are predicted
-    by shorter ones.
+    Rarer contexts are predicted by shorter ones.
     """
 
     contexts3: int = 1 << 15
@@ -67,6 +76,20 @@ def quads(texts: Texts) -> np.ndarray:
     return out
 
 
+def pair_keys(grams: np.ndarray) -> np.ndarray:
+    """Numbers of ``quads`` as keys whose first 16 bits follow the last two context bytes, spread."""
+    two = ((grams >> np.uint32(8) & np.uint32(0xFFFF)) * np.uint32(_SPREAD) & np.uint32(0xFFFF)).astype(_U)
+    third, byte = (grams >> np.uint32(24)).astype(_U), (grams & np.uint32(0xFF)).astype(_U)
+    return two << _U(48) | third << _U(40) | byte << _U(32)
+
+
+def grams_of(keys: np.ndarray) -> np.ndarray:
+    """The numbers of ``quads`` of ``pair_keys``."""
+    two = (keys >> _U(48)).astype(np.uint32) * np.uint32(_GATHER) & np.uint32(0xFFFF)
+    third, byte = (keys >> _U(40) & _U(0xFF)).astype(np.uint32), (keys >> _U(32) & _U(0xFF)).astype(np.uint32)
+    return third << np.uint32(24) | two << np.uint32(8) | byte
+
+
 def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = np.sort(values)
     if not len(s):
@@ -76,50 +99,59 @@ def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Word lists and byte-context counts of blocks of documents."""
+    """Texts, words and (context, byte) pairs of blocks of documents, with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for number, (batch, texts) in enumerate(slices(batches, max_bytes=BLOCK_BYTES)):
             learned = batch.column("learned").to_numpy(zero_copy_only=False).astype(bool)
-            words, owners = texts.lower_word_hashes, texts.words[2]
-            hashes = np.concatenate([words, np.full(texts.size, END_KEY, _U)])
-            holders = np.concatenate([owners, np.arange(texts.size)])
-            keys, at = np.unique(hashes, return_inverse=True)
-            weights = np.bincount(at[learned[holders]], minlength=len(keys))
+            hashes = np.concatenate([texts.lower_word_hashes, np.full(texts.size, END_KEY, _U)])
+            holders = np.concatenate([texts.words[2], np.arange(texts.size)])
+            keys, weights = _weighed(np.sort(hashes), *_counted(hashes[learned[holders]]))
+            held = quads(texts.take(np.flatnonzero(~learned)))
             grams, counts = _counted(quads(texts.take(np.flatnonzero(learned))))
+            grams, counts = _weighed(np.union1d(grams, _counted(held)[0]), grams, counts)
+            pairs = pair_keys(grams)
+            order = np.argsort(pairs)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([f"{task}-{number}"]),
                     pa.array([keys.tobytes()], pa.binary()),
-                    pa.array([weights.astype(np.int64).tobytes()], pa.binary()),
-                    pa.array([at[: len(words)].astype(np.int32).tobytes()], pa.binary()),
-                    pa.array([texts.n_words], pa.list_(pa.int64())),
+                    pa.array([weights.tobytes()], pa.binary()),
+                    pa.array([pa.compress(texts.data.tobytes(), "zstd", asbytes=True)], pa.binary()),
+                    pa.array([np.diff(texts.offsets)], pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(pa.array([0, texts.size], pa.int32()), batch.column("doc_id")),
-                    pa.array([batch.column("doc").to_pylist()], pa.list_(pa.string())),
-                    pa.ListArray.from_arrays(pa.array([0, texts.size], pa.int32()), batch.column("text_hash")),
                     pa.array([~learned], pa.list_(pa.bool_())),
-                    pa.array([grams.astype(np.uint32).tobytes()], pa.binary()),
-                    pa.array([counts.astype(np.int64).tobytes()], pa.binary()),
+                    pa.array([pairs[order].tobytes()], pa.binary()),
+                    pa.array([counts[order].tobytes()], pa.binary()),
                 ],
-                ["block", "keys", "weights", "words", "n_words", "doc_ids", "docs", "text_hashes", "held", "grams", "counts"],
+                ["block", "keys", "weights", "texts", "sizes", "doc_ids", "held", "pairs", "counts"],
             )
 
     return docs.mapInArrow(
         run,
-        "block string, keys binary, weights binary, words binary, n_words array<long>, doc_ids array<long>, "
-        "docs array<string>, text_hashes array<long>, held array<boolean>, grams binary, counts binary",
+        "block string, keys binary, weights binary, texts binary, sizes array<long>, doc_ids array<long>, "
+        "held array<boolean>, pairs binary, counts binary",
     )
 
 
+def _weighed(values: np.ndarray, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of sorted values, and their counts: 0 for those that are not known."""
+    keys = _counted(values)[0]
+    weights = np.zeros(len(keys), np.int64)
+    weights[np.searchsorted(keys, known)] = counts
+    return keys, weights
+
+
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Byte-context counts of a task's blocks, merged."""
     grams, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
     for batch in batches:
         for row in range(batch.num_rows):
-            more = np.frombuffer(batch.column("grams")[row].as_py(), np.uint32)
+            weights = np.frombuffer(batch.column("counts")[row].as_py(), np.int64)
+            more = grams_of(np.frombuffer(batch.column("pairs")[row].as_py(), _U))[weights > 0]
             joined = np.concatenate([grams, more])
-            weights = np.concatenate([counts, np.frombuffer(batch.column("counts")[row].as_py(), np.int64)])
+            weights = np.concatenate([counts, weights[weights > 0]])
             grams, at = np.unique(joined, return_inverse=True)
             counts = np.zeros(len(grams), np.int64)
             np.add.at(counts, at, weights)
@@ -129,12 +161,72 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _short_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of bytes after single bytes in a task's blocks, added up."""
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for row in range(batch.num_rows):
+            grams = grams_of(np.frombuffer(batch.column("pairs")[row].as_py(), _U))
+            np.add.at(total, grams & 0xFFFF, np.frombuffer(batch.column("counts")[row].as_py(), np.int64))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
+
+
+def _short_counts(blocks: DataFrame) -> np.ndarray:
+    """How often each byte (column) followed each byte (row): all there is of the short contexts."""
+    rows = blocks.select("pairs", "counts").mapInArrow(_short_rows, "pair int, n long")
+    table = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << 16)
+    out[table.column("pair").to_numpy()] = table.column("n").to_numpy()
+    return out.reshape(256, 256)
+
+
+def pair_codes(keys: np.ndarray, sums: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """log10 probabilities of pairs, from the counts of all pairs with the same last two context bytes.
+
+    What follows a context follows its suffixes too, so what a level excludes is what the
+    level above has seen.
+    """
+    byte = (keys >> _U(32) & _U(0xFF)).astype(np.int64)
+    _, three = np.unique(keys >> _U(40), return_inverse=True)
+    followers, at = np.unique(keys >> _U(48) << _U(8) | byte.astype(_U), return_inverse=True)
+    twos, two = np.unique(followers >> _U(8), return_inverse=True)
+    one = ((twos * _U(_GATHER)) & _U(0xFF)).astype(np.int64)
+
+    n3 = sums.astype(float)
+    n2 = np.bincount(at, n3, len(followers))
+    n1 = short[one[two], (followers & _U(0xFF)).astype(np.int64)]
+    n0 = short.sum(axis=0)
+    # Per context: followers and distinct followers that the next longer context has not seen.
+    whole3, kinds3 = np.bincount(three, n3), np.bincount(three, n3 > 0)
+    whole2, kinds2 = np.bincount(two, n2), np.bincount(two, n2 > 0)
+    whole1, kinds1 = short.sum(axis=1), (short > 0).sum(axis=1)
+    of2, of1 = two[at], one[two[at]]
+    seen2 = np.bincount(three, np.where(n3 > 0, n2[at], 0.0))
+    seen1 = np.bincount(two, np.where(n2 > 0, n1, 0.0))
+    seen0 = ((short > 0) * n0).sum(axis=1)
+    levels = (
+        (n3, whole3[three], kinds3[three]),
+        (n2[at], whole2[of2] - seen2[three], kinds2[of2] - kinds3[three]),
+        (n1[at], whole1[of1] - seen1[of2], kinds1[of1] - kinds2[of2]),
+        (n0[byte], n0.sum() - seen0[of1], (n0 > 0).sum() - kinds1[of1]),
+    )
+    done, escape = np.zeros(len(keys)), np.ones(len(keys))
+    for n, left, kinds in levels:
+        whole = left + kinds
+        share = np.divide(escape, whole, out=np.zeros(len(keys)), where=whole > 0)
+        done = np.where((done == 0) & (n > 0), n * share, done)
+        escape = np.where(whole > 0, share * kinds, escape)
+    unseen = 256 - (n0 > 0).sum()
+    return np.log10(np.where(done > 0, done, escape / max(unseen, 1)))
+
+
 def _trie_counts(blocks: DataFrame, trie: Trie) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Context, byte and count arrays by context length, of the contexts the model keeps.
 
     The model is bounded by its two parameters, so it may be gathered.
     """
-    spread = blocks.select("grams", "counts").mapInArrow(_gram_rows, "context int, byte int, n long")
+    spread = blocks.select("pairs", "counts").mapInArrow(_gram_rows, "context int, byte int, n long")
     full = written(spread.groupBy("context", "byte").agg(F.sum("n").alias("n")), "ppm-grams")
     out = {}
     for length, most in ((3, trie.contexts3), (2, trie.contexts2), (1, 256), (0, 1)):
@@ -199,89 +291,124 @@ def code_table(counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) ->
 _tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def code_lengths(docs: DataFrame, counts: dict) -> DataFrame:
-    """``doc, text_hash, score``: the model's log10 probability of each text, 0 for an empty one."""
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
-    name = uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _tables:
-            _tables.clear()
-            _tables[name] = code_table(sent.value)
-        rows, table = _tables[name]
-        flat = table.ravel()
-        for batch, texts in slices(batches):
-            grams = quads(texts)
-            cells = rows[grams >> 8].astype(np.int64) * 256 + (grams & 255)
-            sums = np.zeros(len(cells) + 1)
-            np.cumsum(flat[cells], out=sums[1:])
-            scores = sums[texts.offsets[1:]] - sums[texts.offsets[:-1]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("text_hash"), pa.array(scores)],
-                ["doc", "text_hash", "score"],
-            )
-
-    return docs.select("doc", "text_hash", "text").mapInArrow(run, "doc string, text_hash long, score double")
-
+def _block_table(pairs: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rows and code lengths of a block's own pairs, as in ``code_table``; none if it has too many contexts."""
+    grams = grams_of(pairs)
+    contexts = _counted(grams >> 8)[0]
+    if len(contexts) > TABLE_CONTEXTS:
+        return None
+    rows = np.zeros(1 << 24, np.int32)
+    rows[contexts] = np.arange(len(contexts))
+    table = np.zeros((len(contexts), 256), np.float32)
+    table[rows[grams >> 8], grams & 255] = codes
+    return rows, table
+
+
+def _code_sums(texts: Texts, value: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sums of the code lengths of each text, worked out in slices."""
+    out = np.zeros(texts.size)
+    first = 0
+    while first < texts.size:
+        last = int(np.searchsorted(texts.offsets, texts.offsets[first] + SLICE_BYTES, "right")) - 1
+        last = min(max(last, first + 1), texts.size)
+        low, high = texts.offsets[first], texts.offsets[last]
+        part = Texts(texts.data[low:high], texts.offsets[first : last + 1] - low)
+        codes = value(quads(part))
+        sums = np.zeros(len(codes) + 1)
+        np.cumsum(codes, out=sums[1:])
+        out[first:last] = sums[part.offsets[1:]] - sums[part.offsets[:-1]]
+        first = last
+    return out
 
-def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unigram scores of the documents of answered blocks."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            total, distinct = batch.column("total")[row].as_py(), batch.column("known")[row].as_py()
-            keys = np.frombuffer(batch.column("keys")[row].as_py(), _U)
-            sums = sums_of(batch.column("parts")[row])
-            logs = np.log10((sums + 0.5) / (total + 0.5 * (distinct + 1)))
-            words = np.frombuffer(batch.column("words")[row].as_py(), np.int32)
-            n_words = batch.column("n_words").slice(row, 1).flatten().to_numpy()
-            edges = np.concatenate([[0], np.cumsum(n_words)])
-            end = np.searchsorted(keys, END_KEY)
-            at_ends = np.zeros((2, len(words) + 1))
-            np.cumsum(logs[words], out=at_ends[0, 1:])
-            np.cumsum(sums[words] > 0, out=at_ends[1, 1:])
-            score, known = at_ends[:, edges[1:]] - at_ends[:, edges[:-1]]
-            n = len(n_words)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c).slice(row, 1).flatten() for c in ("doc_ids", "docs", "text_hashes", "held")],
-                    pa.array(n_words + 1),
-                    pa.array(known.astype(np.int64) + int(sums[end] > 0)),
-                    pa.array(np.full(n, total)),
-                    pa.array(score + logs[end]),
-                ],
-                ["doc_id", "doc", "text_hash", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"],
-            )
 
+def _scores(model=None):
+    """Both scores of the documents of answered blocks; byte codes from the answers or a bounded model."""
+    name = uuid.uuid4().hex
 
-def score_documents(docs: DataFrame, trie: Trie = Trie()) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                total, distinct = batch.column("total")[row].as_py(), batch.column("known")[row].as_py()
+                sizes = batch.column("sizes").slice(row, 1).flatten().to_numpy()
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                packed = batch.column("texts")[row].as_py()
+                data = pa.decompress(packed, int(offsets[-1]), "zstd", asbytes=True) if offsets[-1] else b""
+                texts = Texts(np.frombuffer(data, np.uint8), offsets)
+                keys = np.frombuffer(batch.column("keys")[row].as_py(), _U)
+                sums = sums_of(batch.column("parts")[row])
+                logs = np.log10((sums + 0.5) / (total + 0.5 * (distinct + 1)))
+                words = np.searchsorted(keys, texts.lower_word_hashes)
+                edges = np.concatenate([[0], np.cumsum(texts.n_words)])
+                end = np.searchsorted(keys, END_KEY)
+                at_ends = np.zeros((2, len(words) + 1))
+                np.cumsum(logs[words], out=at_ends[0, 1:])
+                np.cumsum(sums[words] > 0, out=at_ends[1, 1:])
+                score, known = at_ends[:, edges[1:]] - at_ends[:, edges[:-1]]
+                if model is None:
+                    pairs = np.frombuffer(batch.column("pairs")[row].as_py(), _U)
+                    codes = sums_of(batch.column("codes")[row], np.float64)
+                    made = _block_table(pairs, codes)
+                else:
+                    if name not in _tables:
+                        _tables.clear()
+                        _tables[name] = code_table(model.value)
+                    made = _tables[name]
+
+                if made is None:
+
+                    def value(grams, pairs=pairs, codes=codes):
+                        return codes[np.searchsorted(pairs, pair_keys(grams))]
+                else:
+
+                    def value(grams, rows=made[0], flat=made[1].ravel()):
+                        return flat[rows[grams >> 8].astype(np.int64) * 256 + (grams & 255)]
+
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(c).slice(row, 1).flatten() for c in ("doc_ids", "held")],
+                        pa.array(texts.n_words + 1),
+                        pa.array(known.astype(np.int64) + int(sums[end] > 0)),
+                        pa.array(np.full(texts.size, total)),
+                        pa.array(score + logs[end]),
+                        pa.array(_code_sums(texts, value)),
+                    ],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    return run
+
+
+def score_documents(docs: DataFrame, trie: Trie | None = None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``base_score`` adds log10((c + 0.5) / (N + 0.5 (V + 1))) over the lower-cased (A-Z)
     words and one end, with the counts of the training documents; ``score`` is the byte
-    model's log10 probability of the text as it is. Null and empty texts have the end alone
-    and score 0. A null doc_id is learned from. Without training documents all counts are
-    zero and bytes are equally likely. Repeated rows score alike; an empty table gives an
-    empty result; other columns are ignored.
+    model's log10 probability of the text as it is. All counted contexts are used unless
+    ``trie`` bounds them. Null and empty texts have the end alone and score 0. A null doc_id
+    is learned from. Without training documents all counts are zero and bytes are equally
+    likely. Repeated rows score alike; an empty table gives an empty result; other columns
+    are ignored.
     """
     source = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        doc_key().alias("doc"),
-        text_of().alias("text"),
-        in_training().alias("learned"),
-    ).withColumn("text_hash", F.xxhash64("text"))
+        F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), in_training().alias("learned")
+    )
     blocks = written(_blocks(source), "ppm-blocks")
     sums = written(summed_keys(blocks), "ppm-sums", "lz4")
-    counts = _trie_counts(blocks, trie)
     total, known = sums.agg(F.sum("total"), F.sum("known")).first()
-    base = (
-        answers(blocks.drop("grams", "counts", "weights"), sums)
-        .withColumn("total", F.lit(total or 0).cast("long"))
-        .withColumn("known", F.lit(known or 0).cast("long"))
-    )
-    base = base.mapInArrow(
-        _base,
-        "doc_id long, doc string, text_hash long, held_out boolean, n_tokens long, n_known long, "
-        "train_tokens long, base_score double",
+    found = answers(blocks.drop("weights", "counts"), sums)
+    model = None
+    send = docs.sparkSession.sparkContext.broadcast
+    if trie is None:
+        short = send(_short_counts(blocks))
+        pairs = blocks.select("block", F.col("pairs").alias("keys"), F.col("counts").alias("weights"))
+        codes = summed_keys(pairs, lambda keys, n: pair_codes(keys, n, short.value), most_bits=16)
+        coded = answers(blocks.select("block"), codes).withColumnRenamed("parts", "codes")
+        found = found.join(coded, "block")
+    else:
+        model = send(_trie_counts(blocks, trie))
+    found = found.withColumn("total", F.lit(total or 0).cast("long"))
+    return found.withColumn("known", F.lit(known or 0).cast("long")).mapInArrow(
+        _scores(model),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
+        "score double",
     )
-    scores = code_lengths(source, counts).dropDuplicates(["doc", "text_hash"])
-    return base.join(scores, ["doc", "text_hash"]).drop("doc", "text_hash")
