@@ -1,6 +1,7 @@
 """Repeated passages by sliding spans of sentences.
 
-Every run of ``sentences`` consecutive sentences of a document is hashed. Runs that occur
+From every sentence of a document the shortest run of at least ``sentences`` sentences and
+``min_words`` words is hashed, and a sentence of ``long_words`` by itself. Runs that occur
 again anywhere in the corpus are repeated spans; their first occurrence, in the order of
 documents and positions, stays, and the sentences under every other occurrence go.
 """
@@ -18,34 +19,67 @@ from pyspark.sql import functions as F
 
 from sftlens.llm.exchange import BLOCK_BYTES, answers, sums_of, summed_keys
 from sftlens.llm.tables import doc_key, text_of, written
-from sftlens.llm.textarrays import Texts, byte_set, mix, rolling, slices
+from sftlens.llm.textarrays import Texts, byte_set, hash_segments, mix, rolling, slices
 
 _U = np.uint64
 _STOP = byte_set(b".!?")
 _BASE = _U(0x9E3779B97F4A7C15)
+# Full stops and question marks of other scripts by their bytes; the wide ones need no space after them.
+_WIDE_STOPS = np.array([int.from_bytes(c.encode(), "big") for c in "。！？｡"])
+_STOPS3 = np.array([*_WIDE_STOPS, *(int.from_bytes(c.encode(), "big") for c in "।॥።፧။។…‼")])
+_STOPS2 = np.array([int.from_bytes(c.encode(), "big") for c in "؟۔։"])
 
 
 @dataclass(frozen=True)
 class Spans:
-    """``sentences`` make a span; spans of fewer than ``min_words`` words are too common to count."""
+    """``sentences`` or more make a span, or one of ``long_words``; spans of fewer than ``min_words``
+    words are too common to count."""
 
     sentences: int = 2
     min_words: int = 13
+    long_words: int = 25
 
 
-def sentences(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words, numbers of words and hashes of all sentences, in order.
-
-    A sentence ends with a word that ends in ``.``, ``!`` or ``?``, before a line break, or
-    with its text. Its hash is that of its lower-cased (A-Z) words.
-    """
+def _words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and documents of all words, cut behind wide stops; what they count; which end a sentence."""
+    data = texts.data
     starts, ends, docs = texts.words
-    if not len(starts):
+    weights = np.ones(len(starts), np.int64)
+    last = _STOP[data[ends - 1]]
+    if not (data >= 0xD6).any():
+        return starts, ends, docs, weights, last
+    # The three bytes before each position.
+    three = np.zeros(len(data) + 1, np.int64)
+    for back in range(3):
+        three[back + 1 :] |= data[: len(data) - back].astype(np.int64) << 8 * back
+    cuts = np.flatnonzero(np.isin(three, _WIDE_STOPS))
+    at = np.searchsorted(starts, cuts, "right") - 1
+    cuts = cuts[cuts < ends[at]]
+    starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    docs = np.searchsorted(texts.offsets, starts, "right") - 1
+    last = _STOP[data[ends - 1]] | np.isin(three[ends], _STOPS3) | np.isin(three[ends] & 0xFFFF, _STOPS2)
+    # Scripts without spaces (kana, Han, Thai, Lao, Khmer, Burmese): two characters count as a word.
+    second = np.append(data[1:], 0)
+    unspaced = (data >= 0xE3) & (data <= 0xE9)
+    unspaced |= (data == 0xE0) & (second >= 0xB8) & (second <= 0xBB)
+    unspaced |= (data == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second >= 0x9E) & (second <= 0x9F))
+    sums = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(unspaced, out=sums[1:])
+    return starts, ends, docs, np.maximum(1, (sums[ends] - sums[starts]) // 2), last
+
+
+def sentences(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, documents, numbers of words and hashes of all sentences, in order.
+
+    A sentence ends with a word that ends in a stop, before a line break, or with its text.
+    Its hash is that of its lower-cased (A-Z) words.
+    """
+    if not len(texts.words[0]):
         empty = np.empty(0, np.int64)
-        return empty, empty, np.empty(0, _U)
+        return empty, empty, empty, np.empty(0, _U)
+    starts, ends, docs, weights, last = _words(texts)
     breaks = np.zeros(len(texts.data) + 1, np.int64)
     np.cumsum(texts.data == 10, out=breaks[1:])
-    last = _STOP[texts.data[ends - 1]]
     last[:-1] |= (docs[1:] != docs[:-1]) | (breaks[starts[1:]] > breaks[ends[:-1]])
     last[-1] = True
     first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
@@ -53,21 +87,28 @@ def sentences(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = np.arange(len(starts)) - np.repeat(first, sizes)
     with np.errstate(over="ignore"):
         power = np.cumprod(np.full(int(sizes.max()) + 1, _BASE, _U))
-    hashes = mix(np.add.reduceat(texts.lower_word_hashes * power[place], first))
-    return first, sizes, hashes
+    words = hash_segments(texts.data, starts, ends, lower=True)
+    hashes = mix(np.add.reduceat(words * power[place], first))
+    return starts[first], docs[first], np.add.reduceat(weights, first), hashes
 
 
-def _span_keys(texts: Texts, rule: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the spans that count, their documents and the number of their first sentence."""
-    first, sizes, hashes = sentences(texts)
-    docs = texts.words[2][first]
-    run = rolling(hashes, rule.sentences)
-    n = len(run)
+def _span_keys(texts: Texts, rule: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the spans that count, their documents, first sentences and numbers of sentences."""
+    _, docs, sizes, hashes = sentences(texts)
     words = np.concatenate([[0], np.cumsum(sizes)])
-    counts = words[rule.sentences : rule.sentences + n] - words[:n]
-    good = (docs[:n] == docs[rule.sentences - 1 :]) & (counts >= rule.min_words) if n else np.empty(0, bool)
     number = np.arange(len(docs)) - np.searchsorted(docs, docs)
-    return run[good], docs[:n][good], number[:n][good]
+    alone = np.flatnonzero(sizes >= rule.long_words) if rule.sentences > 1 else np.empty(0, np.int64)
+    found = [(rolling(hashes, 1)[alone], alone, 1)]
+    left, width = np.arange(len(docs)), rule.sentences
+    while len(left := left[left + width <= len(docs)]):
+        left = left[docs[left + width - 1] == docs[left]]
+        enough = words[left + width] - words[left] >= rule.min_words
+        found.append((rolling(hashes, width)[left[enough]], left[enough], width))
+        left, width = left[~enough], width + 1
+    keys, at = (np.concatenate([f[i] for f in found]) for i in range(2))
+    lengths = np.concatenate([np.full(len(f[1]), f[2]) for f in found])
+    order = np.argsort(at, kind="stable")
+    return keys[order], docs[at[order]], number[at[order]], lengths[order]
 
 
 def _blocks(docs: DataFrame, rule: Spans) -> DataFrame:
@@ -76,7 +117,7 @@ def _blocks(docs: DataFrame, rule: Spans) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for number, (batch, texts) in enumerate(slices(batches, max_bytes=BLOCK_BYTES)):
-            keys, owners, places = _span_keys(texts, rule)
+            keys, owners, places, lengths = _span_keys(texts, rule)
             distinct, counts = np.unique(keys, return_counts=True)
             held = np.unique(owners)
             yield pa.RecordBatch.from_arrays(
@@ -87,11 +128,15 @@ def _blocks(docs: DataFrame, rule: Spans) -> DataFrame:
                     pa.array([keys.tobytes()], pa.binary()),
                     pa.array([np.searchsorted(held, owners).astype(np.int32).tobytes()], pa.binary()),
                     pa.array([places.astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([lengths.astype(np.int32).tobytes()], pa.binary()),
                     pa.array([batch.column("doc").take(pa.array(held))], pa.list_(pa.string())),
                     pa.array([batch.column("doc_id").take(pa.array(held))], pa.list_(pa.int64())),
                     pa.array([batch.column("text_hash").take(pa.array(held))], pa.list_(pa.int64())),
                 ],
-                ["block", "keys", "weights", "all_keys", "owners", "places", "docs", "doc_ids", "text_hashes"],
+                [
+                    "block", "keys", "weights", "all_keys", "owners", "places", "lengths",
+                    "docs", "doc_ids", "text_hashes",
+                ],
             )
 
     source = docs.select(
@@ -102,7 +147,7 @@ def _blocks(docs: DataFrame, rule: Spans) -> DataFrame:
     return source.mapInArrow(
         run,
         "block string, keys binary, weights binary, all_keys binary, owners binary, places binary, "
-        "docs array<string>, doc_ids array<long>, text_hashes array<long>",
+        "lengths binary, docs array<string>, doc_ids array<long>, text_hashes array<long>",
     )
 
 
@@ -114,21 +159,23 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             twice = keys[sums_of(batch.column("parts")[row]) > 1]
             every = np.frombuffer(batch.column("all_keys")[row].as_py(), _U)
             owners = np.frombuffer(batch.column("owners")[row].as_py(), np.int32)
-            places = np.frombuffer(batch.column("places")[row].as_py(), np.int32)
+            places, lengths = (
+                np.frombuffer(batch.column(c)[row].as_py(), np.int32) for c in ("places", "lengths")
+            )
             at = np.flatnonzero(np.isin(every, twice))
             of = pa.array(owners[at])
             lists = [batch.column(c).slice(row, 1).flatten().take(of) for c in ("docs", "doc_ids", "text_hashes")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(every[at].view(np.int64)), *lists, pa.array(places[at])],
-                ["key", "doc", "doc_id", "text_hash", "place"],
+                [pa.array(every[at].view(np.int64)), *lists, pa.array(places[at]), pa.array(lengths[at])],
+                ["key", "doc", "doc_id", "text_hash", "place", "length"],
             )
 
 
 def repeated_spans(docs: DataFrame, rule: Spans = Spans()) -> DataFrame:
-    """``doc, text_hash, place`` of every repeated span but each one's first occurrence."""
+    """``doc, text_hash, place, length`` of every repeated span but each one's first occurrence."""
     blocks = written(_blocks(docs, rule), "span-blocks", "lz4")
     found = answers(blocks, summed_keys(blocks)).mapInArrow(
-        _repeated, "key long, doc string, doc_id long, text_hash long, place int"
+        _repeated, "key long, doc string, doc_id long, text_hash long, place int, length int"
     )
     found = written(found, "span-repeats")
     place = F.struct("doc_id", "text_hash", "place")
@@ -136,25 +183,24 @@ def repeated_spans(docs: DataFrame, rule: Spans = Spans()) -> DataFrame:
     return (
         found.join(first, "key")
         .where(~place.eqNullSafe(F.col("first")))
-        .select("doc", "text_hash", "place")
+        .select("doc", "text_hash", "place", "length")
     )
 
 
-def _cleaner(rule: Spans):
+def _cleaner():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            first, sizes, _ = sentences(texts)
-            starts, ends, owners = texts.words
-            docs = owners[first]
+            first, docs, _, _ = sentences(texts)
             total = np.bincount(docs, minlength=texts.size)
             begin = np.searchsorted(docs, np.arange(texts.size))
             gone = np.zeros(len(first) + 1, np.int64)
             places = batch.column("places")
             for i in range(texts.size):
                 if places[i].is_valid:
-                    at = begin[i] + np.array(places[i].as_py())
+                    spans = places[i].values
+                    at = begin[i] + spans.field("place").to_numpy()
                     np.add.at(gone, at, 1)
-                    np.add.at(gone, at + rule.sentences, -1)
+                    np.add.at(gone, at + spans.field("length").to_numpy(), -1)
             gone = np.cumsum(gone[:-1]) > 0
             removed = np.bincount(docs[gone], minlength=texts.size)
             column = batch.column("text")
@@ -165,8 +211,8 @@ def _cleaner(rule: Spans):
                 for s in range(begin[i], begin[i] + total[i]):
                     if gone[s]:
                         # A sentence goes with the white space after it.
-                        end = starts[first[s + 1]] if s + 1 < begin[i] + total[i] else high
-                        kept.append(texts.data[at : starts[first[s]]].tobytes())
+                        end = first[s + 1] if s + 1 < begin[i] + total[i] else high
+                        kept.append(texts.data[at : first[s]].tobytes())
                         at = int(end)
                 kept.append(texts.data[at:high].tobytes())
                 cleaned[i] = b"".join(kept).decode()
@@ -189,10 +235,10 @@ def remove_repeated_spans(docs: DataFrame, rule: Spans = Spans()) -> DataFrame:
     result; other columns are ignored.
     """
     spans = repeated_spans(docs, rule)
-    places = spans.distinct().groupBy("doc", "text_hash").agg(F.collect_list("place").alias("places"))
+    places = spans.distinct().groupBy("doc", "text_hash").agg(F.collect_list(F.struct("place", "length")).alias("places"))
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
     keyed = source.withColumn("doc", doc_key()).withColumn("text_hash", F.xxhash64(text_of()))
     joined = keyed.join(places, ["doc", "text_hash"], "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(_cleaner(rule), "doc_id long, text string, n_sentences long, n_removed long")
+    return joined.mapInArrow(_cleaner(), "doc_id long, text string, n_sentences long, n_removed long")
