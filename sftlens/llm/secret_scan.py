@@ -35,21 +35,27 @@ KINDS = ("assign", "access", "hex", "random")
 MAY_ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']? *[:=]"""
 MAY_HEX = byte_set(b"0123456789abcdef")
 KEY_CHARS = byte_set(bytes([*range(48, 58), *range(65, 91), *range(97, 123)]) + b"+/_=-")
-DIGITS = byte_set(b"0123456789")
 # Digests by their length in hex digits (MD5 to SHA-512), UUIDs, and plain numbers.
 DIGEST = re.compile(rb"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 IDENTIFIER = re.compile(rb"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9+/_=-]+", re.I)
+# Letters in the cases of an ordinary word.
+WORD = re.compile(rb"[A-Za-z]?[a-z]+|[A-Z]+")
 # Fixed value: how the vocabulary's makers split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @dataclass(frozen=True)
 class TokenEfficiency:
-    """``ratio``: most characters per token of a random string; ``min_chars``: its least length."""
+    """``ratio``: most characters per token of a random string; ``min_chars``: its least length.
+
+    ``word_ratio`` is the ratio for letters in the cases of a word: words of rare languages
+    need more tokens than others, but fewer than random letters.
+    """
 
     vocabulary: str
     ratio: float = 2.2
     min_chars: int = 16
+    word_ratio: float = 1.85
 
 
 _vocabularies: dict[str, object] = {}
@@ -87,7 +93,8 @@ def is_random(run: bytes, rule: TokenEfficiency) -> bool:
     """The token-efficiency test of one run of key-like characters."""
     if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
         return False
-    return len(run) <= rule.ratio * len(vocabulary(rule.vocabulary).encode_ordinary(run.decode()))
+    ratio = rule.word_ratio if WORD.fullmatch(run) else rule.ratio
+    return len(run) <= ratio * len(vocabulary(rule.vocabulary).encode_ordinary(run.decode()))
 
 
 def _joined(spans: list[Span]) -> str:
@@ -99,8 +106,7 @@ def find_secrets(docs: DataFrame, rule: TokenEfficiency) -> DataFrame:
 
     ``spans`` lists ``kind:start:end`` in code points, end exclusive, by start and then
     kind; ``base_sha256`` is the digest of the list of the fixed patterns' spans. Kind
-    ``random`` is added by the token-efficiency test for runs that hold a digit and touch
-    no other span. Null and empty texts have no spans; repeated rows are scanned alike; an
+    ``random`` is added by the token-efficiency test for runs that touch no other span. Null and empty texts have no spans; repeated rows are scanned alike; an
     empty table gives an empty result; other columns are ignored.
     """
 
@@ -115,13 +121,8 @@ def find_secrets(docs: DataFrame, rule: TokenEfficiency) -> DataFrame:
             starts, ends, owners = texts.runs(KEY_CHARS)
             long = ends - starts >= rule.min_chars
             starts, ends, owners = starts[long], ends[long], owners[long]
-            digits = np.zeros(len(texts.data) + 1, np.int64)
-            np.cumsum(DIGITS[texts.data], out=digits[1:])
-            with_digit = digits[ends] > digits[starts]
             runs: dict[int, list[tuple[int, int]]] = {}
-            for a, b, doc in zip(
-                starts[with_digit].tolist(), ends[with_digit].tolist(), owners[with_digit].tolist(), strict=True
-            ):
+            for a, b, doc in zip(starts.tolist(), ends.tolist(), owners.tolist(), strict=True):
                 low = int(texts.offsets[doc])
                 runs.setdefault(doc, []).append((a - low, b - low))
             busy = np.flatnonzero(may_assign | may_access | may_hex)
