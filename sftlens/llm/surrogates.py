@@ -14,8 +14,11 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -53,9 +56,39 @@ CLASSES = (
     "çñß",
     "аеиоуыэюя",
     "бвгджзклмнпрстфхцчшщ",
+    "αεηιουω",
+    "άέήίόύώ",
+    "βγδζθκλμνξπρστφχψ",
 )
 _CLASS = {c: (k, i) for k, members in enumerate(CLASSES) for i, c in enumerate(members)}
 
+
+@cache
+def _letters(script: str, category: str, page: int) -> str:
+    """The other letters of a script and case on one page (256 characters) of Unicode."""
+    return "".join(
+        c
+        for c in map(chr, range(page << 8, (page + 1) << 8))
+        if c not in _CLASS
+        and unicodedata.category(c) == category
+        and unicodedata.name(c, "").split(" ")[0] == script
+        and (category != "Ll" or len(c.upper()) == 1 and c.upper().lower() == c)
+    )
+
+
+@cache
+def _class_of(c: str) -> tuple[str, str, int] | None:
+    """The name and members of a character's class and its place there; none if it stays."""
+    if c in _CLASS:
+        k, i = _CLASS[c]
+        return chr(65 + k), CLASSES[k], i
+    if not c.isalpha():
+        return None
+    group = unicodedata.name(c, "").split(" ")[0], unicodedata.category(c), ord(c) >> 8
+    members = _letters(*group)
+    return (f"<{' '.join(map(str, group))}>", members, members.index(c)) if c in members else None
+
+
 EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])")
 IPV4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)")
 CARD = re.compile(
@@ -67,7 +100,9 @@ PHONE = re.compile(
     r"(?:[ .-]?\d{2,4}){2,4}(?![\w]|[.-]\d)"
 )
 _COUNTRY = re.compile(r"\+(\d{1,3})(?=[ .(-])")
-_WORD = r"[^\W\d_]+"
+# Vowel signs and other marks belong to the letter before them.
+_MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Mc"))
+_WORD = rf"[^\W\d_](?:[^\W\d_]|[{re.escape(_MARKS)}])*"
 _TITLED = "|".join(sorted({t for names in TITLES.values() for t in names}, key=len, reverse=True))
 _GIVEN = "|".join(sorted({n for names in GIVEN_NAMES.values() for n in names}, key=len, reverse=True))
 NAME = re.compile(
@@ -153,6 +188,18 @@ def is_card(text: str) -> bool:
     return 13 <= len(digits) <= 19 and _luhn("".join(digits[:-1])) == int(digits[-1])
 
 
+def _small(c: str) -> bool:
+    """Whether a letter has a capital and is not one; names in scripts without case have neither.
+
+    Georgian has capitals that names are not written with.
+    """
+    return not c.isupper() and c.upper() != c and not unicodedata.name(c, "").startswith("GEORGIAN")
+
+
+def _in_word(c: str) -> bool:
+    return bool(c) and (c.isalnum() or c == "_" or unicodedata.category(c) in ("Mn", "Mc"))
+
+
 class Surrogates:
     """Replacements under one key. The same key gives the same replacements everywhere."""
 
@@ -175,18 +222,19 @@ class Surrogates:
         low = text.lower()
         if len(low) != len(text):
             low = text
-        spots = [(i, *_CLASS[c]) for i, c in enumerate(low) if c in _CLASS]
-        shape = "".join(chr(65 + _CLASS[c][0]) if c in _CLASS else c for c in low)
+        classes = [_class_of(c) for c in low]
+        spots = [(i, members, at) for i, (_, members, at) in ((i, k) for i, k in enumerate(classes) if k)]
+        shape = "".join(k[0] if k else c for k, c in zip(classes, low, strict=True))
         size = value = 1
         value = 0
-        for _, k, i in spots:
-            value = value * len(CLASSES[k]) + i
-            size *= len(CLASSES[k])
+        for _, members, i in spots:
+            value = value * len(members) + i
+            size *= len(members)
         value = self._permuted(f"{kind}/{shape}", size, value)
         out = list(text)
-        for at, k, _ in reversed(spots):
-            value, i = divmod(value, len(CLASSES[k]))
-            new = CLASSES[k][i]
+        for at, members, _ in reversed(spots):
+            value, i = divmod(value, len(members))
+            new = members[i]
             upper = new.upper()
             out[at] = upper if text[at] != low[at] and len(upper) == 1 else new
         return "".join(out)
@@ -249,6 +297,10 @@ class Surrogates:
 
             return make
 
+        def surname(s: str) -> tuple[str, str, str]:
+            new = self.same_format("surname", s)
+            return s.lower(), new, new.lower()
+
         if numbers:
             for m in EMAIL.finditer(text):
                 add("email", *m.span(), lambda s: (s.lower(), *self.email(s)))
@@ -269,12 +321,19 @@ class Surrogates:
                     if m[part] and (part == "g1" or m["s2"][0].isupper()):
                         add("given", *m.span(part), lambda s: (s, self.given(s), self.given(s)))
                 for part in ("s1", "s2"):
-                    if m[part] and m[part][0].isupper() and m[part] not in self.names:
-                        add(
-                            "surname",
-                            *m.span(part),
-                            lambda s: (s.lower(), new := self.same_format("surname", s), new.lower()),
-                        )
+                    if m[part] in self.names:
+                        add("given", *m.span(part), lambda s: (s, self.given(s), self.given(s)))
+                    elif m[part] and not _small(m[part][0]):
+                        add("surname", *m.span(part), surname)
+            # A surname that was found is one wherever its document has it.
+            forms = {f for e in found if e.kind == "surname" for s in [text[e.start : e.end]] for f in (s, s.upper(), s.title())}
+            for form in sorted(forms):
+                at = text.find(form)
+                while at >= 0:
+                    end = at + len(form)
+                    if not (_in_word(text[at - 1 : at]) or _in_word(text[end : end + 1])):
+                        add("surname", at, end, surname)
+                    at = text.find(form, end)
         return sorted(found, key=lambda e: e.start)
 
 
@@ -336,8 +395,8 @@ def replace_entities(docs: DataFrame, key: str, attempts: int = 3) -> DataFrame:
     """``doc_id, text, entities`` of every row, with surrogates for all entities of ``text``.
 
     Kinds are e-mail addresses, IPv4 addresses, payment cards (checksum kept right), social
-    security and phone numbers, and given names and surnames after a form of address or a
-    known given name. ``entities`` lists kind, place in the old text (code points, end
+    security and phone numbers, given names and surnames after a form of address or a
+    known given name, and every other mention of such a surname in its document. ``entities`` lists kind, place in the old text (code points, end
     exclusive), keyed digest of the identity, and surrogate. The result is written before it
     is returned, as it is checked for collisions over all documents; with one, the next key
     is derived. Null texts stay null, texts without entities are unchanged, repeated rows are
