@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sftlens.llm import (
     decontamination,
+    filter_audit,
     language_id,
+    license_scan,
     mixing,
     ppm,
     quality,
@@ -14,12 +16,14 @@ from sftlens.llm import (
     sentence_spans,
     superminhash,
     surrogates,
+    token_alignment,
     token_files,
 )
 from sftlens.llm.tables import read_table, shared_path
 
 TOKEN_FILE = "byte_bpe_50k.json"
 RANK_FILE = "byte_bpe_50k.tiktoken"
+PIECE_FILE = "piece_bpe_32k.model"
 # Production passes its own secret; a query has to give the same rows every time.
 SURROGATE_KEY = "example key, not a secret"
 
@@ -77,6 +81,20 @@ def op10_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs, benchmark)
 
 
+def op11_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return filter_audit.audit_filters(docs, labels)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_alignment.Tokenizers(tokenizer_path(TOKEN_FILE), tokenizer_path(PIECE_FILE))
+    return token_alignment.align_tokens(read_table(spark, sf_dir, "documents"), files)
+
+
 QUERIES = {
     "op1_surrogates": op1_surrogates,
     "op2_superminhash": op2_superminhash,
@@ -88,9 +106,53 @@ QUERIES = {
     "op8_ppm": op8_ppm,
     "op9_temperature_mix": op9_temperature_mix,
     "op10_pigeonhole": op10_pigeonhole,
+    "op11_license_join": op11_license_join,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _license_sql() -> str:
+    """Every block against every template, without a join order."""
+    templates = ", ".join(
+        f"('{t.label}', {k.step}, {license_scan.needed(t, 0.8)}, {_sql_list(sorted(set(t.words)))})"
+        for k in license_scan.kinds_of(license_scan.TEMPLATES)
+        for t in k.templates
+    )
+    phrases = ", ".join(f"({_sql_list(p.split(' '))}, '{label}')" for p, label in license_scan.PHRASES)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+phrase(p, label) AS (VALUES {phrases}),
+place AS (
+  SELECT r, label, unnest(list_filter(range(0, len(ws) - len(p) + 1), lambda i: ws[i + 1:i + len(p)] = p)) AS pos
+  FROM d, phrase),
+base AS (
+  SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+    list_sort(list(DISTINCT label)) AS base_labels FROM place GROUP BY r),
+template(label, step, need, words) AS (VALUES {templates}),
+block AS (SELECT r, step, unnest(range(0, greatest(1, len(ws)), step)) AS pos FROM d, (SELECT DISTINCT step FROM template)),
+held AS (
+  SELECT r, step, list_distinct(ws[pos + 1:pos + 2 * step]) AS ws FROM block JOIN d USING (r)),
+matches AS (
+  SELECT r, label, len(list_intersect(ws, words)) AS n, need, len(words) AS size FROM held JOIN template USING (step)),
+more AS (
+  SELECT r, list(DISTINCT label) AS labels, max(n / size) AS best FROM matches WHERE n >= need GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(base_labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base_labels, []), coalesce(labels, [])))), ','), '')
+    AS labels,
+  CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(best, 0) END AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN more USING (r)"""
+
+
 ORACLES = {
     "op2_superminhash": r"""
 WITH RECURSIVE lists AS (
@@ -149,4 +211,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 2 * n_words AND 20 * n_words
   AND 10 * n_dup_lines <= 3 * n_lines AND 10 * n_letter_words >= 7 * n_words AND n_upper <= n_lower AS kept
 FROM judged""",
+    "op11_license_join": _license_sql(),
+    "op12_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+marked AS (
+  SELECT part, doc_id,
+    [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws),
+     100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+     regexp_matches(t, '[#$%&*|]'),
+     coalesce(EXISTS (SELECT 1 FROM d e WHERE e.t = d.t AND e.doc_id < d.doc_id), false)] AS fails,
+    coalesce(EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1), false) AS good,
+    coalesce(EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1), false) AS toxic
+  FROM d),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || x.l || e.l AS filter_order FROM letter a, letter b, letter c, letter x, letter e
+  WHERE len(list_distinct([a.l, b.l, c.l, x.l, e.l])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+each AS (
+  SELECT part, filter_order, step, good, toxic,
+    fails[ascii(filter_order[step]) - 64] AS failed,
+    list_bool_or(list_transform(range(1, step), lambda i: fails[ascii(filter_order[i]) - 64])) AS gone,
+    len(list_filter(fails, lambda x: x)) AS n_fails
+  FROM marked, steps),
+counted AS (
+  SELECT part, filter_order, step,
+    count(*) FILTER (WHERE NOT coalesce(gone, false) AND NOT failed) AS kept,
+    count(*) FILTER (WHERE NOT coalesce(gone, false) AND failed) AS removed,
+    count(*) FILTER (WHERE gone AND failed) AS redundant,
+    count(*) FILTER (WHERE failed AND n_fails = 1) AS unique_fails,
+    count(*) FILTER (WHERE NOT coalesce(gone, false) AND failed AND good) AS good_lost,
+    count(*) FILTER (WHERE NOT coalesce(gone, false) AND failed AND toxic) AS toxic_lost
+  FROM each GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley
+FROM counted""",
 }
