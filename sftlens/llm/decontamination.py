@@ -29,10 +29,15 @@ _GRAM = 4
 
 @dataclass(frozen=True)
 class EditMatch:
-    """``percent``: edits per 100 characters of an item; ``min_chars``: shorter items are not looked for."""
+    """``percent``: edits per 100 characters of an item.
+
+    Items under ``min_chars`` are looked for without edits, as whole words; those under
+    ``min_words`` words, which any text may hold, as whole documents.
+    """
 
     percent: int = 8
     min_chars: int = 40
+    min_words: int = 3
 
 
 def normal(text: str) -> str:
@@ -76,6 +81,13 @@ def best_match(item: str, masks: dict[str, int], text: str) -> tuple[int, int]:
     return best, end
 
 
+def alone(text: str, start: int, end: int) -> bool:
+    """Whether no word runs on across either end of ``text[start:end]``."""
+    before = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    after = end < len(text) and text[end].isalnum() and text[end - 1].isalnum()
+    return not before and not after
+
+
 def _loads(data: np.ndarray, width: int) -> np.ndarray:
     """The ``width`` (at most 8) bytes from every position on as one number; zeros follow the end."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -90,12 +102,15 @@ class Matcher:
     """All items of one block, ready to search texts."""
 
     def __init__(self, items: list[tuple[int, str]], rule: EditMatch):
-        self.items = [(i, t, len(t) * rule.percent // 100) for i, t in items]
-        cut = [
-            (piece.encode(), n, offset)
-            for n, (_, text, errors) in enumerate(self.items)
-            for offset, piece in pieces(text, errors)
-        ]
+        self.rule = rule
+        self.items = [(i, t, len(t) * rule.percent // 100 if len(t) >= rule.min_chars else 0) for i, t in items]
+        self.whole: dict[str, list[int]] = {}
+        cut = []
+        for n, (item_id, text, errors) in enumerate(self.items):
+            if len(text) < rule.min_chars and text.count(" ") + 1 < rule.min_words:
+                self.whole.setdefault(text, []).append(item_id)
+            else:
+                cut += [(piece.encode(), n, offset) for offset, piece in pieces(text, errors)]
         cut.sort()
         self.pieces = cut
         self.grams = [grams(text) for _, text, _ in self.items]
@@ -154,8 +169,13 @@ class Matcher:
     def verify(self, text: str, hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """``(item_id, distance, end)`` of the best match of each item within its error budget."""
         windows: dict[int, list[list[int]]] = {}
+        exact: dict[int, int] = {}
         for at, n, offset in hits:
             _, item, errors = self.items[n]
+            if len(item) < self.rule.min_chars:
+                if n not in exact and alone(text, at, at + len(item)):
+                    exact[n] = at + len(item)
+                continue
             start = at - offset - errors
             span = [max(0, start), start + len(item) + 2 * errors]
             spans = windows.setdefault(n, [])
@@ -163,7 +183,7 @@ class Matcher:
                 spans[-1] = [min(span[0], spans[-1][0]), max(span[1], spans[-1][1])]
             else:
                 spans.append(span)
-        out = []
+        out = [(self.items[n][0], 0, end) for n, end in sorted(exact.items())]
         for n, spans in sorted(windows.items()):
             item_id, item, errors = self.items[n]
             best = None
@@ -182,21 +202,23 @@ class Matcher:
         """The verified matches of texts in normal form, by their number."""
         hits = self.hits(texts_of(pa.array(texts, pa.string())))
         matches = {i: self.verify(texts[i], found) for i, found in hits.items()}
+        if self.whole:
+            for i, text in enumerate(texts):
+                if text in self.whole:
+                    matches.setdefault(i, []).extend((n, 0, len(text)) for n in self.whole[text])
         return {i: m for i, m in sorted(matches.items()) if m}
 
 
-def _blocks(benchmark: DataFrame, rule: EditMatch) -> Iterator[list[tuple[int, str]]]:
-    """The distinct items in blocks of bounded size, in order of their text."""
-    items = (
-        benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-        .select(F.col("item_id").cast("long").alias("item_id"), "text")
-        .where(F.length("text") >= rule.min_chars)
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items that are not empty, in blocks of bounded size."""
+    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(
+        F.col("item_id").cast("long").alias("item_id"), "text"
     )
     block: list[tuple[int, str]] = []
     chars = 0
     for row in items.toLocalIterator():
         text = normal(row["text"])
-        if len(text) < rule.min_chars:
+        if not text:
             continue
         block.append((row["item_id"], text))
         chars += len(text)
@@ -223,8 +245,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rule: EditMatch = EditMa
 
     Texts are compared in normal form (``normal``); ``distance`` is the least number of
     edits, at most ``percent`` of the item's length, and ``end`` where that match ends in
-    the document's normal form (the first such place). Null and empty texts hold nothing;
-    null, empty and too short items are not looked for; repeated rows of either table give
+    the document's normal form (the first such place). Items too short for edits are looked
+    for as ``EditMatch`` says. Very long texts are searched whole. Null and empty texts hold nothing;
+    null and empty items are not looked for; repeated rows of either table give
     repeated results. Empty tables give an empty result; other columns are ignored.
 
     Items are looked for in blocks of at most ``BLOCK_CHARS`` characters (plus one item), so
@@ -242,18 +265,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rule: EditMatch = EditMa
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     schema = "doc_id long, item_id long, distance long, end long"
     out = None
-    for block in _blocks(benchmark, rule):
+    for block in _blocks(benchmark):
         part = _scan(source, block, rule, schema, found)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rule: EditMatch = EditMatch()) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, unchanged and with all columns."""
+    """The rows of ``docs`` that hold no benchmark item, unchanged and with all columns.
+
+    Null and empty texts stay, repeated rows stay or go together; with an empty table of
+    items all rows stay.
+    """
 
     def clean(batch: pa.RecordBatch, matches: dict) -> pa.RecordBatch:
         return batch.filter(pa.array([i not in matches for i in range(batch.num_rows)], pa.bool_()))
 
-    for block in _blocks(benchmark, rule):
+    for block in _blocks(benchmark):
         docs = _scan(docs, block, rule, docs.schema, clean)
     return docs
