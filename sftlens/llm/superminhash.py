@@ -364,25 +364,17 @@ def _components(shared: DataFrame, sets: DataFrame, docs: DataFrame, near: NearD
     return labels
 
 
-def near_duplicates(docs: DataFrame, near: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
-
-    Two documents are linked when 100 * intersection >= percent * union of their shingle
-    sets. ``component_id`` is the smallest doc_id reachable over links, ``kept`` whether it
-    is the document's own. Equal sets are one class from the start, so copies are compared
-    once. Documents without words (null text included) are linked with nothing and kept.
-    Rows with one doc_id and several texts are several documents of that id; repeated rows
-    are all reported. A null doc_id counts as larger than every other for ``component_id``.
-    An empty table gives an empty result; other columns are ignored.
-    """
-    signed = written(sign(docs, near), "near-signed")
-    filled = signed.where("n_shingles > 0")
+def _classes(signed: DataFrame, docs: DataFrame, near: NearDuplicates) -> tuple[DataFrame, DataFrame]:
+    """``set_key, head`` of all sets, and ``head`` of all groups: the first of a group's rows
+    by doc_id (null last) and hash of the text, as a struct."""
+    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     sets = written(
-        filled.withColumn("doc", doc_key())
+        signed.where("n_shingles > 0")
+        .withColumn("doc", doc_key())
         .groupBy("set_key")
         .agg(
             F.min(F.struct("doc", "text_hash")).alias("one"),
-            F.min("doc_id").alias("first_id"),
+            F.min(head).alias("head"),
             F.first("bands").alias("bands"),
         ),
         "near-sets",
@@ -393,19 +385,37 @@ def near_duplicates(docs: DataFrame, near: NearDuplicates = NearDuplicates()) ->
     weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     shared = written(shared.drop("n").join(weights, "node"), "near-buckets")
     labels = _components(shared, sets, docs, near)
-    classes = sets.select("set_key", "first_id")
-    if labels is not None:
-        rooted = classes.join(labels, classes["set_key"] == labels["node"], "left").select(
-            "set_key", F.coalesce("root", "set_key").alias("root"), "first_id"
-        )
-        smallest = rooted.groupBy("root").agg(F.min("first_id").alias("first_id"))
-        classes = rooted.drop("first_id").join(smallest, "root").select("set_key", "first_id")
+    classes = sets.select("set_key", "head")
+    if labels is None:
+        return classes, classes.select("head")
+    rooted = classes.join(labels, classes["set_key"] == labels["node"], "left").select(
+        "set_key", F.coalesce("root", "set_key").alias("root"), "head"
+    )
+    heads = rooted.groupBy("root").agg(F.min("head").alias("head"))
+    return rooted.drop("head").join(heads, "root").select("set_key", "head"), heads.select("head")
+
+
+def near_duplicates(docs: DataFrame, near: NearDuplicates = NearDuplicates()) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
+
+    Two documents are linked when 100 * intersection >= percent * union of their shingle
+    sets. ``component_id`` is the smallest doc_id reachable over links, ``kept`` whether it
+    is the document's own. Equal sets are one class from the start, so copies are compared
+    once. Documents without words (null text included) are linked with nothing and kept.
+    Rows with one doc_id and several texts are several documents of that id; repeated rows
+    are all reported. A null doc_id counts as larger than every other for ``component_id``.
+    Very long texts are compared whole. An empty table gives an empty result; other columns
+    are ignored.
+    """
+    signed = written(sign(docs, near), "near-signed")
+    classes, _ = _classes(signed, docs, near)
+    filled = signed.where("n_shingles > 0")
     joined = filled.select("doc_id", "n_shingles", "set_key").join(classes, "set_key")
     linked = joined.select(
         "doc_id",
         "n_shingles",
-        F.col("first_id").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.col("first_id")).alias("kept"),
+        F.col("head.doc_id").alias("component_id"),
+        F.col("doc_id").eqNullSafe(F.col("head.doc_id")).alias("kept"),
     )
     alone = signed.where("n_shingles = 0").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")
@@ -416,22 +426,30 @@ def near_duplicates(docs: DataFrame, near: NearDuplicates = NearDuplicates()) ->
 def drop_near_duplicates(docs: DataFrame, near: NearDuplicates = NearDuplicates()) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns kept.
 
-    The row kept is that of the group's smallest doc_id. Of several rows with that doc_id
-    one stays. Documents without words all stay.
+    The row kept is that of the group's smallest doc_id (null last; of several texts with
+    that id the one with the smallest hash; of repeated rows one). Documents without words
+    all stay. An empty table stays empty.
     """
-    found = written(near_duplicates(docs, near), "near-found")
+    signed = written(sign(docs, near), "near-signed")
+    _, heads = _classes(signed, docs, near)
     rows = as_row(docs)
     keyed = rows.select(
         "__row",
         doc_key("__row.doc_id").alias("__doc"),
+        F.xxhash64(text_of("__row.text")).alias("__hash"),
         F.coalesce(F.col("__row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("__words"),
     )
-    kept = found.where("kept and n_shingles > 0").select(doc_key().alias("__doc"))
-    counts = kept.groupBy("__doc").agg(F.count(F.lit(1)).alias("n"))
-    once = counts.where("n = 1").select("__doc")
-    more = counts.where("n > 1").select("__doc")
-    full = keyed.where("__words")
-    chosen = full.join(once, "__doc", "left_semi").unionByName(
-        full.join(more, "__doc", "left_semi").dropDuplicates(["__doc"])
+    # One row per group; repeated rows of a document share its key.
+    times = signed.groupBy(doc_key().alias("__doc"), F.col("text_hash").alias("__hash")).count()
+    kept = written(
+        heads.select(doc_key("head.doc_id").alias("__doc"), F.col("head.text_hash").alias("__hash")).join(
+            times, ["__doc", "__hash"]
+        ),
+        "near-kept",
+    )
+    once, more = (kept.where(c).drop("count") for c in ("count = 1", "count > 1"))
+    full, key = keyed.where("__words"), ["__doc", "__hash"]
+    chosen = full.join(once, key, "left_semi").unionByName(
+        full.join(more, key, "left_semi").dropDuplicates(key)
     )
     return chosen.unionByName(keyed.where("not __words")).select("__row.*")
