@@ -15,7 +15,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sftlens.llm.tables import text_of, written
+from sftlens.llm.tables import small, text_of, written
 
 FILTERS = "ABCDE"
 REPEAT = 1 << FILTERS.index("E")
@@ -44,11 +44,6 @@ def failures(text: Column) -> Column:
     return total
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, to be broadcast if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def _with_counts(docs: DataFrame, counts: DataFrame, total: int, rows: int) -> DataFrame:
     """Documents whose text hash is in ``counts``, with its number of rows.
 
@@ -141,7 +136,7 @@ def _combinations(docs: DataFrame, labels: DataFrame, broadcast_rows: int) -> Da
     )
     no = F.lit(False)
     return (
-        rows.join(_small(marked, broadcast_rows), "doc_id", "left")
+        rows.join(small(marked, broadcast_rows), "doc_id", "left")
         .groupBy("part", "failed", F.coalesce("good", no).alias("good"), F.coalesce("toxic", no).alias("toxic"))
         .agg(F.sum("n").alias("n"))
     )

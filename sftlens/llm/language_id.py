@@ -2,9 +2,9 @@
 
 One model of four-character sequences per language, learned from a bounded sample of
 labelled documents. Texts are read as lower-case letters with one space for whatever
-stands between letters. Each order is one sorted array of sequence hashes with a column of
-log probabilities per language; a document's language is the one with the lowest
-cross-entropy per character. A calibration fold of the sample turns the entropies into a
+stands between letters. Each order is one sorted array of sequence hashes, each with the
+log probabilities of the languages that have it; a document's language is the one with the
+lowest cross-entropy per character. A calibration fold of the sample turns the entropies into a
 probability and gives each language the entropy above which a text is rejected as none of
 the learned ones.
 """
@@ -20,26 +20,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sftlens.llm.tables import text_of, written
+from sftlens.llm.tables import small, text_of, written
 from sftlens.llm.textarrays import HashIndex, Texts, mix, slices
 
 _U = np.uint64
 ORDER = 4
 SPACE = 32
 UNKNOWN = "und"
+# Log probabilities that a worker remembers (64 MB).
+CACHED_LOGS = 1 << 23
+# Rows that are looked up at a time while a model is fitted.
+FIT_ROWS = 1 << 14
+# Labels that may be broadcast.
+MAX_BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
 class Training:
     """``docs_per_language``: the sample, about; every fifth document of it calibrates.
 
-    ``sequences``: most four-character sequences of a model; the rarest go first.
-    ``languages``: most labels that are learned, the most frequent first.
+    Every label is learned, and every sequence of the sample is in the model.
     """
 
     docs_per_language: int = 2000
-    sequences: int = 1 << 20
-    languages: int = 64
 
 
 class _Alphabet:
@@ -115,47 +118,66 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+@dataclass
+class Sparse:
+    """Values by sequence and language: ``tags`` and ``values`` of key ``i`` from ``starts[i]`` on."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    tags: np.ndarray
+    values: np.ndarray
+
+    @staticmethod
+    def of(hashes: np.ndarray, tags: np.ndarray, values: np.ndarray) -> Sparse:
+        order = np.lexsort([tags, hashes])
+        keys, first = np.unique(hashes[order], return_index=True)
+        return Sparse(keys, np.append(first, len(order)), tags[order].astype(np.int32), values[order])
+
+    def put(self, out: np.ndarray, wanted: np.ndarray, add: bool) -> None:
+        """Write the values of the wanted keys into the rows of ``out``, or add them there."""
+        if not len(self.keys):
+            return
+        at, hit = _find(self.keys, wanted)
+        rows = np.flatnonzero(hit)
+        begin = self.starts[at[rows]]
+        sizes = self.starts[at[rows] + 1] - begin
+        place = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        rows, tags = np.repeat(rows, sizes), self.tags[place]
+        if add:
+            out[rows, tags] += self.values[place]
+        else:
+            out[rows, tags] = self.values[place]
+
+
 @dataclass
 class Model:
-    """``keys[n]``: sorted hashes of the sequences of ``n + 1`` characters; ``logs[n]``: their log
-    probabilities by language; ``contexts[n]``: sorted hashes of the first ``n`` characters of
-    these sequences; ``backs[n]``: log backoff weights of the contexts by language."""
+    """``sequences[n]``: log probabilities of sequences of ``n + 1`` characters; ``contexts[n]``: log
+    backoff weights of the first ``n`` characters of these sequences; ``floor``: log
+    probabilities of characters that a language does not have."""
 
     languages: list[str]
-    keys: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    backs: list[np.ndarray]
+    sequences: list[Sparse]
+    contexts: list[Sparse]
     floor: np.ndarray
     scale: float = 1.0
     limits: np.ndarray = field(default_factory=lambda: np.empty(0))
 
-    def _log(self, columns: list[np.ndarray]) -> np.ndarray:
+    def logs(self, columns: list[np.ndarray]) -> np.ndarray:
         """Log probabilities of the last column's characters after the others, by language."""
-        order = len(columns) - 1
-        at, hit = _find(self.keys[order], _hash(columns))
-        out = self.logs[order][at]
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            if order == 0:
-                out[miss] = self.floor
-            else:
-                rest = [c[miss] for c in columns]
-                at, hit = _find(self.contexts[order], _hash(rest[:-1]))
-                back = np.where(hit[:, None], self.backs[order][at], 0.0)
-                out[miss] = back + self._log(rest[1:])
+        out = np.repeat(self.floor[None], len(columns[-1]), axis=0)
+        for order in range(len(columns)):
+            own = columns[len(columns) - 1 - order :]
+            if order:
+                # What a language gives to a sequence it has not seen, to begin with.
+                self.contexts[order].put(out, _hash(own[:-1]), add=True)
+            self.sequences[order].put(out, _hash(own), add=False)
         return out
 
-    def entropies(self, texts: Texts, index: HashIndex) -> tuple[np.ndarray, np.ndarray]:
+    def entropies(self, texts: Texts, cache: Cache) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character of each text by language, and the characters counted."""
         chars, offsets = characters(texts)
         ends = _ends(offsets)
-        columns = [chars[ends - back] for back in range(ORDER - 1, -1, -1)]
-        rows = index.find(_hash(columns)) if len(ends) else np.empty(0, np.int32)
-        logs = self.logs[ORDER - 1][rows].astype(np.float64)
-        miss = np.flatnonzero(rows < 0)
-        if len(miss):
-            logs[miss] = self._log([c[miss] for c in columns])
+        logs = cache.logs([chars[ends - back] for back in range(ORDER - 1, -1, -1)])
         n = np.maximum(np.diff(offsets) - (ORDER - 1), 0)
         sums = np.zeros((len(ends) + 1, len(self.languages)))
         np.cumsum(logs, axis=0, out=sums[1:])
@@ -163,10 +185,37 @@ class Model:
         totals = sums[edges[1:]] - sums[edges[:-1]]
         return -totals / np.maximum(n, 1)[:, None], n
 
-    def index(self) -> HashIndex:
-        found = HashIndex(int(4 * len(self.keys[ORDER - 1]) + 4).bit_length())
-        found.add(self.keys[ORDER - 1], np.arange(len(self.keys[ORDER - 1])))
-        return found
+
+class Cache:
+    """Log probabilities of the sequences met so far, as many as fit ``CACHED_LOGS`` numbers."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index = HashIndex(16)
+        self.rows = np.empty((1 << 12, len(self.model.languages)))
+
+    def logs(self, columns: list[np.ndarray]) -> np.ndarray:
+        """As ``Model.logs``."""
+        if not len(columns[-1]):
+            return np.empty((0, len(self.model.languages)))
+        hashes = _hash(columns)
+        rows = self.index.find(hashes)
+        miss = np.flatnonzero(rows < 0)
+        if len(miss):
+            new, first, at = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            if (self.index.size + len(new)) * self.rows.shape[1] > CACHED_LOGS and self.index.size:
+                self._forget()
+                return self.logs(columns)
+            size = self.index.size
+            while len(self.rows) < size + len(new):
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+            self.rows[size : size + len(new)] = self.model.logs([c[miss[first]] for c in columns])
+            self.index.add(new, size + np.arange(len(new)))
+            rows[miss] = size + at
+        return self.rows[rows]
 
 
 def fit(languages: list[str], labels: np.ndarray, sequences: np.ndarray, counts: np.ndarray) -> Model:
@@ -177,7 +226,6 @@ def fit(languages: list[str], labels: np.ndarray, sequences: np.ndarray, counts:
     equal shares for the characters seen and one more for all others.
     """
     size = len(languages)
-    keys, logs, contexts, backs = [], [], [], []
     codes = [sequences[:, i] for i in range(ORDER)]
     alphabet = len(np.unique(sequences)) + 1 if len(sequences) else 1
     floor = np.full(size, -np.log(alphabet))
@@ -192,7 +240,7 @@ def fit(languages: list[str], labels: np.ndarray, sequences: np.ndarray, counts:
             level_labels = rows[:, 0]
             level_codes = [rows[:, i] for i in range(1, rows.shape[1])]
             level_counts = n.astype(np.float64)
-    model = Model(languages, keys, logs, contexts, backs, floor)
+    model = Model(languages, [], [], floor)
     for order, (columns, tags, n) in enumerate(reversed(levels)):
         discount = np.zeros(size)
         for tag in range(size):
@@ -205,34 +253,21 @@ def fit(languages: list[str], labels: np.ndarray, sequences: np.ndarray, counts:
         whole = np.bincount(at, n, len(pair))
         kinds = np.bincount(at, minlength=len(pair))
         weight = discount[pair[:, 1].astype(np.int64)] * kinds / whole
-        distinct, first = np.unique(hashes, return_index=True)
-        one = [c[first] for c in columns]
+        lower = floor[tags]
         if order:
-            # What a language gives to a sequence it has not seen, to begin with.
-            before = np.unique(pair[:, 0])
-            back = np.zeros((len(before), size))
-            back[np.searchsorted(before, pair[:, 0]), pair[:, 1].astype(np.int64)] = np.log(weight)
-            contexts.append(before)
-            backs.append(back)
-            base = model._log(one[1:])
-            given = back[np.searchsorted(before, _hash(one[:-1]))]
-        else:
-            base = np.broadcast_to(floor, (len(distinct), size))
-            given = np.zeros((len(distinct), size))
-            given[:, pair[:, 1].astype(np.int64)] = np.log(weight)
-            contexts.append(np.empty(0, _U))
-            backs.append(np.empty((0, size)))
-        table = given + base
-        row = np.searchsorted(distinct, hashes)
-        seen = np.maximum(n - discount[tags], 0) / whole[at] + np.exp(table[row, tags])
-        table[row, tags] = np.log(seen)
-        keys.append(distinct)
-        logs.append(table)
+            lower = np.empty(len(n))
+            for first in range(0, len(n), FIT_ROWS):
+                rows = slice(first, min(first + FIT_ROWS, len(n)))
+                found = model.logs([c[rows] for c in columns[1:]])
+                lower[rows] = found[np.arange(len(found)), tags[rows]]
+        seen = np.maximum(n - discount[tags], 0) / whole[at] + weight[at] * np.exp(lower)
+        tag_of = pair[:, 1].astype(np.int64)
+        model.contexts.append(Sparse.of(pair[:, 0], tag_of, np.log(weight)))
+        model.sequences.append(Sparse.of(hashes, tags, np.log(seen)))
         if not order:
             # A character no text has: its share of the discounted mass.
-            floor_back = np.zeros(size)
-            floor_back[pair[:, 1].astype(np.int64)] = np.log(weight)
-            model.floor = floor + floor_back
+            model.floor = floor.copy()
+            model.floor[tag_of] += np.log(weight)
     return model
 
 
@@ -250,12 +285,11 @@ def _sample(docs: DataFrame, training: Training) -> DataFrame:
         "draw", F.xxhash64("doc_id", F.lit(3)).bitwiseAND(F.lit((1 << 62) - 1))
     )
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.orderBy(F.desc("n"), "lang").limit(training.languages)
     share = F.lit(float(training.docs_per_language)) / F.col("n")
     limits = sizes.select("lang", (share * F.lit(float(1 << 62))).alias("limit"))
     return (
         labelled.select("doc_id", "lang", "text", "draw")
-        .join(F.broadcast(limits), "lang")
+        .join(small(limits, MAX_BROADCAST_ROWS), "lang")
         .where("draw < limit")
         .select("lang", text_of().alias("text"), (F.col("draw") % 5 == 0).alias("calibrates"))
     )
@@ -296,15 +330,8 @@ def train(docs: DataFrame, training: Training = Training()) -> Model:
         .agg(F.sum("n").alias("n"))
     )
     counted = written(counted, "lang-counts")
-    # The smallest count that leaves no more sequences than the model may have.
-    sizes = sorted(counted.groupBy("n").count().collect(), key=lambda r: -r["n"])
-    least, kept = 1, 0
-    for row in sizes:
-        kept += row["count"]
-        if kept > training.sequences:
-            break
-        least = row["n"]
-    table = counted.where(F.col("n") >= least).orderBy("lang", "high", "low").toArrow()
+    # The sample bounds the sequences.
+    table = counted.orderBy("lang", "high", "low").toArrow()
     languages = sorted(set(table.column("lang").to_pylist()))
     number = {name: i for i, name in enumerate(languages)}
     high, low = (table.column(c).to_numpy() for c in ("high", "low"))
@@ -330,9 +357,9 @@ def _calibrate(model: Model, sample: DataFrame) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sent.value
-        index = found.index()
-        for batch, texts in slices(batches):
-            entropy, n = found.entropies(texts, index)
+        cache = Cache(found)
+        for batch, texts in slices(batches, max_bytes=1 << 20):
+            entropy, n = found.entropies(texts, cache)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("lang"),
@@ -370,7 +397,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-_models: dict[str, tuple[Model, HashIndex]] = {}
+_models: dict[str, tuple[Model, Cache]] = {}
 
 
 def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
@@ -389,11 +416,11 @@ def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _models:
             _models.clear()
-            _models[name] = sent.value, sent.value.index()
-        found, index = _models[name]
+            _models[name] = sent.value, Cache(sent.value)
+        found, cache = _models[name]
         for batch, texts in slices(batches, max_bytes=1 << 20):
             if found.languages:
-                entropy, n = found.entropies(texts, index)
+                entropy, n = found.entropies(texts, cache)
                 best = entropy.argmin(axis=1)
                 lowest = entropy[np.arange(texts.size), best]
                 score = _softmax(-found.scale * entropy)[np.arange(texts.size), best]
