@@ -27,8 +27,9 @@ from sftlens.session import ensure_checkpoint_dir
 from sftlens.streaming import monitor
 
 
-# The table is streamed in so many files, one per micro-batch.
-PARTS = 4
+# Rows of a micro-batch, of which there are four at least, and of a file of it.
+ROWS_PER_PART = 8_000_000
+ROWS_PER_FILE = 1_000_000
 
 
 def streamed_points(spark: SparkSession, sf: str, again: Column | None = None) -> DataFrame:
@@ -39,14 +40,17 @@ def streamed_points(spark: SparkSession, sf: str, again: Column | None = None) -
     events = table(spark, sf, "events")
     ensure_checkpoint_dir(spark)
     root = f"{spark.sparkContext.getCheckpointDir()}/events-{uuid.uuid4().hex}"
-    # A file per range of days; files are read in the order in which they were written.
+    # Ranges of days, one written after the other: files are read in the order of writing.
     day = F.dayofmonth("ts")
-    parts = [events.where((day > 8 * i) & (day <= 8 * (i + 1))) for i in range(PARTS)]
+    rows = events.count()
+    days = min(8, max(1, 32 * ROWS_PER_PART // max(rows, 1)))
+    parts = [events.where((day > first) & (day <= first + days)) for first in range(0, 32, days)]
     if again is not None:
         parts.append(events.where(again))
+    files = -(-rows * days // 32 // ROWS_PER_FILE) or 1
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(root)
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root)
+        part.repartition(files).write.mode("append").parquet(root)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(root)
     return source.select(
         F.col("event_type").alias("run_id"),
         "ts",
@@ -125,7 +129,7 @@ def stream_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 def stream_checks(spark: SparkSession, sf: str) -> DataFrame:
     """The checks of all intervals the watermark has closed, silent ones included."""
     points = streamed_points(spark, sf)
-    checks = monitor.live_checks(points, minutes=CHECK_MINUTES, max_silent=10_000)
+    checks = monitor.live_checks(points, minutes=CHECK_MINUTES)
     return run_to_end(spark, checks).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -157,6 +161,29 @@ def stream_delivered(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("run_id", F.col("row_no").alias("step"), F.col("anomaly").alias("trigger"))
 
 
+@query(
+    "stream_outputs",
+    "SELECT run_id, step, 'labels' AS output FROM (" + DEBOUNCE_SQL + ") UNION ALL "
+    "SELECT run_id, step, 'alerts' AS output FROM (" + DEBOUNCE_SQL + ") WHERE passed UNION ALL "
+    "SELECT run_id, step, 'snapshots' AS output FROM (" + SNAPSHOTS_SQL + ") UNION ALL "
+    "SELECT run_id, event_id AS step, 'late' AS output FROM (WITH" + RUNS_SQL + """
+    SELECT run_id, event_id FROM runs WHERE dayofmonth(ts) <= 8 AND event_id % 50 = 0 AND loss IS NOT NULL)""",
+)
+def stream_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Four tables written by one stream."""
+    root = f"{_shared(spark)}/outputs-{uuid.uuid4().hex}"
+    again = (F.dayofmonth("ts") <= 8) & (F.col("event_id") % 50 == 0)
+    points = spoil(streamed_points(spark, sf, again))
+    alerts = monitor.live_monitor(points, RULES, GAP_HOURS * 3600)
+    monitor.monitor_tables(alerts, f"{root}/out", f"{root}/state").awaitTermination()
+    out = None
+    for name in ("labels", "alerts", "snapshots", "late"):
+        step = F.col("step" if name == "late" else "row_no").alias("step")
+        part = monitor.read_monitor_table(spark, f"{root}/out", name).select("run_id", step, F.lit(name).alias("output"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "stream_summary",
     "WITH" + RUNS_SQL + """
