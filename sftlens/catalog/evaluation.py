@@ -106,11 +106,11 @@ def score_band(spark: SparkSession, sf: str) -> DataFrame:
 # --- replies --------------------------------------------------------------------------
 
 # One reply per document: scores written as numbers, fractions, digit strings, booleans, out
-# of range, left out, null or words; some replies cut short.
+# of range, beyond 64 bits, left out, null or words; some replies cut short or run on.
 REPLIES_SQL = """,
 expected AS (
   SELECT doc_id, CASE
-      WHEN doc_id % 17 = 0 THEN 'neutral' WHEN doc_id % 19 = 0 THEN 'none'
+      WHEN doc_id % 17 = 0 OR doc_id % 23 = 0 THEN 'neutral' WHEN doc_id % 19 = 0 THEN 'none'
       WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'neutral' ELSE 'good' END AS kind, *
   FROM judge)"""
 
@@ -131,6 +131,7 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
         .when(doc % 7 == 2, F.concat(F.lit('"'), plain, F.lit('"')))
         .when(doc % 7 == 3, "-2")
         .when(doc % 7 == 4, "true")
+        .when(doc % 7 == 5, "1e30")
         .otherwise(plain)
     )
     second = (
@@ -141,6 +142,7 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
     whole = scores(first, second)
     reply = (
         F.when(doc % 17 == 0, F.expr("left(whole, length(whole) - 3)"))
+        .when(doc % 23 == 0, F.concat("whole", F.lit(",0] rest")))
         .when(doc % 19 == 0, '{"note": "nothing to score"}')
         .otherwise(F.concat(F.lit("\n "), F.col("whole"), F.lit("\n")))
     )
@@ -158,7 +160,7 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, CASE kind WHEN 'neutral' THEN 'Scoring parse error — defaulted to neutral scores.'
              WHEN 'none' THEN 'No summary provided' ELSE 'seen ' || doc_id END AS summary,
            CASE kind WHEN 'neutral' THEN '3333 3333' WHEN 'none' THEN '' ELSE
-             CASE doc_id % 7 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE relevance END || '' || coherence ||
+             CASE doc_id % 7 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 5 ELSE relevance END || '' || coherence ||
              '33 335' || coalesce(factual_accuracy, 4) END AS items
     FROM expected""",
 )
@@ -176,7 +178,7 @@ def parse_scores(spark: SparkSession, sf: str) -> DataFrame:
     items AS (
       SELECT doc_id % 10 AS batch, unnest(CASE kind
         WHEN 'neutral' THEN [[3, 3, 3, 3], [3, 3, 3, 3]] WHEN 'none' THEN [[3, 3, 3, 3]]
-        ELSE [[CASE doc_id % 7 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE relevance END, coherence, 3, 3],
+        ELSE [[CASE doc_id % 7 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 5 ELSE relevance END, coherence, 3, 3],
               [3, 3, 5, coalesce(factual_accuracy, 4)]] END) AS v
       FROM expected)
     SELECT batch, round(avg(v[1]), 2) AS relevance, round(avg(v[2]), 2) AS coherence,
@@ -204,6 +206,7 @@ def prompt_replies(spark: SparkSession, sf: str) -> DataFrame:
     )
     reply = (
         F.when(item % 3 == 0, listed)
+        .when(item % 35 == 1, F.lit('["a"],0]'))
         .when(item % 5 == 1, F.lit("short\n  \n'tiny'"))
         .otherwise(F.concat(F.lit('\n  "'), F.replace(text, F.lit(". "), F.lit('."\n\'')), F.lit("'\n")))
     )

@@ -51,7 +51,7 @@ def read_csv_dataset(spark: SparkSession, sf: str) -> DataFrame:
     rows = alpaca(spark, sf)
     rows.write.option("header", True).option("escape", '"').csv(path)
     # Instructions have line breaks inside quotes.
-    return digests(datasets.read_training_dataset(spark, path, schema=rows.schema, multi_line=True))
+    return digests(datasets.read_training_dataset(spark, path, schema=rows.schema))
 
 
 @query(
@@ -192,7 +192,7 @@ def validate_broken_source(spark: SparkSession, sf: str) -> DataFrame:
 def broken_source_text(spark: SparkSession, sf: str) -> DataFrame:
     """Records that could not be parsed are not trained on."""
     rows = datasets.read_training_dataset(spark, broken_file(spark, sf))
-    text = prepare_for_training(rows, keep=("doc_id",), corrupt=datasets.corrupt_column(rows))
+    text = prepare_for_training(rows, keep=("doc_id",))
     return text.select("doc_id", F.md5("text").alias("digest"))
 
 

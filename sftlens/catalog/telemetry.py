@@ -16,7 +16,7 @@ from sftlens.catalog.adapters import (
 )
 from sftlens.catalog.registry import query
 from sftlens.operators import alerts, telemetry
-from sftlens.plans.skew import with_row_numbers
+from sftlens.plans.skew import bounded, with_row_numbers
 from sftlens.sources.event_tables import normalize_training_log
 
 # Thresholds that the given series can reach.
@@ -382,7 +382,7 @@ def progress_eta(spark: SparkSession, sf: str) -> DataFrame:
     bounds = runs(spark, sf).groupBy("run_id").agg(
         F.count("*").alias("total"), F.min("ts").alias("started")
     )
-    joined = points.join(bounds, "run_id")
+    joined = points.join(bounded(bounds), "run_id")
     out = telemetry.progress_eta(joined, F.col("total"), started=F.col("started"))
     return out.select(
         "run_id", "step", "total_steps", "progress_pct", "elapsed_min", "remaining_min"

@@ -122,7 +122,7 @@ def capped_rounds(spark: SparkSession, sf: str) -> DataFrame:
                    WHEN conv_id % 3 = 1 THEN '{"last_n": 5}' ELSE '{}' END AS arguments,
               CASE WHEN valid THEN CASE WHEN conv_id % 2 = 0 THEN turn + 7 ELSE 0 END END AS input_tokens,
               CASE WHEN valid THEN CAST(0 AS BIGINT) END AS output_tokens, valid
-       FROM (SELECT *, conv_id % 7 <> 0 AND conv_id % 11 <> 0 AS valid FROM conversations)""",
+       FROM (SELECT *, conv_id % 7 <> 0 AND conv_id % 11 <> 0 AND conv_id % 13 <> 0 AS valid FROM conversations)""",
 )
 def provider_replies(spark: SparkSession, sf: str) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
@@ -149,10 +149,11 @@ def provider_replies(spark: SparkSession, sf: str) -> DataFrame:
         ).otherwise(""),
         F.lit("}"),
     )
-    # Every seventh reply is cut short, every eleventh has no choices.
+    # Every seventh reply is cut short, every eleventh has no choices, every thirteenth runs on.
     reply = (
         F.when(conv % 7 == 0, F.left(reply, F.length(reply) - 1))
         .when(conv % 11 == 0, '{"choices": []}')
+        .when(conv % 13 == 0, F.concat(reply, F.lit(",0] rest")))
         .otherwise(reply)
     )
     rows = table(spark, sf, "conversations").select("conv_id", "turn", reply.alias("reply"))

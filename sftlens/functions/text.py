@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,12 +60,14 @@ def json_text(c: Column) -> Column:
 def strict_json(c: Column) -> Column:
     """The JSON document a text is, as a variant; null if anything else stands in it.
 
-    The parser stops at the end of a document. Inside an array with one more item, what
-    follows the document is a syntax error or changes the number of items.
+    The parser stops at the end of a document. Here the document is the first of two items,
+    the other one being drawn at random: text that closes the array itself cannot know it.
     """
-    both = F.try_parse_json(F.concat(F.lit("["), c, F.lit(",0]")))
+    end = uuid.uuid4().hex
+    both = F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{end}"]')))
     items = F.try_variant_get(both, "$", "array<variant>")
-    return F.when(F.size(items) == 2, F.try_element_at(items, F.lit(1)))
+    last = F.try_variant_get(F.try_element_at(items, F.lit(2)), "$", "string")
+    return F.when((F.size(items) == 2) & (last == end), F.try_element_at(items, F.lit(1)))
 
 
 def project_slug(c: Column) -> Column:

@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 
 from sftlens.plans.skew import (
     MAX_ROWS_PER_KEY,
+    bounded,
     join_keys,
     number_rows,
     split_hot,
 )
+from sftlens.session import ensure_checkpoint_dir
 
 # Triggers that pass the throttle unconditionally.
 CRITICAL_TRIGGERS = ["nan_loss", "inf_loss"]
@@ -26,6 +28,8 @@ DIRECT_TRIGGERS = ["training_start", "user_chat", "user_requested_eval"]
 
 THROTTLE_SECONDS = 300
 NEVER = np.iinfo(np.int64).max
+# Consecutive segments whose step functions one task composes.
+FAN_IN = 16
 
 
 def anomaly_triggers(labeled: DataFrame, key: str = "run_id", ts: str = "ts") -> DataFrame:
@@ -55,7 +59,8 @@ def scheduled_checks(
         minutes = 1
     step = minutes * 60_000_000
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    spans = df.groupBy(key).agg(F.min(at).alias("__from"), F.max(at).alias("__to"))
+    # One row per run: where it fits, it goes to the points, which stay spread over their tasks.
+    spans = bounded(df.groupBy(key).agg(F.min(at).alias("__from"), F.max(at).alias("__to")))
     points = join_keys(df.withColumn("__at", at), spans.drop("__to"), [key], "inner")
     number = (F.floor((F.col("__at") - F.col("__from")) / F.lit(step)) + 1).cast("long")
     logged = points.groupBy(key, number.alias("__no")).agg(
@@ -136,26 +141,31 @@ def _throttle_sorted(key: str, gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, last, started = None, None, False
         for batch in batches:
-            at, critical = _clock(batch)
-            keep = np.zeros(batch.num_rows, dtype=bool)
+            at, critical, direct = _clock(batch)
+            keep = direct.copy()
             stretches = pc.run_end_encode(batch.column(key))
             start = 0
             for end, value in zip(stretches.run_ends.to_pylist(), stretches.values.to_pylist()):
                 if not started or value != current:
                     current, last, started = value, None, True
-                keep[start:end] = _passes(at[start:end], critical[start:end], gap, last)
-                hits = np.flatnonzero(keep[start:end])
-                if len(hits):
-                    last = int(at[start + hits[-1]])
+                own = start + np.flatnonzero(~direct[start:end])
+                passes = _passes(at[own], critical[own], gap, last)
+                keep[own] = passes
+                if passes.any():
+                    last = int(at[own[passes]][-1])
                 start = end
             yield _with_passed(batch, keep)
 
     return run
 
 
-def _clock(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    at, critical = rows.column("__at"), rows.column("critical")
-    return at.to_numpy(zero_copy_only=False), critical.to_numpy(zero_copy_only=False).astype(bool)
+def _clock(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Times, which triggers are critical, and which reach the agent directly."""
+    at, critical, direct = (
+        rows.column(c).to_numpy(**({} if isinstance(rows, pa.Table) else {"zero_copy_only": False}))
+        for c in ("__at", "critical", "__direct")
+    )
+    return at, critical.astype(bool), direct.astype(bool)
 
 
 def _with_passed(rows, keep: np.ndarray):
@@ -188,51 +198,105 @@ def _segment_exits(key: str, gap: int):
         until = at[entries].astype(np.int64)
         if len(crit) and entries[-1] == crit[0]:
             until[-1] = NEVER
-        leave = exits[entries]
-        final = np.append(leave[1:] != leave[:-1], True)
+        return _steps_row(key, pdf[key].iloc[0], pdf["seg"].iloc[0], until, exits[entries])
+
+    return run
+
+
+def _steps_row(key: str, value, seg: int, until: np.ndarray, leave: np.ndarray) -> pd.DataFrame:
+    """A step function as one row; steps with equal ends are one."""
+    final = np.append(leave[1:] != leave[:-1], True)
+    steps = {"until": [until[final].tolist()], "leave": [leave[final].tolist()]}
+    return pd.DataFrame({key: [value], "seg": [int(seg)], **steps})
+
+
+def _after(last, until: np.ndarray, leave: np.ndarray, gap: int):
+    """The time of the last pass after a segment, given that before it (None: none yet)."""
+    if last is None:
+        return int(leave[0])
+    at = int(np.searchsorted(until, last + gap, side="left"))
+    return int(leave[at]) if at < len(until) else last
+
+
+def _compose(first: tuple, second: tuple, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of one segment followed by another."""
+    until, leave = first
+    then = np.array([_after(int(x), *second, gap) for x in leave], dtype=np.int64)
+    # A state that no alert of the first segment ends is the second one's to end.
+    beyond = second[0] > until[-1]
+    return np.concatenate([until, second[0][beyond]]), np.concatenate([then, second[1][beyond]])
+
+
+def _functions(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [
+        (np.asarray(u, dtype=np.int64), np.asarray(v, dtype=np.int64))
+        for u, v in zip(pdf["until"], pdf["leave"])
+    ]
+
+
+def _composed(key: str, gap: int):
+    """One step function for up to ``FAN_IN`` consecutive segments."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seg")
+        whole, *rest = _functions(pdf)
+        for function in rest:
+            whole = _compose(whole, function, gap)
+        return _steps_row(key, pdf[key].iloc[0], pdf["parent"].iloc[0], *whole)
+
+    return run
+
+
+def _entered(key: str, gap: int):
+    """The state in which each of up to ``FAN_IN`` consecutive segments starts."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seg")
+        last = pdf["entered"].iloc[0]
+        last = None if pd.isna(last) else int(last)
+        states = []
+        for until, leave in _functions(pdf):
+            states.append(last)
+            last = _after(last, until, leave, gap)
         return pd.DataFrame(
-            {
-                key: pdf[key].iloc[0],
-                "seg": pdf["seg"].iloc[0],
-                "until": until[final],
-                "leave": leave[final],
-            }
+            {key: pdf[key], "seg": pdf["seg"], "entered": pd.array(states, dtype="Int64")}
         )
 
     return run
 
 
-def _chain_segments(key: str, gap: int):
-    """Walk the step functions of consecutive segments; emits the state each one starts in."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, last, done = None, None, False
-        for pdf in batches:
-            runs, segs, states = [], [], []
-            values = pdf[key].astype(object).where(pdf[key].notna(), None)
-            rows = zip(values, pdf["seg"], pdf["until"], pdf["leave"])
-            for value, seg, until, leave in rows:
-                if where != (value, seg):
-                    if where is None or where[0] != value:
-                        last = None
-                    where, done = (value, seg), False
-                    runs.append(value)
-                    segs.append(seg)
-                    states.append(last)
-                if not done and (last is None or until == NEVER or until >= last + gap):
-                    last, done = leave, True
-            yield pd.DataFrame(
-                {key: runs, "seg": segs, "entered": pd.array(states, dtype="Int64")}
-            )
+def _segment_states(steps: DataFrame, key: str, gap: int, segments: int) -> DataFrame:
+    """``key, seg, entered``: the time of the last pass before each segment.
 
-    return run
+    Step functions are composed ``FAN_IN`` at a time, level by level; states then go down
+    the same levels. No task sees more than ``FAN_IN`` functions, however long a run is.
+    """
+    key_field = steps.schema[key]
+    long = T.LongType()
+    states_type = T.StructType([key_field, T.StructField("seg", long), T.StructField("entered", long)])
+    parent = F.floor(F.col("seg") / F.lit(FAN_IN)).cast("long")
+    ensure_checkpoint_dir(steps.sparkSession)
+    levels = [steps.checkpoint()]
+    while segments > FAN_IN:
+        joined = levels[-1].withColumn("parent", parent).groupBy(key, "parent")
+        levels.append(joined.applyInPandas(_composed(key, gap), steps.schema).checkpoint())
+        segments = -(-segments // FAN_IN)
+    states = levels[-1].select(key, F.lit(0).cast("long").alias("parent"), F.lit(None).cast("long").alias("entered"))
+    states = states.distinct()
+    for functions in reversed(levels):
+        known = join_keys(functions.withColumn("parent", parent), states, [key, "parent"], "inner")
+        states = known.groupBy(key, "parent").applyInPandas(_entered(key, gap), states_type)
+        states = states.withColumnRenamed("seg", "parent")
+    return states.withColumnRenamed("parent", "seg")
 
 
 def _throttle_group(gap: int):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("__no").combine_chunks()
-        at, critical = _clock(rows)
-        return _with_passed(rows, _passes(at, critical, gap, rows.column("entered")[0].as_py()))
+        at, critical, direct = _clock(rows)
+        keep = direct.copy()
+        keep[~direct] = _passes(at[~direct], critical[~direct], gap, rows.column("entered")[0].as_py())
+        return _with_passed(rows, keep)
 
     return run
 
@@ -254,26 +318,21 @@ def debounce_alerts(
 
     Which triggers pass is a recurrence, so each run is walked in order. Runs with more
     than ``max_rows`` triggers are cut into segments that are solved side by side: each
-    segment first reports how its last pass depends on its first one, a short chain over
-    those reports yields the state every segment starts in, and the segments are then
-    walked independently. ``sizes_from`` is a table with at least as many rows per run
+    segment first reports how its last pass depends on its first one, these step functions
+    are composed level by level, which yields the state every segment starts in, and the
+    segments are then walked independently. ``sizes_from`` is a table with at least as many rows per run
     that is cheaper to count than ``triggers``, such as the metric points.
     """
     if "critical" not in triggers.columns:
         if critical is None:
             critical = F.col("trigger").isin(CRITICAL_TRIGGERS)
         triggers = triggers.withColumn("critical", critical)
+    direct = F.lit(False)
     if "debounced" in triggers.columns:
         direct = ~F.coalesce("debounced", F.lit(True))
-        rest = debounce_alerts(
-            triggers.where(~direct).withColumnRenamed("debounced", "__debounced"),
-            gap_seconds, key, ts, seq, critical, max_rows, sizes_from,
-        )
-        rest = rest.withColumnRenamed("__debounced", "debounced")
-        return rest.unionByName(triggers.where(direct).withColumn("passed", F.lit(True)))
     gap = int(round(gap_seconds * 1_000_000))
     columns = triggers.columns
-    df = triggers.withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp")))
+    df = triggers.withColumns({"__at": F.unix_micros(F.col(ts).cast("timestamp")), "__direct": direct})
     order = ["__at", *seq]
     schema = T.StructType([*df.schema.fields, T.StructField("passed", T.BooleanType())])
 
@@ -290,27 +349,20 @@ def debounce_alerts(
     numbered = number_rows(
         split.hot, key, order, split.hot_rows, split.hot_keys, max_rows, "__no"
     ).withColumn("seg", F.floor((F.col("__no") - 1) / F.lit(max_rows)).cast("long"))
-    clock = numbered.select(key, "seg", "__no", "__at", "critical")
-    key_field = T.StructField(key, df.schema[key].dataType)
-    long = T.LongType()
+    clock = numbered.where("not __direct").select(key, "seg", "__no", "__at", "critical")
+    times = T.ArrayType(T.LongType())
     steps = clock.groupBy(key, "seg").applyInPandas(
         _segment_exits(key, gap),
         T.StructType([
-            key_field,
-            T.StructField("seg", long),
-            T.StructField("until", long),
-            T.StructField("leave", long),
+            df.schema[key],
+            T.StructField("seg", T.LongType()),
+            T.StructField("until", times),
+            T.StructField("leave", times),
         ]),
     )
-    states = (
-        steps.repartition(key)
-        .sortWithinPartitions(key, "seg", "until")
-        .mapInPandas(
-            _chain_segments(key, gap),
-            T.StructType([key_field, T.StructField("seg", long), T.StructField("entered", long)]),
-        )
-    )
-    hot = join_keys(numbered, states, [key, "seg"], "inner")
+    states = _segment_states(steps, key, gap, split.hot_rows // max_rows + 1)
+    # Segments of direct triggers alone have no state and need none.
+    hot = join_keys(numbered, states, [key, "seg"], "left")
     walked = hot.groupBy(key, "seg").applyInArrow(
         _throttle_group(gap),
         T.StructType([*hot.schema.fields, T.StructField("passed", T.BooleanType())]),

@@ -14,6 +14,8 @@ from sftlens.functions.text import capitalize, is_blank
 from sftlens.plans.skew import MAX_ROWS_PER_KEY, collect_ordered, with_row_numbers
 
 # Required columns of the known formats, in order of preference.
+# The column in which readers keep records that they could not parse.
+CORRUPT = "_corrupt_record"
 REQUIRED_COLUMNS = {"alpaca": ["instruction", "output"], "sharegpt": ["conversations"]}
 # Role spellings and the role they stand for.
 ROLE_NAMES = {
@@ -140,14 +142,16 @@ def validate_dataset(
     mapping: dict[str, str] | None = None,
     by: str | None = None,
     null_as_literal: bool = False,
-    corrupt: str | None = None,
+    corrupt: str | None = CORRUPT,
 ) -> DataFrame:
     """The report on a dataset, one row per dataset.
 
     All rows are checked, in one aggregation. ``by`` names a column that tells several
     datasets in one table apart. ``corrupt`` names the column in which the reader left the
-    records it could not parse; they are an issue of their own and count for nothing else.
+    records it could not parse, if there is one; they are an issue of their own and count for
+    nothing else.
     """
+    corrupt = corrupt if corrupt in df.columns else None
     columns = [c for c in df.columns if c not in (by, corrupt)]
     fmt = detect_format(columns, mapping) if fmt == "auto" else fmt
     issues = _column_issues(columns, fmt, mapping)
@@ -271,16 +275,17 @@ def prepare_for_training(
     tokenizer=None,
     null_as_literal: bool = False,
     keep: tuple[str, ...] = (),
-    corrupt: str | None = None,
+    corrupt: str | None = CORRUPT,
 ) -> DataFrame:
-    """One ``text`` per training example; records in a ``corrupt`` column make none.
+    """One ``text`` per training example; records that the reader could not parse and
+    left in the column ``corrupt``, if there is one, make none.
 
     ``tokenizer`` (G1) may be a pandas UDF from messages to text; without one the
     rendering stays inside the projection. ``keep`` carries key columns along.
     """
     fmt = detect_format(df.columns, mapping) if fmt == "auto" else fmt
     df = apply_mapping(df, mapping)
-    if corrupt:
+    if corrupt in df.columns:
         df = df.where(F.col(f"`{corrupt}`").isNull())
     if fmt == "alpaca":
         messages = alpaca_messages(df, null_as_literal)

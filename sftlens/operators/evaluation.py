@@ -151,17 +151,19 @@ def zip_pairs(prompts: Column, responses: Column) -> Column:
 def parse_scores(df: DataFrame, reply: str = "reply", n_prompts: str = "n_prompts") -> DataFrame:
     """Adds ``scores`` (one struct of dimensions per item) and ``summary``.
 
-    Numbers are cut to whole ones and clamped to 1..5, missing dimensions are neutral. Any
-    value that is not a number, or a reply that is not such a document, makes every prompt
+    Numbers of any size are cut to whole ones and clamped to 1..5, missing dimensions are
+    neutral. Any value that is not a number, or a reply that is not such a document, makes every prompt
     of the reply neutral.
     """
     document = strip(F.coalesce(F.col(reply), F.lit("")))
     # A repeated member makes no variant; read by name, the last one counts, as elsewhere.
     dims = ",".join(f"{d}:variant" for d in DIMENSIONS)
-    named = F.from_json(document, f"scores array<struct<{dims}>>, summary variant")
+    df = df.withColumn("__doc", document).withColumn("__strict", strict_json(F.col("__doc")))
+    # Only what is no document by itself is parsed again.
+    broken = F.when(F.col("__strict").isNull(), F.col("__doc"))
+    named = F.from_json(F.when(F.try_parse_json(broken).isNull(), broken), f"scores array<struct<{dims}>>, summary variant")
     again = F.when(named["scores"].isNotNull(), F.try_parse_json(F.to_json(named)))
-    lenient = F.try_parse_json(document)
-    df = df.withColumn("__v", F.coalesce(strict_json(document), F.when(lenient.isNull(), again)))
+    df = df.withColumn("__v", F.coalesce("__strict", again))
     v = F.col("__v")
     df = df.withColumns(
         {
@@ -175,10 +177,14 @@ def parse_scores(df: DataFrame, reply: str = "reply", n_prompts: str = "n_prompt
     def value(item: Column, dim: str) -> Column:
         present = F.try_variant_get(item, f"$.{dim}", "variant").isNotNull()
         number = F.try_variant_get(item, f"$.{dim}", "bigint")
-        # A whole number beyond 64 bits is still a number, and is clamped.
+        # A number beyond 64 bits is still a number, and is clamped; a text is one if it is whole.
+        kind = F.schema_of_variant(F.try_variant_get(item, f"$.{dim}", "variant"))
         text = F.try_variant_get(item, f"$.{dim}", "string")
-        large = F.when(text.rlike(r"^[+-]?\d{19,}$"), F.when(text.startswith("-"), 1).otherwise(5))
-        number = F.coalesce(number, large)
+        double = F.try_variant_get(item, f"$.{dim}", "double")
+        far = F.when((kind == "STRING") & text.rlike(r"^[+-]?\d{19,}$"), text.startswith("-")).when(
+            kind != "STRING", double < 0
+        )
+        number = F.coalesce(number, F.when(far, 1).when(~far, 5))
         clamped = F.greatest(F.lit(1), F.least(F.lit(5), number)).cast("int")
         return F.when(~present, F.lit(NEUTRAL_SCORE)).when(number.isNotNull(), clamped)
 
@@ -208,7 +214,7 @@ def parse_scores(df: DataFrame, reply: str = "reply", n_prompts: str = "n_prompt
             "scores": F.when(good, F.coalesce(entries, empty)).otherwise(neutral),
             "summary": F.when(good, summary).otherwise(PARSE_ERROR_SUMMARY),
         }
-    ).drop("__v", "__object", "__given", "__items", "__summary", "__entries")
+    ).drop("__v", "__object", "__given", "__items", "__summary", "__entries", "__doc", "__strict")
 
 
 def dimension_scores(

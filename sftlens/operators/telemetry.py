@@ -26,6 +26,7 @@ from sftlens.functions.numeric import (
 from sftlens.plans.skew import (
     MAX_BROADCAST_ROWS,
     MAX_ROWS_PER_KEY,
+    bounded,
     join_keys,
     last_rows,
     number_rows,
@@ -490,12 +491,12 @@ def progress_eta(
 ) -> DataFrame:
     """Elapsed and remaining time and percentage done at every logged point.
 
-    Start times come from an aggregation per run joined back, not from a window over the
-    run, so a long run stays spread over its tasks. ``started`` overrides the earliest
+    Start times come from an aggregation per run, broadcast to the points where it is small
+    enough, so a long run stays spread over its tasks. ``started`` overrides the earliest
     timestamp as the start.
     """
     if started is None:
-        begin = df.groupBy(key).agg(F.min(ts).alias("__start"))
+        begin = bounded(df.groupBy(key).agg(F.min(ts).alias("__start")))
         df = join_keys(df, begin, [key], "inner")
     else:
         df = df.withColumn("__start", started)

@@ -39,6 +39,15 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
+def bounded(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A table of few narrow rows, computed once and broadcast to what it is joined with.
+
+    More than ``rows`` rows are left where they are; at most one more reaches the driver.
+    """
+    head = df.limit(rows + 1).collect()
+    return df if len(head) > rows else F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
+
+
 @dataclass
 class KeySplit:
     """``usual`` holds the keys of ordinary size, ``hot`` the rest (None when there are none)."""

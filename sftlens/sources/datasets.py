@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
-from sftlens.operators.curation import validate_dataset
-
-# The column in which records that could not be parsed are kept.
-CORRUPT = "_corrupt_record"
+from sftlens.operators.curation import CORRUPT, validate_dataset
 
 
 def read_training_dataset(
@@ -17,13 +14,14 @@ def read_training_dataset(
     source: str,
     split: str | None = None,
     schema: StructType | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read ``.json``/``.jsonl``, ``.csv`` or ``.parquet`` files or a directory of parquet.
 
-    ``split`` picks a subdirectory of a directory source. Text files are read record by
-    record and split between tasks; ``multi_line`` reads JSON files that hold one array, and
-    CSV files with line breaks inside quotes, a whole file per task. Records that cannot be
+    ``split`` picks a subdirectory of a directory source. JSON files are read line by line
+    and split between tasks; ``multi_line=True`` reads those that hold one array, a whole file
+    per task. CSV texts may have line breaks in quotes, so a CSV file is one task, too;
+    ``multi_line=False`` splits files that are known to have none. Records that cannot be
     parsed have their text in the column ``_corrupt_record``, which is there only if the
     reader found some (or ``schema`` names it). Inference costs a pass over the data; give a
     ``schema`` for large inputs.
@@ -32,9 +30,9 @@ def read_training_dataset(
     reader = spark.read if schema is None else spark.read.schema(schema)
     kind = source.rsplit(".", 1)[-1].lower()
     if kind in ("json", "jsonl"):
-        return reader.option("multiLine", multi_line).json(path)
+        return reader.option("multiLine", bool(multi_line)).json(path)
     if kind == "csv":
-        csv = reader.option("header", True).option("multiLine", multi_line).option("escape", '"')
+        csv = reader.option("header", True).option("multiLine", multi_line is not False).option("escape", '"')
         if schema is None:
             # Inference knows no corrupt records; the second reader keeps them.
             inferred = csv.option("inferSchema", True).csv(path).schema
@@ -63,7 +61,7 @@ def validate_source(
     source: str,
     fmt: str = "auto",
     split: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     **options,
 ) -> DataFrame:
     """B5 on a path: a source that cannot be read gives a report saying so.
@@ -73,7 +71,7 @@ def validate_source(
     """
     try:
         df = read_training_dataset(spark, source, split, multi_line=multi_line)
-        report = validate_dataset(df, source, fmt, corrupt=corrupt_column(df), **options)
+        report = validate_dataset(df, source, fmt, **options)
         return spark.createDataFrame(report.collect(), report.schema)
     except Exception as error:  # any reader failure is the finding itself
         return _unreadable(spark, source, fmt, error)
