@@ -8,7 +8,7 @@ holds comes once per block, so no bucket grows with the number of its occurrence
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,15 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 16 << 20
 
 
-def bucket_bits(df: DataFrame) -> int:
-    """Buckets follow the session's number of shuffle partitions, which follows the data."""
-    return max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length())
+# Keys of all blocks that a bucket should hold, in bytes.
+BUCKET_BYTES = 4 << 20
+
+
+def bucket_bits(blocks: DataFrame) -> int:
+    """Buckets follow the bytes of the keys, and the shuffle partitions where those are more."""
+    total = blocks.agg(F.sum(F.length("keys"))).first()[0] or 0
+    partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(4, partitions.bit_length(), (total // BUCKET_BYTES).bit_length())
 
 
 def _sent(bits: int):
@@ -46,7 +52,7 @@ def _sent(bits: int):
     return run
 
 
-def _summed(table: pa.Table, value: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> pa.Table:
+def _summed(table: pa.Table) -> pa.Table:
     """Sums of one bucket for the blocks that asked, and the bucket's own totals in its first row."""
     keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
     weights = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("weights")])
@@ -56,7 +62,7 @@ def _summed(table: pa.Table, value: Callable[[np.ndarray, np.ndarray], np.ndarra
     sums = np.zeros(len(distinct), np.int64)
     np.add.at(sums, at, weights)
     edges = np.concatenate([[0], np.cumsum(sizes)])
-    answers = (sums if value is None else value(distinct, sums))[at]
+    answers = sums[at]
     n = len(sizes)
     return pa.table(
         {
@@ -69,25 +75,19 @@ def _summed(table: pa.Table, value: Callable[[np.ndarray, np.ndarray], np.ndarra
     )
 
 
-def summed_keys(
-    blocks: DataFrame,
-    value: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
-    most_bits: int = 64,
-) -> DataFrame:
+def summed_keys(blocks: DataFrame) -> DataFrame:
     """``block, bucket, sums, total, known`` from ``block, keys, weights``.
 
     ``keys`` are a block's distinct 64-bit keys in ascending order and ``weights`` their
     64-bit weights, both as bytes. The ``sums`` of a block, its buckets in order, follow the
     order of its keys. ``total`` and ``known`` add up, over all rows, to the sum of all
-    weights and the number of keys with a positive sum. With ``value``, what it makes of a
-    bucket's distinct keys and their sums (8 bytes a key) is sent back instead of the sums;
-    keys that agree in their first ``most_bits`` bits share a bucket.
+    weights and the number of keys with a positive sum.
     """
     sent = blocks.select("block", "keys", "weights").mapInArrow(
-        _sent(min(bucket_bits(blocks), most_bits)), "block string, bucket int, keys binary, weights binary"
+        _sent(bucket_bits(blocks)), "block string, bucket int, keys binary, weights binary"
     )
     return sent.groupBy("bucket").applyInArrow(
-        lambda table: _summed(table, value), "block string, bucket int, sums binary, total long, known long"
+        _summed, "block string, bucket int, sums binary, total long, known long"
     )
 
 
@@ -100,8 +100,8 @@ def answers(blocks: DataFrame, sums: DataFrame) -> DataFrame:
     return blocks.join(found, "block", "left")
 
 
-def sums_of(parts: pa.Scalar, kind: type = np.int64) -> np.ndarray:
-    """The sums (or values) of one block in the order of its keys."""
+def sums_of(parts: pa.Scalar) -> np.ndarray:
+    """The sums of one block in the order of its keys."""
     if not parts.is_valid:
-        return np.empty(0, kind)
-    return np.concatenate([np.frombuffer(p["sums"], kind) for p in parts.as_py()])
+        return np.empty(0, np.int64)
+    return np.concatenate([np.frombuffer(p.as_buffer(), np.int64) for p in parts.values.field("sums")])

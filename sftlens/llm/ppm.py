@@ -5,24 +5,21 @@ followed them in the training documents. A byte is predicted in its longest know
 bytes a context has not seen get its escape probability (method C: the number of distinct
 followers over that number plus all followers) times the prediction of the next shorter
 context, from which the bytes already excluded are left out; below the empty context all
-remaining bytes are equally likely. The trie is pretrained on the whole corpus, so every
-(context, byte) pair has one code length, and the code length of a document is a sum over
-its pairs.
-
-Every context that was counted is in the model, so it grows with the corpus. Blocks of
-documents send their pairs to buckets of the last two context bytes, which hold all that the
-two longest contexts need; shorter ones have at most 65,536 pairs and go to every bucket. A
-caller who wants a smaller model bounds it with ``Trie``.
-
-Unigram counts of all words, for the plain score beside it, are added up over the corpus by
-the same packed exchange.
+remaining bytes are equally likely. A text ends with a byte that no text holds, so the
+probabilities of all texts add up to one. The trie is pretrained on the whole corpus, so
+every (context, byte) pair has one code length, and the code length of a document is a sum
+over its pairs.
+
+Every pair that was counted is in the model, so it grows with the corpus. Tasks work on
+blocks of documents. A pair is one row per block that holds it; the rows are added up,
+get their code lengths by groups of two-byte contexts, which the 256 byte values bound, and
+go back to their blocks by a join. Unigram counts of all words, for the plain score beside
+it, are added up over the corpus by a packed exchange.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,33 +29,38 @@ from pyspark.sql import functions as F
 
 from sftlens.llm.exchange import BLOCK_BYTES, answers, sums_of, summed_keys
 from sftlens.llm.tables import text_of, written
-from sftlens.llm.textarrays import SLICE_BYTES, Texts, mix, slices
+from sftlens.llm.textarrays import SLICE_BYTES, HashIndex, Texts, mix, slices
 
 _U = np.uint64
 ORDER = 3
 # The key of the end of a document among word hashes.
 END_KEY = mix(np.array([0xE0D], _U))[0]
-# An odd factor spreads 16-bit contexts over the buckets, its inverse undoes that.
-_SPREAD = 0x9E37
-_GATHER = pow(_SPREAD, -1, 1 << 16)
-# Contexts of a block whose pairs are laid out as a table (64 MB); with more they are searched.
-TABLE_CONTEXTS = 1 << 16
+# A byte that UTF-8 never uses ends each text.
+END_BYTE = 0xFF
+# Groups of two-byte contexts that get their code lengths together.
+GROUPS = 256
 
 
-@dataclass(frozen=True)
-class Trie:
-    """A smaller model: most contexts of three and of two bytes to keep, by how often they occur.
+def in_training(doc_id: str = "doc_id") -> Column:
+    """Whether a document is learned from: CRC-32 of its id as text, modulo 5, is not 1."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5, F.lit(0)) != 1
 
-    Rarer contexts are predicted by shorter ones.
-    """
 
-    contexts3: int = 1 << 15
-    contexts2: int = 1 << 13
+def ended(texts: Texts) -> Texts:
+    """The texts with the end byte after each."""
+    data = np.insert(texts.data, texts.offsets[1:], END_BYTE)
+    return Texts(data, texts.offsets + np.arange(len(texts.offsets)))
 
 
-def in_training(doc_id: str = "doc_id") -> Column:
-    """Whether a document is learned from: CRC-32 of its id as text, modulo 5, is not 1."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5, F.lit(0)) != 1
+def parts(texts: Texts, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, Texts]]:
+    """Runs of documents with about ``max_bytes`` of text, one document at least."""
+    first = 0
+    while first < texts.size:
+        last = int(np.searchsorted(texts.offsets, texts.offsets[first] + max_bytes, "right")) - 1
+        last = min(max(last, first + 1), texts.size)
+        low, high = texts.offsets[first], texts.offsets[last]
+        yield first, last, Texts(texts.data[low:high], texts.offsets[first : last + 1] - low)
+        first = last
 
 
 def quads(texts: Texts) -> np.ndarray:
@@ -76,20 +78,6 @@ def quads(texts: Texts) -> np.ndarray:
     return out
 
 
-def pair_keys(grams: np.ndarray) -> np.ndarray:
-    """Numbers of ``quads`` as keys whose first 16 bits follow the last two context bytes, spread."""
-    two = ((grams >> np.uint32(8) & np.uint32(0xFFFF)) * np.uint32(_SPREAD) & np.uint32(0xFFFF)).astype(_U)
-    third, byte = (grams >> np.uint32(24)).astype(_U), (grams & np.uint32(0xFF)).astype(_U)
-    return two << _U(48) | third << _U(40) | byte << _U(32)
-
-
-def grams_of(keys: np.ndarray) -> np.ndarray:
-    """The numbers of ``quads`` of ``pair_keys``."""
-    two = (keys >> _U(48)).astype(np.uint32) * np.uint32(_GATHER) & np.uint32(0xFFFF)
-    third, byte = (keys >> _U(40) & _U(0xFF)).astype(np.uint32), (keys >> _U(32) & _U(0xFF)).astype(np.uint32)
-    return third << np.uint32(24) | two << np.uint32(8) | byte
-
-
 def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = np.sort(values)
     if not len(s):
@@ -98,6 +86,21 @@ def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[first], np.diff(first, append=len(s))
 
 
+def _gram_counts(texts: Texts, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of ``quads`` of all texts and how often the learned ones have them."""
+    grams, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
+    for first, last, part in parts(texts):
+        mine = learned[first:last]
+        for rows, weight in ((np.flatnonzero(mine), 1), (np.flatnonzero(~mine), 0)):
+            more, n = _counted(quads(ended(part.take(rows))))
+            joined = np.union1d(grams, more)
+            total = np.zeros(len(joined), np.int64)
+            total[np.searchsorted(joined, grams)] = counts
+            total[np.searchsorted(joined, more)] += n * weight
+            grams, counts = joined, total
+    return grams, counts
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """Texts, words and (context, byte) pairs of blocks of documents, with their training counts."""
 
@@ -108,11 +111,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             hashes = np.concatenate([texts.lower_word_hashes, np.full(texts.size, END_KEY, _U)])
             holders = np.concatenate([texts.words[2], np.arange(texts.size)])
             keys, weights = _weighed(np.sort(hashes), *_counted(hashes[learned[holders]]))
-            held = quads(texts.take(np.flatnonzero(~learned)))
-            grams, counts = _counted(quads(texts.take(np.flatnonzero(learned))))
-            grams, counts = _weighed(np.union1d(grams, _counted(held)[0]), grams, counts)
-            pairs = pair_keys(grams)
-            order = np.argsort(pairs)
+            grams, counts = _gram_counts(texts, learned)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([f"{task}-{number}"]),
@@ -122,16 +121,16 @@ def _blocks(docs: DataFrame) -> DataFrame:
                     pa.array([np.diff(texts.offsets)], pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(pa.array([0, texts.size], pa.int32()), batch.column("doc_id")),
                     pa.array([~learned], pa.list_(pa.bool_())),
-                    pa.array([pairs[order].tobytes()], pa.binary()),
-                    pa.array([counts[order].tobytes()], pa.binary()),
+                    pa.array([grams.tobytes()], pa.binary()),
+                    pa.array([counts.tobytes()], pa.binary()),
                 ],
-                ["block", "keys", "weights", "texts", "sizes", "doc_ids", "held", "pairs", "counts"],
+                ["block", "keys", "weights", "texts", "sizes", "doc_ids", "held", "grams", "counts"],
             )
 
     return docs.mapInArrow(
         run,
         "block string, keys binary, weights binary, texts binary, sizes array<long>, doc_ids array<long>, "
-        "held array<boolean>, pairs binary, counts binary",
+        "held array<boolean>, grams binary, counts binary",
     )
 
 
@@ -144,58 +143,49 @@ def _weighed(values: np.ndarray, known: np.ndarray, counts: np.ndarray) -> tuple
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Byte-context counts of a task's blocks, merged."""
-    grams, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
-    for batch in batches:
-        for row in range(batch.num_rows):
-            weights = np.frombuffer(batch.column("counts")[row].as_py(), np.int64)
-            more = grams_of(np.frombuffer(batch.column("pairs")[row].as_py(), _U))[weights > 0]
-            joined = np.concatenate([grams, more])
-            weights = np.concatenate([counts, weights[weights > 0]])
-            grams, at = np.unique(joined, return_inverse=True)
-            counts = np.zeros(len(grams), np.int64)
-            np.add.at(counts, at, weights)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array((grams >> 8).astype(np.int32)), pa.array((grams & 255).astype(np.int32)), pa.array(counts)],
-        ["context", "byte", "n"],
-    )
-
-
-def _short_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of bytes after single bytes in a task's blocks, added up."""
-    total = np.zeros(1 << 16, np.int64)
+    """One row per block and pair: its place among the block's pairs and its training count."""
     for batch in batches:
         for row in range(batch.num_rows):
-            grams = grams_of(np.frombuffer(batch.column("pairs")[row].as_py(), _U))
-            np.add.at(total, grams & 0xFFFF, np.frombuffer(batch.column("counts")[row].as_py(), np.int64))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
+            grams = np.frombuffer(batch.column("grams")[row].as_buffer(), np.uint32)
+            counts = np.frombuffer(batch.column("counts")[row].as_buffer(), np.int64)
+            for first in range(0, len(grams), 1 << 16):
+                part = grams[first : first + (1 << 16)].astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([batch.column("block")[row].as_py()] * len(part), pa.string()),
+                        pa.array(np.arange(first, first + len(part), dtype=np.int32)),
+                        pa.array(part),
+                        pa.array(counts[first : first + (1 << 16)]),
+                    ],
+                    ["of", "place", "gram", "n"],
+                )
 
 
-def _short_counts(blocks: DataFrame) -> np.ndarray:
+def _short_counts(counts: DataFrame) -> np.ndarray:
     """How often each byte (column) followed each byte (row): all there is of the short contexts."""
-    rows = blocks.select("pairs", "counts").mapInArrow(_short_rows, "pair int, n long")
-    table = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pair = F.col("gram").bitwiseAND(F.lit(0xFFFF))
+    # At most 65,536 rows.
+    table = counts.groupBy(pair.alias("pair")).agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << 16)
     out[table.column("pair").to_numpy()] = table.column("n").to_numpy()
     return out.reshape(256, 256)
 
 
-def pair_codes(keys: np.ndarray, sums: np.ndarray, short: np.ndarray) -> np.ndarray:
+def gram_codes(grams: np.ndarray, sums: np.ndarray, short: np.ndarray) -> np.ndarray:
     """log10 probabilities of pairs, from the counts of all pairs with the same last two context bytes.
 
     What follows a context follows its suffixes too, so what a level excludes is what the
     level above has seen.
     """
-    byte = (keys >> _U(32) & _U(0xFF)).astype(np.int64)
-    _, three = np.unique(keys >> _U(40), return_inverse=True)
-    followers, at = np.unique(keys >> _U(48) << _U(8) | byte.astype(_U), return_inverse=True)
-    twos, two = np.unique(followers >> _U(8), return_inverse=True)
-    one = ((twos * _U(_GATHER)) & _U(0xFF)).astype(np.int64)
+    byte = grams & 0xFF
+    _, three = np.unique(grams >> 8, return_inverse=True)
+    followers, at = np.unique(grams & 0xFFFFFF, return_inverse=True)
+    twos, two = np.unique(followers >> 8, return_inverse=True)
+    one = twos & 0xFF
 
     n3 = sums.astype(float)
     n2 = np.bincount(at, n3, len(followers))
-    n1 = short[one[two], (followers & _U(0xFF)).astype(np.int64)]
+    n1 = short[one[two], followers & 0xFF]
     n0 = short.sum(axis=0)
     # Per context: followers and distinct followers that the next longer context has not seen.
     whole3, kinds3 = np.bincount(three, n3), np.bincount(three, n3 > 0)
@@ -211,183 +201,89 @@ def pair_codes(keys: np.ndarray, sums: np.ndarray, short: np.ndarray) -> np.ndar
         (n1[at], whole1[of1] - seen1[of2], kinds1[of1] - kinds2[of2]),
         (n0[byte], n0.sum() - seen0[of1], (n0 > 0).sum() - kinds1[of1]),
     )
-    done, escape = np.zeros(len(keys)), np.ones(len(keys))
+    done, escape = np.zeros(len(grams)), np.ones(len(grams))
     for n, left, kinds in levels:
         whole = left + kinds
-        share = np.divide(escape, whole, out=np.zeros(len(keys)), where=whole > 0)
+        share = np.divide(escape, whole, out=np.zeros(len(grams)), where=whole > 0)
         done = np.where((done == 0) & (n > 0), n * share, done)
         escape = np.where(whole > 0, share * kinds, escape)
     unseen = 256 - (n0 > 0).sum()
     return np.log10(np.where(done > 0, done, escape / max(unseen, 1)))
 
 
-def _trie_counts(blocks: DataFrame, trie: Trie) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Context, byte and count arrays by context length, of the contexts the model keeps.
-
-    The model is bounded by its two parameters, so it may be gathered.
-    """
-    spread = blocks.select("pairs", "counts").mapInArrow(_gram_rows, "context int, byte int, n long")
-    full = written(spread.groupBy("context", "byte").agg(F.sum("n").alias("n")), "ppm-grams")
-    out = {}
-    for length, most in ((3, trie.contexts3), (2, trie.contexts2), (1, 256), (0, 1)):
-        grams = full.withColumn("context", F.col("context").bitwiseAND(F.lit((1 << 8 * length) - 1)))
-        grams = grams.groupBy("context", "byte").agg(F.sum("n").alias("n"))
-        if most < 256**length:
-            total = grams.groupBy("context").agg(F.sum("n").alias("t"))
-            kept = total.orderBy(F.desc("t"), "context").limit(most).select("context")
-            grams = grams.join(F.broadcast(kept), "context")
-        table = grams.toArrow()
-        out[length] = tuple(table.column(c).to_numpy() for c in ("context", "byte", "n"))
-    return out
-
+def _group_codes(short):
+    """Code lengths of all pairs of a group of two-byte contexts."""
 
-def code_table(counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of contexts by their last three bytes, and log10 probabilities (rows x 256).
+    def run(table: pa.Table) -> pa.Table:
+        grams, sums = (table.column(c).to_numpy() for c in ("gram", "n"))
+        return pa.table({"gram": table.column("gram"), "code": gram_codes(grams, sums, short.value)})
 
-    A context that is not kept has the row of its longest kept suffix.
-    """
-    # Row 0 is the empty context; longer ones follow, each with the row of its suffix.
-    sizes, parents, dense = [1], [np.zeros(1, np.int64)], []
-    where = {0: np.zeros(1, np.int32)}
-    for length in range(ORDER + 1):
-        context, byte, n = counts[length]
-        kept = np.unique(context) if length else np.zeros(1, np.int64)
-        base = 0 if length == 0 else sum(sizes)
-        table = np.zeros((len(kept), 256))
-        table[np.searchsorted(kept, context), byte] = n
-        dense.append(table)
-        if length:
-            rows = np.tile(where[length - 1], 256)
-            parents.append(rows[kept].astype(np.int64))
-            rows[kept] = base + np.arange(len(kept))
-            where[length] = rows
-            sizes.append(len(kept))
-    counted, parent = np.concatenate(dense), np.concatenate(parents)
-    out = np.empty(counted.shape, np.float32)
-    for first in range(0, len(counted), 4096):
-        rows = np.arange(first, min(first + 4096, len(counted)))
-        shape = (len(rows), 256)
-        done, escape, excluded = np.zeros(shape), np.ones(len(rows)), np.zeros(shape, bool)
-        at = rows
-        for level in range(ORDER + 1):
-            here = np.where(excluded, 0.0, counted[at])
-            seen = here > 0
-            distinct = seen.sum(axis=1)
-            whole = here.sum(axis=1) + distinct
-            share = np.divide(escape, whole, out=np.zeros(len(rows)), where=whole > 0)
-            done += here * share[:, None]
-            # The empty context is its own suffix; the second time it has nothing left to add.
-            escape = np.where(whole > 0, share * distinct, escape)
-            excluded |= seen
-            at = parent[at]
-        left = 256 - excluded.sum(axis=1)
-        # With every byte seen nothing is left for the lowest level.
-        even = np.divide(escape, left, out=np.zeros(len(rows)), where=left > 0)
-        done += np.where(excluded, 0.0, even[:, None])
-        out[rows] = np.log10(done)
-    return where[ORDER], out
-
-
-_tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _block_table(pairs: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Rows and code lengths of a block's own pairs, as in ``code_table``; none if it has too many contexts."""
-    grams = grams_of(pairs)
-    contexts = _counted(grams >> 8)[0]
-    if len(contexts) > TABLE_CONTEXTS:
-        return None
-    rows = np.zeros(1 << 24, np.int32)
-    rows[contexts] = np.arange(len(contexts))
-    table = np.zeros((len(contexts), 256), np.float32)
-    table[rows[grams >> 8], grams & 255] = codes
-    return rows, table
-
-
-def _code_sums(texts: Texts, value: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sums of the code lengths of each text, worked out in slices."""
-    out = np.zeros(texts.size)
-    first = 0
-    while first < texts.size:
-        last = int(np.searchsorted(texts.offsets, texts.offsets[first] + SLICE_BYTES, "right")) - 1
-        last = min(max(last, first + 1), texts.size)
-        low, high = texts.offsets[first], texts.offsets[last]
-        part = Texts(texts.data[low:high], texts.offsets[first : last + 1] - low)
-        codes = value(quads(part))
-        sums = np.zeros(len(codes) + 1)
-        np.cumsum(codes, out=sums[1:])
-        out[first:last] = sums[part.offsets[1:]] - sums[part.offsets[:-1]]
-        first = last
-    return out
+    return run
 
 
-def _scores(model=None):
-    """Both scores of the documents of answered blocks; byte codes from the answers or a bounded model."""
-    name = uuid.uuid4().hex
+def _score_block(block: pa.Table, coded: pa.Table) -> pa.Table:
+    """Both scores of the documents of one block."""
+
+    def numbers(name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(block.column(name)[0].as_buffer(), kind)
+
+    total, distinct = block.column("total")[0].as_py(), block.column("known")[0].as_py()
+    sizes = block.column("sizes").combine_chunks().flatten().to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    packed = block.column("texts")[0].as_py()
+    data = pa.decompress(packed, int(offsets[-1]), "zstd", asbytes=True) if offsets[-1] else b""
+    texts = Texts(np.frombuffer(data, np.uint8), offsets)
+    keys, grams = numbers("keys", _U), numbers("grams", np.uint32)
+    sums = sums_of(block.column("parts")[0])
+    logs = np.log10((sums + 0.5) / (total + 0.5 * (distinct + 1)))
+    end = int(np.searchsorted(keys, END_KEY))
+    codes = np.empty(len(grams))
+    codes[coded.column("place").to_numpy()] = coded.column("code").to_numpy()
+    index = HashIndex(int(4 * len(grams) + 4).bit_length())
+    # Zero marks an empty slot, so numbers are entered one higher.
+    index.add(grams.astype(_U) + _U(1), np.arange(len(grams)))
+    n_tokens, known, base, score = [], [], [], []
+    for _, _, part in parts(texts):
+        words = np.searchsorted(keys, part.lower_word_hashes)
+        edges = np.concatenate([[0], np.cumsum(part.n_words)])
+        n_tokens.append(part.n_words + 1)
+        known.append(_sums((sums[words] > 0).astype(float), edges) + (sums[end] > 0))
+        base.append(_sums(logs[words], edges) + logs[end])
+        bytes_of = ended(part)
+        found = codes[index.find(quads(bytes_of).astype(_U) + _U(1))]
+        score.append(_sums(found, bytes_of.offsets))
+    return pa.table(
+        {
+            "doc_id": block.column("doc_ids").combine_chunks().flatten(),
+            "held_out": block.column("held").combine_chunks().flatten(),
+            "n_tokens": np.concatenate(n_tokens),
+            "n_known": np.concatenate(known).astype(np.int64),
+            "train_tokens": np.full(texts.size, total, np.int64),
+            "base_score": np.concatenate(base),
+            "score": np.concatenate(score),
+        }
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                total, distinct = batch.column("total")[row].as_py(), batch.column("known")[row].as_py()
-                sizes = batch.column("sizes").slice(row, 1).flatten().to_numpy()
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                packed = batch.column("texts")[row].as_py()
-                data = pa.decompress(packed, int(offsets[-1]), "zstd", asbytes=True) if offsets[-1] else b""
-                texts = Texts(np.frombuffer(data, np.uint8), offsets)
-                keys = np.frombuffer(batch.column("keys")[row].as_py(), _U)
-                sums = sums_of(batch.column("parts")[row])
-                logs = np.log10((sums + 0.5) / (total + 0.5 * (distinct + 1)))
-                words = np.searchsorted(keys, texts.lower_word_hashes)
-                edges = np.concatenate([[0], np.cumsum(texts.n_words)])
-                end = np.searchsorted(keys, END_KEY)
-                at_ends = np.zeros((2, len(words) + 1))
-                np.cumsum(logs[words], out=at_ends[0, 1:])
-                np.cumsum(sums[words] > 0, out=at_ends[1, 1:])
-                score, known = at_ends[:, edges[1:]] - at_ends[:, edges[:-1]]
-                if model is None:
-                    pairs = np.frombuffer(batch.column("pairs")[row].as_py(), _U)
-                    codes = sums_of(batch.column("codes")[row], np.float64)
-                    made = _block_table(pairs, codes)
-                else:
-                    if name not in _tables:
-                        _tables.clear()
-                        _tables[name] = code_table(model.value)
-                    made = _tables[name]
-
-                if made is None:
-
-                    def value(grams, pairs=pairs, codes=codes):
-                        return codes[np.searchsorted(pairs, pair_keys(grams))]
-                else:
-
-                    def value(grams, rows=made[0], flat=made[1].ravel()):
-                        return flat[rows[grams >> 8].astype(np.int64) * 256 + (grams & 255)]
 
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[batch.column(c).slice(row, 1).flatten() for c in ("doc_ids", "held")],
-                        pa.array(texts.n_words + 1),
-                        pa.array(known.astype(np.int64) + int(sums[end] > 0)),
-                        pa.array(np.full(texts.size, total)),
-                        pa.array(score + logs[end]),
-                        pa.array(_code_sums(texts, value)),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return run
+def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of the ranges of ``edges``, each from its own values alone."""
+    out = np.zeros(len(edges) - 1)
+    filled = np.flatnonzero(edges[1:] > edges[:-1])
+    if len(filled):
+        out[filled] = np.add.reduceat(values, edges[:-1][filled])
+    return out
 
 
-def score_documents(docs: DataFrame, trie: Trie | None = None) -> DataFrame:
+def score_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``base_score`` adds log10((c + 0.5) / (N + 0.5 (V + 1))) over the lower-cased (A-Z)
     words and one end, with the counts of the training documents; ``score`` is the byte
-    model's log10 probability of the text as it is. All counted contexts are used unless
-    ``trie`` bounds them. Null and empty texts have the end alone and score 0. A null doc_id
-    is learned from. Without training documents all counts are zero and bytes are equally
-    likely. Repeated rows score alike; an empty table gives an empty result; other columns
-    are ignored.
+    model's log10 probability of the text as it is, its end included. Null and empty texts
+    have the end alone. A null doc_id is learned from. Without training documents all counts
+    are zero and bytes are equally likely. Repeated rows score alike, and a score does not
+    depend on the documents that share a block. A very long text is a block of its own. An
+    empty table gives an empty result; other columns are ignored.
     """
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), in_training().alias("learned")
@@ -395,20 +291,21 @@ def score_documents(docs: DataFrame, trie: Trie | None = None) -> DataFrame:
     blocks = written(_blocks(source), "ppm-blocks")
     sums = written(summed_keys(blocks), "ppm-sums", "lz4")
     total, known = sums.agg(F.sum("total"), F.sum("known")).first()
+    rows = blocks.select("block", "grams", "counts").mapInArrow(
+        _gram_rows, "of string, place int, gram long, n long"
+    )
+    counts = written(rows.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
+    short = docs.sparkSession.sparkContext.broadcast(_short_counts(counts))
+    group = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(GROUPS))
+    codes = (
+        counts.withColumn("group", group).groupBy("group").applyInArrow(_group_codes(short), "gram long, code double")
+    )
+    coded = rows.select("of", "place", "gram").join(written(codes, "ppm-codes"), "gram").select("of", "place", "code")
     found = answers(blocks.drop("weights", "counts"), sums)
-    model = None
-    send = docs.sparkSession.sparkContext.broadcast
-    if trie is None:
-        short = send(_short_counts(blocks))
-        pairs = blocks.select("block", F.col("pairs").alias("keys"), F.col("counts").alias("weights"))
-        codes = summed_keys(pairs, lambda keys, n: pair_codes(keys, n, short.value), most_bits=16)
-        coded = answers(blocks.select("block"), codes).withColumnRenamed("parts", "codes")
-        found = found.join(coded, "block")
-    else:
-        model = send(_trie_counts(blocks, trie))
     found = found.withColumn("total", F.lit(total or 0).cast("long"))
-    return found.withColumn("known", F.lit(known or 0).cast("long")).mapInArrow(
-        _scores(model),
+    found = found.withColumn("known", F.lit(known or 0).cast("long"))
+    return found.groupBy("block").cogroup(coded.groupBy("of")).applyInArrow(
+        _score_block,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
         "score double",
     )
