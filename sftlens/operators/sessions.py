@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sftlens.functions.numeric import finite
 from sftlens.functions.text import DASH, format_or_dash, json_text
-from sftlens.plans.skew import collect_ordered, join_keys, last_rows
+from sftlens.plans.skew import join_keys, last_rows
 from sftlens.schemas import RESUMABLE, STATE_FIELDS
 
 # How the history names two of the states.
@@ -176,16 +176,18 @@ def session_summary(
     a session leave the map side.
     """
     recent = last_rows(decisions, key, ["ts", "seq"], SUMMARY_DECISIONS, "__rank")
-    item = F.struct("ts", "seq", "trigger", "action")
-    recent = recent.groupBy(key).agg(
-        F.transform(
-            F.sort_array(F.collect_list(item)),
-            lambda d: F.struct(d["ts"].alias("ts"), d["trigger"].alias("trigger"),
-                               d["action"].alias("action")),
-        ).alias("last_decisions")
+    # Both kinds of events in one table, so that one shuffle gathers a session's arrays.
+    decided = F.struct("ts", "seq", "trigger", "action").alias("__d")
+    scored = F.struct("ts", F.col("round_num").alias("round"), "avg_score", "passed").alias("__e")
+    events = recent.select(key, decided).unionByName(evals.select(key, scored), allowMissingColumns=True)
+    lists = events.groupBy(key).agg(
+        F.sort_array(F.collect_list("__d")).alias("__ds"), F.sort_array(F.collect_list("__e")).alias("__es")
+    )
+    lists = lists.select(
+        key,
+        F.transform("__ds", lambda d: _fields(d, "ts", "trigger", "action")).alias("last_decisions"),
+        F.transform("__es", lambda e: _fields(e, "round", "avg_score", "passed")).alias("eval_results"),
     )
-    scored = F.struct(F.col("round_num").alias("round"), "avg_score", "passed")
-    rounds = collect_ordered(evals, key, ["ts", "round_num"], scored, "eval_results")
 
     p, m = (lambda f: F.col(f"training_progress.{f}")), (lambda f: F.col(f"metrics_summary.{f}"))
     base = states.select(
@@ -212,7 +214,7 @@ def session_summary(
         "pending_user_action",
         F.col("last_checkpoint_path").alias("last_checkpoint"),
     )
-    out = join_keys(join_keys(base, recent, [key], "left"), rounds, [key], "left")
+    out = join_keys(base, lists, [key], "left")
     return out.withColumns(
         {
             "last_decisions": _or_empty(out, "last_decisions"),
@@ -221,6 +223,10 @@ def session_summary(
     )
 
 
+def _fields(item: Column, *names: str) -> Column:
+    return F.struct(*[item[n].alias(n) for n in names])
+
+
 def _or_empty(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name), F.array().cast(df.schema[name].dataType))
 
