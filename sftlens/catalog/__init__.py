@@ -6,6 +6,7 @@ from sftlens.catalog import (  # noqa: F401  (registering)
     streams,
     telemetry,
     transcripts,
+    upkeep,
 )
 from sftlens.catalog.registry import ORACLES, QUERIES
 

@@ -185,8 +185,7 @@ updates AS (
   FROM orders)"""
 
 
-@query(
-    "session_state",
+STATE_SQL = (
     "WITH" + UPDATES_SQL + """,
     newest AS (SELECT *, row_number() OVER (PARTITION BY session_id, field ORDER BY ts DESC, seq DESC) AS r
                FROM updates)
@@ -194,11 +193,21 @@ updates AS (
            max(value) FILTER (WHERE r = 1 AND field = 'current_round') AS current_round,
            max(value) FILTER (WHERE r = 1 AND field = 'pending_user_action') AS pending_user_action,
            max(ts) AS updated_at
-    FROM newest GROUP BY session_id""",
+    FROM newest GROUP BY session_id"""
 )
+
+
+@query("session_state", STATE_SQL)
 def session_state(spark: SparkSession, sf: str) -> DataFrame:
+    view = S.session_state_view(state_updates(spark, sf))
+    return view.select(
+        "session_id", "status", "current_round", "pending_user_action", "updated_at"
+    )
+
+
+def state_updates(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("o_orderkey")
-    updates = table(spark, sf, "orders").select(
+    return table(spark, sf, "orders").select(
         F.col("o_custkey").cast("string").alias("session_id"),
         F.col("o_orderdate").alias("ts"),
         key.alias("seq"),
@@ -208,10 +217,6 @@ def session_state(spark: SparkSession, sf: str) -> DataFrame:
         .alias("field"),
         F.when(key % 10 != 0, F.concat("o_orderstatus", key.cast("string"))).alias("value"),
     )
-    view = S.session_state_view(updates)
-    return view.select(
-        "session_id", "status", "current_round", "pending_user_action", "updated_at"
-    )
 
 
 ROUNDS_SQL = "WITH" + RUNS_SQL + """,

@@ -184,12 +184,14 @@ def stream_outputs(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query(
-    "stream_summary",
+SUMMARY_SQL = (
     "WITH" + RUNS_SQL + """
     SELECT run_id, arg_max(loss, step) AS latest_loss, min(loss) AS best_loss, count(*) AS points,
-           max(ts) AS updated_at FROM runs GROUP BY run_id""",
+           max(ts) AS updated_at FROM runs GROUP BY run_id"""
 )
+
+
+@query("stream_summary", SUMMARY_SQL)
 def stream_summary(spark: SparkSession, sf: str) -> DataFrame:
     """The live view of every run after the last micro-batch."""
     root = f"{_shared(spark)}/summary-{uuid.uuid4().hex}"

@@ -31,13 +31,13 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _documents(spark: SparkSession, directories: tuple[str, ...], name: str) -> DataFrame:
-    """Texts of all state files with path and modification time."""
+def _documents(spark: SparkSession, directories: tuple[str, ...], name: str, one_per_file: bool) -> DataFrame:
+    """Texts of all documents with path and modification time of their files."""
     found = spark.createDataFrame([], "path string, modified timestamp, text string")
     for directory in directories:
         for pattern in (f"{directory}/{name}", f"{directory}/*/{name}"):
             try:
-                part = spark.read.text(pattern, wholetext=True)
+                part = spark.read.text(pattern, wholetext=one_per_file)
             except AnalysisException:  # nothing matches the path
                 continue
             found = found.unionByName(
@@ -58,16 +58,18 @@ def newest_documents(rows: DataFrame) -> DataFrame:
 
 
 def ingest_session_states(
-    spark: SparkSession, directories: tuple[str, ...], target: str, name: str = STATE_FILE
+    spark: SparkSession, directories: tuple[str, ...], target: str, name: str = STATE_FILE, one_per_file: bool = True
 ) -> tuple[int, int]:
-    """Take in what is new; returns the numbers of documents and of broken files of this run.
+    """Take in what is new; returns the numbers of documents and of broken ones of this run.
+
+    With ``one_per_file`` off, a file holds a document per line.
 
     A file whose modification time has changed is read again and its document replaces the
     session's row unless the table has a newer one.
     """
     seen = _table(spark, f"{target}/ledger", _SEEN)
     number = (seen.agg(F.max("number")).first()[0] or 0) + 1
-    texts = _documents(spark, directories, name)
+    texts = _documents(spark, directories, name, one_per_file)
     # Only paths and times are compared; texts of files that were read before are not kept.
     fresh = texts.join(seen.select("path", "modified"), ["path", "modified"], "left_anti")
     schema = T.StructType([*SESSION_STATE.fields, T.StructField("_corrupt", T.StringType())])
@@ -83,7 +85,7 @@ def ingest_session_states(
     state_table.merge_batch(documents.select(*_DOCUMENT.names), newest_documents, f"{target}/sessions", number, "session_id")
     broken = parsed.where(~F.coalesce(good, F.lit(False))).select("path", "modified", "text", F.lit(number).cast("long").alias("number"))
     broken.write.mode("overwrite").parquet(f"{target}/broken/batch={number}")
-    ledger = parsed.select("path", "modified", F.lit(number).cast("long").alias("number"))
+    ledger = parsed.select("path", "modified", F.lit(number).cast("long").alias("number")).distinct()
     ledger.write.mode("overwrite").parquet(f"{target}/ledger/batch={number}")
     counts = parsed.agg(F.count_if(good), F.count_if(~F.coalesce(good, F.lit(False)))).first()
     return counts[0], counts[1]
