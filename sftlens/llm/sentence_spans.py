@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sftlens.llm.exchange import BLOCK_BYTES, answers, sums_of, summed_keys
+from sftlens.llm.exchange import BLOCK_BYTES, answers, first_keys, sums_of, summed_keys
 from sftlens.llm.tables import doc_key, text_of, written
 from sftlens.llm.textarrays import Texts, byte_set, hash_segments, mix, rolling, slices
 
@@ -152,39 +152,75 @@ def _blocks(docs: DataFrame, rule: Spans) -> DataFrame:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The occurrences of keys that the corpus holds more than once."""
+    """Each block's occurrences of keys that the corpus holds more than once, and where each
+    of these keys stands first in the block."""
     for batch in batches:
         for row in range(batch.num_rows):
-            keys = np.frombuffer(batch.column("keys")[row].as_py(), _U)
-            twice = keys[sums_of(batch.column("parts")[row]) > 1]
-            every = np.frombuffer(batch.column("all_keys")[row].as_py(), _U)
-            owners = np.frombuffer(batch.column("owners")[row].as_py(), np.int32)
-            places, lengths = (
-                np.frombuffer(batch.column(c)[row].as_py(), np.int32) for c in ("places", "lengths")
-            )
+
+            def column(name: str, kind: type, batch=batch, row=row) -> np.ndarray:
+                return np.frombuffer(batch.column(name)[row].as_buffer(), kind)
+
+            twice = column("keys", _U)[sums_of(batch.column("parts")[row]) > 1]
+            every = column("all_keys", _U)
             at = np.flatnonzero(np.isin(every, twice))
-            of = pa.array(owners[at])
-            lists = [batch.column(c).slice(row, 1).flatten().take(of) for c in ("docs", "doc_ids", "text_hashes")]
+            every, owners, places = every[at], column("owners", np.int32)[at], column("places", np.int32)[at]
+            ids = batch.column("doc_ids").slice(row, 1).flatten()
+            known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            hashes = batch.column("text_hashes").slice(row, 1).flatten().to_numpy(zero_copy_only=False)
+            # Null ids come first.
+            place = np.stack([known[owners], ids[owners], hashes[owners], places.astype(np.int64)], axis=1)
+            order = np.lexsort([*place.T[::-1], every])
+            begins = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1])) if len(every) else order
+            least = np.repeat(order[begins], np.diff(np.append(begins, len(order))))
+            is_least = np.zeros(len(every), np.uint8)
+            is_least[order] = (place[order] == place[least]).all(axis=1)
+            number = np.searchsorted(every[order][begins], every).astype(np.int32)
+            arrays = (
+                every[order][begins], place[order[begins]], number, is_least, owners, places,
+                column("lengths", np.int32)[at],
+            )
             yield pa.RecordBatch.from_arrays(
-                [pa.array(every[at].view(np.int64)), *lists, pa.array(places[at]), pa.array(lengths[at])],
-                ["key", "doc", "doc_id", "text_hash", "place", "length"],
+                [
+                    batch.column("block").slice(row, 1),
+                    *[pa.array([x.tobytes()], pa.binary()) for x in arrays],
+                    *[batch.column(c).slice(row, 1) for c in ("docs", "text_hashes")],
+                ],
+                ["block", "keys", "places", "numbers", "leasts", "owners", "at", "lengths", "docs", "text_hashes"],
+            )
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All occurrences but the corpus's first one of each key."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            first = sums_of(batch.column("parts")[row], np.uint8)
+            numbers, owners, places, lengths = (
+                np.frombuffer(batch.column(c)[row].as_buffer(), np.int32) for c in ("numbers", "owners", "at", "lengths")
+            )
+            least = np.frombuffer(batch.column("leasts")[row].as_buffer(), np.uint8)
+            later = np.flatnonzero((least == 0) | (first[numbers] == 0))
+            of = pa.array(owners[later])
+            lists = [batch.column(c).slice(row, 1).flatten().take(of) for c in ("docs", "text_hashes")]
+            yield pa.RecordBatch.from_arrays(
+                [*lists, pa.array(places[later]), pa.array(lengths[later])], ["doc", "text_hash", "place", "length"]
             )
 
 
 def repeated_spans(docs: DataFrame, rule: Spans = Spans()) -> DataFrame:
-    """``doc, text_hash, place, length`` of every repeated span but each one's first occurrence."""
+    """``doc, text_hash, place, length`` of every repeated span but each one's first occurrence.
+
+    Blocks learn the number of a key's occurrences, and then whether its first one is theirs,
+    from the exchange: no row is sent for an occurrence, however often a key occurs.
+    """
     blocks = written(_blocks(docs, rule), "span-blocks", "lz4")
     found = answers(blocks, summed_keys(blocks)).mapInArrow(
-        _repeated, "key long, doc string, doc_id long, text_hash long, place int, length int"
-    )
-    found = written(found, "span-repeats")
-    place = F.struct("doc_id", "text_hash", "place")
-    first = found.groupBy("key").agg(F.min(place).alias("first"))
-    return (
-        found.join(first, "key")
-        .where(~place.eqNullSafe(F.col("first")))
-        .select("doc", "text_hash", "place", "length")
+        _repeated,
+        "block string, keys binary, places binary, numbers binary, leasts binary, owners binary, at binary, "
+        "lengths binary, docs array<string>, text_hashes array<long>",
     )
+    found = written(found, "span-repeats", "lz4")
+    return answers(found, first_keys(found)).mapInArrow(_later, "doc string, text_hash long, place int, length int")
 
 
 def _cleaner():

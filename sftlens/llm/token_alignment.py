@@ -30,12 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sftlens.llm.tables import text_of, written
-from sftlens.llm.textarrays import Texts, slices
+from sftlens.llm.textarrays import HashIndex, Texts, hash_segments, slices
 
-# Pieces, pairs and bytes of group lists that a worker remembers.
+# Pieces, pairs and bytes of group lists that a task remembers, pieces that a worker keeps
+# between tasks, and pieces aligned at a time.
 CACHED_PIECES = 300_000
-CACHED_PAIRS = 3_000_000
-CACHED_BYTES = 64 << 20
+CACHED_PAIRS = 500_000
+CACHED_BYTES = 48 << 20
+KEPT_PIECES = 100_000
+ALIGNED_AT_ONCE = 4096
 SPACE_MARK = "▁"
 
 # Printable ASCII, and the other bytes of characters that no white space starts with.
@@ -134,14 +137,12 @@ class Encoders:
         theirs = self.pieces.encode([t[1:] for t in strings], return_type="proto", num_threads=1)
         same = np.ones(len(texts), bool)
         a_lists, b_lists = [e.ids for e in ours], [[(p.id, p.begin, p.end) for p in t.pieces] for t in theirs]
+        spans = [e.offsets for e in ours]
         for i, text in enumerate(texts):
-            if (
-                b"".join([self.a_bytes[x] for x in a_lists[i]]) != text
-                or b"".join([self.b_bytes[x[0]] for x in b_lists[i]]) != text
-            ):
+            ours_back = b"".join([self.a_bytes[x] for x in a_lists[i]])
+            if ours_back != text or b"".join([self.b_bytes[x[0]] for x in b_lists[i]]) != text:
                 same[i] = False
-                a_lists[i], b_lists[i] = [], []
-        spans = [e.offsets if ok else [] for e, ok in zip(ours, same.tolist())]
+                a_lists[i], b_lists[i], spans[i] = [], [], []
         texts = [t if ok else b"" for t, ok in zip(texts, same.tolist())]
         bytes_before = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -178,8 +179,33 @@ def _lasts(edges: np.ndarray) -> np.ndarray:
     return lasts
 
 
+class Growing:
+    """Arrays that are appended to, in one buffer."""
+
+    def __init__(self, kind: type, width: int = 0):
+        self.size = 0
+        self.buffer = np.zeros((1 << 12, width) if width else 1 << 12, kind)
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.buffer):
+            room = np.zeros((need * 5 // 4, *self.buffer.shape[1:]), self.buffer.dtype)
+            room[: self.size] = self.buffer[: self.size]
+            self.buffer = room
+        self.buffer[self.size : need] = values
+        self.size = need
+
+
+def _spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    return np.repeat(begins - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+
+
 class Aligner:
-    """Alignments of pieces, each made once per worker while it is remembered."""
+    """Alignments of pieces, each made once per worker while it is remembered.
+
+    Pieces are known by their 64-bit hashes.
+    """
 
     def __init__(self, files: Tokenizers):
         self.encoders = Encoders(files)
@@ -188,36 +214,59 @@ class Aligner:
             np.array([[f"{i}{mark}" for i in range(size)] for mark in marks], object)
             for size, marks in zip(sizes, (",|", ",;"))
         )
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
         self.pairs: dict[int, int] = {}
-        self.strings: list[str] = []
-        self.size = 0
-        self.stats = np.zeros((0, 5), np.int64)
-        self.ends = np.zeros(1, np.int64)
-        self.pair = np.zeros(0, np.int64)
-        self.links = np.zeros(0, np.int64)
-        self.pair_keys = np.zeros(0, np.int64)
-
-    def _learn(self, pieces: list[bytes]) -> None:
+        self.pair_keys = Growing(np.int64)
+        self._start()
+
+    def _start(self) -> None:
+        self.index = HashIndex(16)
+        self.hashes, self.hits = Growing(np.uint64), Growing(np.int64)
+        # Tokens of both sides, groups, links, and whether both sides give the piece back.
+        self.stats = Growing(np.int32, 5)
+        # Pairs and how often a piece links them, and where each piece's pairs begin.
+        self.pair, self.links, self.pair_begins = Growing(np.int32), Growing(np.int32), Growing(np.int64)
+        # Group lists as text, and where each piece's text begins.
+        self.text, self.text_begins = Growing(np.uint8), Growing(np.int64)
+        self.pair_begins.add(np.zeros(1, np.int64))
+        self.text_begins.add(np.zeros(1, np.int64))
+
+    def forget(self, most: int) -> None:
+        """Keep the ``most`` frequent of the pieces that were met more than once; none if there are too many pairs."""
+        count = self.stats.size
+        hits = self.hits.buffer[:count]
+        keep = np.flatnonzero(hits > 1)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argsort(-hits[keep], kind="stable")[:most]])
+        if len(self.pairs) > CACHED_PAIRS:
+            keep = keep[:0]
+            self.pairs, self.pair_keys = {}, Growing(np.int64)
+        old = {name: getattr(self, name) for name in ("hashes", "hits", "stats", "pair", "links", "text")}
+        pair_begins, text_begins = self.pair_begins.buffer, self.text_begins.buffer
+        pair_sizes = pair_begins[keep + 1] - pair_begins[keep]
+        text_sizes = text_begins[keep + 1] - text_begins[keep]
+        pairs, text = _spread(pair_begins[keep], pair_sizes), _spread(text_begins[keep], text_sizes)
+        self._start()
+        for name, rows in (("hashes", keep), ("hits", keep), ("stats", keep), ("pair", pairs), ("links", pairs), ("text", text)):
+            getattr(self, name).add(old[name].buffer[rows])
+        # What was frequent once has to prove it again.
+        self.hits.buffer[: len(keep)] //= 2
+        self.pair_begins.add(np.cumsum(pair_sizes))
+        self.text_begins.add(np.cumsum(text_sizes))
+        self.index.add(self.hashes.buffer[: len(keep)], np.arange(len(keep)))
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """Enter pieces, each of them a space and some text."""
         aligned = self.encoders.align(pieces)
         n_a, n_b = np.diff(aligned.a_edges), np.diff(aligned.b_edges)
         links = n_a * n_b
         piece = np.searchsorted(aligned.groups, np.arange(len(links)), "right") - 1
-        texts = self._strings(aligned, n_a, n_b)
-        stats = np.stack(
-            [
-                np.diff(aligned.a_texts),
-                np.diff(aligned.b_texts),
-                np.diff(aligned.groups),
-                np.bincount(piece, weights=links, minlength=len(pieces)).astype(np.int64),
-                aligned.same,
-            ],
-            axis=1,
-        )
+        stats = [
+            np.diff(aligned.a_texts),
+            np.diff(aligned.b_texts),
+            np.diff(aligned.groups),
+            np.bincount(piece, weights=links, minlength=len(pieces)),
+            aligned.same,
+        ]
         # All pairs of every group.
         group = np.repeat(np.arange(len(links)), links)
         nth = np.arange(len(group)) - np.repeat(np.cumsum(links) - links, links)
@@ -227,20 +276,22 @@ class Aligner:
         held, count = np.unique(piece[group] * max(1, len(keys)) + at, return_counts=True)
         owner, at = np.divmod(held, max(1, len(keys)))
         known = np.array([self.pairs.setdefault(k, len(self.pairs)) for k in keys.tolist()], np.int64)
-        for i, (name, text) in enumerate(zip(pieces, texts), len(self.strings)):
-            self.known[name] = i
-            self.size += len(name) + len(text)
-        self.strings += texts
-        ends = self.ends[-1] + np.cumsum(np.bincount(owner, minlength=len(pieces)))
-        self.stats = np.concatenate([self.stats, stats.astype(np.int64)])
-        self.ends = np.concatenate([self.ends, ends])
-        self.pair = np.concatenate([self.pair, known[at]])
-        self.links = np.concatenate([self.links, count])
-        if len(self.pairs) > len(self.pair_keys):
-            self.pair_keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
-
-    def _strings(self, aligned: Aligned, n_a: np.ndarray, n_b: np.ndarray) -> list[str]:
-        """The groups of each text as ``a1,a2|b1;``."""
+        self.pair_keys.add(keys[known >= self.pair_keys.size])
+        texts = self._texts(aligned, n_a, n_b)
+        self.index.add(hashes, self.stats.size + np.arange(len(pieces)))
+        self.hashes.add(hashes)
+        self.hits.add(np.zeros(len(pieces), np.int64))
+        self.stats.add(np.stack(stats, axis=1).astype(np.int32))
+        self.pair.add(known[at])
+        self.links.add(count)
+        sizes = np.bincount(owner, minlength=len(pieces))
+        self.pair_begins.add(self.pair_begins.buffer[self.pair_begins.size - 1] + np.cumsum(sizes))
+        self.text.add(np.frombuffer("".join(texts).encode(), np.uint8))
+        sizes = np.array([len(t) for t in texts])
+        self.text_begins.add(self.text_begins.buffer[self.text_begins.size - 1] + np.cumsum(sizes))
+
+    def _texts(self, aligned: Aligned, n_a: np.ndarray, n_b: np.ndarray) -> list[str]:
+        """The groups of each piece as ``a1,a2|b1;``."""
         a_group, b_group = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
         names = np.empty(len(aligned.a) + len(aligned.b), object)
         a_last = np.arange(len(aligned.a)) == aligned.a_edges[a_group + 1] - 1
@@ -251,11 +302,11 @@ class Aligner:
         edges = (aligned.a_texts + aligned.b_texts).tolist()
         return ["".join(listed[s:e]) for s, e in zip(edges, edges[1:])]
 
-    def pieces(self, texts: Texts) -> tuple[list[bytes], np.ndarray]:
-        """The pieces of all texts, each with its leading space, and the texts they are of."""
+    def cuts(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces start in the data, which texts they are of, and which of them start a text."""
         data, offsets = texts.data, texts.offsets
         if not len(data):
-            return [], np.zeros(0, np.int64)
+            return (np.zeros(0, np.int64),) * 3
         plain = np.zeros(len(data) + 2, bool)
         plain[1:-1] = _PLAIN[data]
         filled = np.flatnonzero(offsets[1:] > offsets[:-1])
@@ -264,42 +315,84 @@ class Aligner:
         cut[offsets[1:][filled] - 1] = False
         cut[begins] = True
         starts = np.flatnonzero(cut)
-        owner = np.searchsorted(offsets, starts, "right") - 1
-        raw = data.tobytes()
-        places = starts.tolist()
-        found = [raw[s:e] for s, e in zip(places, [*places[1:], len(raw)])]
-        for i in np.searchsorted(starts, begins).tolist():
-            found[i] = b" " + found[i]
-        return found, owner
+        return starts, np.searchsorted(offsets, starts, "right") - 1, np.searchsorted(starts, begins)
+
+    def _rows(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The known pieces that the texts are made of, in order, and the texts they are of."""
+        starts, owner, heads = self.cuts(texts)
+        # Each text gets its space, so that equal pieces look alike wherever they stand.
+        data = np.insert(texts.data, starts[heads], 32)
+        first = np.zeros(len(starts), np.int64)
+        first[heads] = 1
+        starts = starts + np.cumsum(first) - first
+        ends = np.append(starts[1:], len(data))
+        hashes = hash_segments(data, starts, ends)
+        rows = self.index.find(hashes)
+        miss = np.flatnonzero(rows < 0)
+        if len(miss):
+            new, at, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            base, at = self.stats.size, miss[at]
+            raw = data.tobytes()
+            found = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+            for low in range(0, len(new), ALIGNED_AT_ONCE):
+                self._learn(new[low : low + ALIGNED_AT_ONCE], found[low : low + ALIGNED_AT_ONCE])
+            rows[miss] = base + back
+        return rows.astype(np.int64), owner
+
+    def _digests(self, rows: np.ndarray, edges: np.ndarray) -> list[str]:
+        """SHA-256 of the joined group lists of every text; "" for texts without pieces."""
+        out = [""] * (len(edges) - 1)
+        begins = self.text_begins.buffer[rows]
+        sizes = self.text_begins.buffer[rows + 1] - begins
+        places = np.concatenate([[0], np.cumsum(sizes)])[edges]
+        low = 0
+        while low < len(out):
+            high = max(low + 1, int(np.searchsorted(places, places[low] + (1 << 20), "right")) - 1)
+            own = slice(edges[low], edges[high])
+            joined = memoryview(self.text.buffer[_spread(begins[own], sizes[own])])
+            for i in range(low, high):
+                if edges[i + 1] > edges[i]:
+                    # Without the mark after the last group.
+                    text = joined[places[i] - places[low] : places[i + 1] - places[low] - 1]
+                    out[i] = hashlib.sha256(text).hexdigest()
+            low = high
+        return out
 
     def block(self, texts: Texts) -> tuple[np.ndarray, list[str], tuple[np.ndarray, ...], np.ndarray]:
         """Counts and digests by text; text, pair and links of all texts' pairs; and the pairs' ids."""
-        if len(self.known) > CACHED_PIECES or len(self.pairs) > CACHED_PAIRS or self.size > CACHED_BYTES:
-            self._forget()
-        found, owner = self.pieces(texts)
-        new = [p for p in dict.fromkeys(found) if p not in self.known]
-        for first in range(0, len(new), 4096):
-            self._learn(new[first : first + 4096])
-        ids = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
-        bad = np.bincount(owner[self.stats[ids, 4] == 0], minlength=texts.size) > 0
+        full = self.stats.size > CACHED_PIECES or self.text.size > CACHED_BYTES
+        if full or len(self.pairs) > CACHED_PAIRS:
+            self.forget(CACHED_PIECES // 2)
+        rows, owner = self._rows(texts)
+        self.hits.buffer[: self.hits.size] += np.bincount(rows, minlength=self.hits.size)
+        bad = np.zeros(texts.size, bool)
+        bad[owner[self.stats.buffer[rows, 4] == 0]] = True
         keep = ~bad[owner]
-        ids, owner = ids[keep], owner[keep]
-        counts = np.zeros((texts.size, 4), np.int64)
-        np.add.at(counts, owner, self.stats[ids, :4])
-        edges = np.searchsorted(owner, np.arange(texts.size + 1)).tolist()
-        order = ids.tolist()
-        digests = [
-            hashlib.sha256("".join([self.strings[i] for i in order[s:e]])[:-1].encode()).hexdigest() if e > s else ""
-            for s, e in zip(edges, edges[1:])
-        ]
-        lengths = self.ends[ids + 1] - self.ends[ids]
-        begins = np.cumsum(lengths) - lengths
-        flat = np.repeat(self.ends[ids] - begins, lengths) + np.arange(int(lengths.sum()))
-        key = np.repeat(owner, lengths) * max(1, len(self.pairs)) + self.pair[flat]
-        distinct, at = np.unique(key, return_inverse=True)
-        links = np.bincount(at, weights=self.links[flat], minlength=len(distinct)).astype(np.int64)
-        text, pair = np.divmod(distinct, max(1, len(self.pairs)))
-        return counts, digests, (text, pair, links), self.pair_keys
+        rows, owner = rows[keep], owner[keep]
+        counts = np.stack(
+            [np.bincount(owner, self.stats.buffer[rows, i], texts.size).astype(np.int64) for i in range(4)], axis=1
+        )
+        edges = np.searchsorted(owner, np.arange(texts.size + 1))
+        digests = self._digests(rows, edges)
+        begins = self.pair_begins.buffer[rows]
+        sizes = self.pair_begins.buffer[rows + 1] - begins
+        flat = _spread(begins, sizes)
+        width = max(1, len(self.pairs))
+        distinct, at = np.unique(np.repeat(owner, sizes) * width + self.pair.buffer[flat], return_inverse=True)
+        links = np.bincount(at, self.links.buffer[flat], len(distinct)).astype(np.int64)
+        text, pair = np.divmod(distinct, width)
+        return counts, digests, (text, pair, links), self.pair_keys.buffer
+
+
+_aligners: dict[Tokenizers, Aligner] = {}
+
+
+def _aligner(files: Tokenizers) -> Aligner:
+    """The worker's aligner: its memory outlives a task."""
+    if files not in _aligners:
+        _aligners.clear()
+        _aligners[files] = Aligner(files)
+    return _aligners[files]
 
 
 _ALIGNED = (
@@ -328,7 +421,7 @@ def _batch(kind: str, block: str, n: int, columns: dict[str, pa.Array]) -> pa.Re
 
 def _aligned_blocks(files: Tokenizers):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(files)
+        aligner = _aligner(files)
         for batch, texts in slices(batches):
             block = uuid.uuid4().hex
             counts, digests, (text, pair, links), keys = aligner.block(texts)
@@ -353,6 +446,8 @@ def _aligned_blocks(files: Tokenizers):
                     "docs": pa.array(np.bincount(place, minlength=len(own)), pa.int64()),
                 }
                 yield _batch("pair", block, len(own), columns)
+        # An idle worker should be small.
+        aligner.forget(KEPT_PIECES)
 
     return run
 
