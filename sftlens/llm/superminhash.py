@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sftlens.llm.components import component_roots
-from sftlens.llm.tables import as_row, doc_key, text_of, written
+from sftlens.llm.tables import as_row, doc_key, dropped_tables, text_of, written
 from sftlens.llm.textarrays import HASH_BITS, Texts, doc_keys, mix, rolling, slices, texts_of
 
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
-SIGNED_SLICE = 2 << 20
+SIGNED_SLICE = 1 << 20
 # Buckets with more members left than this are compared in blocks of so many documents.
 CROWD = 32
 CROWD_BLOCK = 256
@@ -430,8 +430,18 @@ def drop_near_duplicates(docs: DataFrame, near: NearDuplicates = NearDuplicates(
     that id the one with the smallest hash; of repeated rows one). Documents without words
     all stay. An empty table stays empty.
     """
-    signed = written(sign(docs, near), "near-signed")
-    _, heads = _classes(signed, docs, near)
+    with dropped_tables(docs.sparkSession):
+        signed = written(sign(docs, near), "near-signed")
+        _, heads = _classes(signed, docs, near)
+        # One row per group; repeated rows of a document share its key.
+        times = signed.groupBy(doc_key().alias("__doc"), F.col("text_hash").alias("__hash")).count()
+        kept = written(
+            heads.select(doc_key("head.doc_id").alias("__doc"), F.col("head.text_hash").alias("__hash")).join(
+                times, ["__doc", "__hash"]
+            ),
+            "near-kept",
+            keep=True,
+        )
     rows = as_row(docs)
     keyed = rows.select(
         "__row",
@@ -439,14 +449,6 @@ def drop_near_duplicates(docs: DataFrame, near: NearDuplicates = NearDuplicates(
         F.xxhash64(text_of("__row.text")).alias("__hash"),
         F.coalesce(F.col("__row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("__words"),
     )
-    # One row per group; repeated rows of a document share its key.
-    times = signed.groupBy(doc_key().alias("__doc"), F.col("text_hash").alias("__hash")).count()
-    kept = written(
-        heads.select(doc_key("head.doc_id").alias("__doc"), F.col("head.text_hash").alias("__hash")).join(
-            times, ["__doc", "__hash"]
-        ),
-        "near-kept",
-    )
     once, more = (kept.where(c).drop("count") for c in ("count = 1", "count > 1"))
     full, key = keyed.where("__words"), ["__doc", "__hash"]
     chosen = full.join(once, key, "left_semi").unionByName(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +22,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def dropped_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``written`` makes inside, but for those to ``keep``, at the end.
+
+    For work whose result is one kept table: nothing that leaves may depend on the others.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, safe from lost executors."""
     path = shared_path(df.sparkSession, name)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
