@@ -30,12 +30,14 @@ def bucket_bits(blocks: DataFrame) -> int:
     return max(4, partitions.bit_length(), (total // BUCKET_BYTES).bit_length())
 
 
-def _sent(bits: int):
+def _sent(bits: int, name: str, width: int = 1):
+    """Keys and the ``width`` numbers beside each in the column ``name``, by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 keys = np.frombuffer(batch.column("keys")[row].as_py(), np.uint64)
-                weights = np.frombuffer(batch.column("weights")[row].as_py(), np.int64)
+                weights = np.frombuffer(batch.column(name)[row].as_py(), np.int64).reshape(-1, width)
                 bounds = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
                 cuts = np.append(np.searchsorted(keys, bounds), len(keys)).tolist()
                 filled = [b for b in range(1 << bits) if cuts[b] < cuts[b + 1]]
@@ -46,7 +48,7 @@ def _sent(bits: int):
                         pa.array([keys[cuts[b] : cuts[b + 1]].tobytes() for b in filled], pa.binary()),
                         pa.array([weights[cuts[b] : cuts[b + 1]].tobytes() for b in filled], pa.binary()),
                     ],
-                    ["block", "bucket", "keys", "weights"],
+                    ["block", "bucket", "keys", name],
                 )
 
     return run
@@ -84,15 +86,50 @@ def summed_keys(blocks: DataFrame) -> DataFrame:
     weights and the number of keys with a positive sum.
     """
     sent = blocks.select("block", "keys", "weights").mapInArrow(
-        _sent(bucket_bits(blocks)), "block string, bucket int, keys binary, weights binary"
+        _sent(bucket_bits(blocks), "weights"), "block string, bucket int, keys binary, weights binary"
     )
     return sent.groupBy("bucket").applyInArrow(
         _summed, "block string, bucket int, sums binary, total long, known long"
     )
 
 
+# Numbers that tell where a key stands.
+PLACE = 4
+
+
+def _firsts(table: pa.Table) -> pa.Table:
+    """Which keys of one bucket stand first in their block of all blocks."""
+    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
+    edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+    joined = np.concatenate(keys)
+    place = np.concatenate(
+        [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, PLACE) for x in table.column("places")]
+    )
+    order = np.lexsort([*place.T[::-1], joined])
+    begins = np.flatnonzero(np.append(True, joined[order][1:] != joined[order][:-1]))
+    least = np.repeat(order[begins], np.diff(np.append(begins, len(order))))
+    first = np.zeros(len(joined), np.uint8)
+    first[order] = (place[order] == place[least]).all(axis=1)
+    answers = [first[edges[i] : edges[i + 1]].tobytes() for i in range(len(keys))]
+    return pa.table(
+        {"block": table.column("block"), "bucket": table.column("bucket"), "sums": pa.array(answers, pa.binary())}
+    )
+
+
+def first_keys(blocks: DataFrame) -> DataFrame:
+    """``block, bucket, sums`` from ``block, keys, places``: a byte per key, 1 where no block
+    holds the key at a smaller place.
+
+    ``places`` has ``PLACE`` 64-bit numbers per key, compared one after the other.
+    """
+    sent = blocks.select("block", "keys", "places").mapInArrow(
+        _sent(bucket_bits(blocks), "places", PLACE), "block string, bucket int, keys binary, places binary"
+    )
+    return sent.groupBy("bucket").applyInArrow(_firsts, "block string, bucket int, sums binary")
+
+
 def answers(blocks: DataFrame, sums: DataFrame) -> DataFrame:
-    """``blocks`` with ``parts``: the sums of each block as structs of bucket and bytes, in order.
+    """``blocks`` with ``parts``: the answers to each block as structs of bucket and bytes, in order.
 
     A block without keys has null.
     """
@@ -100,8 +137,8 @@ def answers(blocks: DataFrame, sums: DataFrame) -> DataFrame:
     return blocks.join(found, "block", "left")
 
 
-def sums_of(parts: pa.Scalar) -> np.ndarray:
-    """The sums of one block in the order of its keys."""
+def sums_of(parts: pa.Scalar, kind: type = np.int64) -> np.ndarray:
+    """The answers to one block in the order of its keys."""
     if not parts.is_valid:
-        return np.empty(0, np.int64)
-    return np.concatenate([np.frombuffer(p.as_buffer(), np.int64) for p in parts.values.field("sums")])
+        return np.empty(0, kind)
+    return np.concatenate([np.frombuffer(p.as_buffer(), kind) for p in parts.values.field("sums")])
