@@ -17,11 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sftlens.llm.exchange import BLOCK_BYTES, answers, first_keys, sums_of, summed_keys
+from sftlens.llm.exchange import answers, first_keys, sums_of, summed_keys
 from sftlens.llm.tables import doc_key, text_of, written
 from sftlens.llm.textarrays import Texts, byte_set, hash_segments, mix, rolling, slices
 
 _U = np.uint64
+# Text of a block; a task holds several numbers for each of its words.
+BLOCK_BYTES = 6 << 20
 _STOP = byte_set(b".!?")
 _BASE = _U(0x9E3779B97F4A7C15)
 # Full stops and question marks of other scripts by their bytes; the wide ones need no space after them.
