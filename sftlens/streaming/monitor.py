@@ -2,8 +2,8 @@
 
 One state per run holds exactly what the rules look back on, so memory is bounded by the
 window lengths and not by the run. Histories are kept in blocks, of which a micro-batch
-writes only those that it changes. Within a micro-batch the rules run on whole arrays of a
-run's new points, at constant cost per point. A run is a sequence, so its new points of one
+writes only those that it changes. Within a micro-batch the rules run on arrays of a run's
+new points, slice by slice, at constant cost per point. A run is a sequence, so its new points of one
 micro-batch meet in one task; the source's rate limits (``maxFilesPerTrigger``,
 ``maxOffsetsPerTrigger``) bound how many those are. Backlogs and reprocessing belong to the
 batch operators, which split runs.
@@ -35,6 +35,10 @@ OUTPUT = (
     "best_loss double, anomaly string, passed boolean, snapshot boolean, trend string, "
     "grad_norm_avg double, late boolean"
 )
+# Columns of a point that the monitor looks at.
+POINT = ["at", "step", "loss", "grad_norm", "grad_nan"]
+# Points of a run that the rules take at once.
+SLICE_POINTS = 65_536
 # Values of a history that one state entry holds.
 HISTORY_BLOCK = 128
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -183,8 +187,8 @@ def _snapshots(out: pd.DataFrame, moved: dict, losses: np.ndarray, rules: Rules)
 class Monitor(StatefulProcessor):
     """S1-S3 and S6 for one run: labels, throttle, snapshots and the late flag."""
 
-    def __init__(self, rules: Rules, gap: int, idle_ms: int | None):
-        self.rules, self.gap, self.idle_ms = rules, gap, idle_ms
+    def __init__(self, rules: Rules, gap: int, idle_ms: int | None, slice_points: int = SLICE_POINTS):
+        self.rules, self.gap, self.idle_ms, self.slice_points = rules, gap, idle_ms, slice_points
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         rules = self.rules
@@ -200,67 +204,80 @@ class Monitor(StatefulProcessor):
         self.grads = History(handle.getMapState("grads", "block long", "values array<double>"), keep)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(list(rows), ignore_index=True)
-        pdf = pdf.sort_values(["at", "step"], kind="stable", ignore_index=True)
+        # Only the numbers of all points are held at once; the rules and the rows that leave
+        # take a slice of them at a time.
+        pdf = pd.concat([part[POINT] for part in rows], ignore_index=True)
+        order = np.lexsort((pdf["step"].to_numpy(), pdf["at"].to_numpy()))
         points, n_grads, increases, best, last_ts, last_step, last_pass, timer = self.place.get() or (
             0, 0, 0, None, None, None, None, None,
         )
-        late = np.zeros(len(pdf), dtype=bool)
-        if last_ts is not None:
-            at, step = pdf["at"], pdf["step"]
-            late = ((at < last_ts) | ((at == last_ts) & (step <= last_step))).to_numpy()
-        result = pdf[["at", "step", "loss"]].copy()
-        result["late"] = late
-        fresh = pdf[~late].reset_index(drop=True)
-        if len(fresh):
-            losses = fresh["loss"].to_numpy(dtype=float)
-            grads = {
-                "value": fresh["grad_norm"].to_numpy(dtype=float),
-                "nan": fresh["grad_nan"].to_numpy(dtype=bool),
-            }
-            known = {
-                "losses": self.losses.read(points),
-                "grads": self.grads.read(n_grads),
-                "increases": increases,
-                "best": np.nan if best is None else best,
-            }
-            moved = _advance(losses, grads, known, self.rules)
-            out = pd.DataFrame(
-                {
-                    "row_no": points + 1 + np.arange(len(fresh)),
-                    "increases": moved["increases"],
-                    "best_loss": moved["best"],
-                    "anomaly": moved["label"],
+        known, added, added_grads, newest = None, 0, 0, None
+        for first in range(0, len(order), self.slice_points):
+            part = pdf.take(order[first : first + self.slice_points]).reset_index(drop=True)
+            late = np.zeros(len(part), dtype=bool)
+            if last_ts is not None:
+                at, step = part["at"], part["step"]
+                late = ((at < last_ts) | ((at == last_ts) & (step <= last_step))).to_numpy()
+            result = part[["at", "step", "loss"]].copy()
+            result["late"] = late
+            fresh = part[~late].reset_index(drop=True)
+            if len(fresh):
+                losses = fresh["loss"].to_numpy(dtype=float)
+                grads = {
+                    "value": fresh["grad_norm"].to_numpy(dtype=float),
+                    "nan": fresh["grad_nan"].to_numpy(dtype=bool),
                 }
-            )
-            hit = out["anomaly"].to_numpy() != ""
-            out["anomaly"] = out["anomaly"].where(hit, None)
-            at = fresh["at"].to_numpy(dtype=np.int64)[hit]
-            critical = out["anomaly"][hit].isin(CRITICAL_TRIGGERS).to_numpy()
-            passes = _passes(at, critical, self.gap, last_pass)
-            out["passed"] = None
-            out.loc[hit, "passed"] = passes
-            _snapshots(out, moved, losses, self.rules)
-            out.index = np.flatnonzero(~late)
-            result = result.join(out)
-            self.losses.write(points, moved["series"], len(losses))
-            new_grads = int(moved["grads_new"][-1])
-            self.grads.write(n_grads, moved["grad_series"], new_grads)
-            best = float(moved["best"][-1])
-            timer = self._wait(timer, timerValues)
+                known = known or {
+                    "losses": self.losses.read(points),
+                    "grads": self.grads.read(n_grads),
+                    "increases": increases,
+                    "best": np.nan if best is None else best,
+                }
+                moved = _advance(losses, grads, known, self.rules)
+                out = pd.DataFrame(
+                    {
+                        "row_no": points + added + 1 + np.arange(len(fresh)),
+                        "increases": moved["increases"],
+                        "best_loss": moved["best"],
+                        "anomaly": moved["label"],
+                    }
+                )
+                hit = out["anomaly"].to_numpy() != ""
+                out["anomaly"] = out["anomaly"].where(hit, None)
+                at = fresh["at"].to_numpy(dtype=np.int64)[hit]
+                critical = out["anomaly"][hit].isin(CRITICAL_TRIGGERS).to_numpy()
+                passes = _passes(at, critical, self.gap, last_pass)
+                out["passed"] = None
+                out.loc[hit, "passed"] = passes
+                _snapshots(out, moved, losses, self.rules)
+                out.index = np.flatnonzero(~late)
+                result = result.join(out)
+                added += len(fresh)
+                added_grads += int(moved["grads_new"][-1])
+                last_pass = int(at[passes][-1]) if passes.any() else last_pass
+                newest = fresh["at"].iloc[-1], fresh["step"].iloc[-1]
+                known = {
+                    "losses": moved["series"][-self.losses.keep :],
+                    "grads": moved["grad_series"][-self.grads.keep :],
+                    "increases": int(moved["increases"][-1]),
+                    "best": float(moved["best"][-1]),
+                }
+            yield _shaped(result, key[0])
+        if added:
+            self.losses.write(points, known["losses"], added)
+            self.grads.write(n_grads, known["grads"], added_grads)
             self.place.update(
                 (
-                    points + len(fresh),
-                    n_grads + new_grads,
-                    int(moved["increases"][-1]),
-                    None if np.isnan(best) else best,
-                    int(fresh["at"].iloc[-1]),
-                    int(fresh["step"].iloc[-1]),
-                    int(at[passes][-1]) if passes.any() else last_pass,
-                    timer,
+                    points + added,
+                    n_grads + added_grads,
+                    known["increases"],
+                    None if np.isnan(known["best"]) else known["best"],
+                    int(newest[0]),
+                    int(newest[1]),
+                    last_pass,
+                    self._wait(timer, timerValues),
                 )
             )
-        yield _shaped(result, key[0])
 
     def _wait(self, timer: int | None, now) -> int | None:
         """Put the timer that ends an idle run's state off to ``idle_ms`` from now."""
