@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sftlens.plans.skew import bounded
 from sftlens.schemas import SESSION_STATE
 from sftlens.sources import state_table
 from sftlens.sources.session_files import STATE_FILE, normalize_session_state
@@ -71,14 +72,15 @@ def ingest_session_states(
     number = (seen.agg(F.max("number")).first()[0] or 0) + 1
     texts = _documents(spark, directories, name, one_per_file)
     # Only paths and times are compared; texts of files that were read before are not kept.
-    fresh = texts.join(seen.select("path", "modified"), ["path", "modified"], "left_anti")
+    fresh = texts.join(bounded(seen.select("path", "modified")), ["path", "modified"], "left_anti")
     schema = T.StructType([*SESSION_STATE.fields, T.StructField("_corrupt", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = fresh.withColumn("doc", F.from_json("text", schema, options))
+    good = F.col("doc").isNotNull() & F.col("doc._corrupt").isNull() & F.col("doc.session_id").isNotNull()
     batch = f"{target}/batches/number={number}"
-    parsed.write.mode("overwrite").parquet(batch)
+    # A text that was parsed lives on as its document.
+    parsed.withColumn("text", F.when(~F.coalesce(good, F.lit(False)), F.col("text"))).write.mode("overwrite").parquet(batch)
     parsed = spark.read.parquet(batch)
-    good = F.col("doc").isNotNull() & F.col("doc._corrupt").isNull() & F.col("doc.session_id").isNotNull()
     documents = normalize_session_state(
         parsed.where(good).select(*[F.col(f"doc.{f.name}").alias(f.name) for f in SESSION_STATE.fields], "path", "modified")
     )

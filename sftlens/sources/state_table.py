@@ -55,14 +55,15 @@ def merge_batch(
     give the same in any order and grouping. ``batch`` has one or more rows per key.
     """
     spark = batch.sparkSession
-    rows = merge(batch)
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    # At most ``buckets`` numbers.
-    touched = sorted(r[0] for r in rows.select(bucket).distinct().collect())
+    # At most ``buckets`` numbers; they take the keys only, which merging does not change.
+    touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())
     if touched:
         current = _current(spark, path, number)
-        known = _versions(spark, path, {b: v for b, v in current.items() if b in set(touched)}, rows.schema)
-        merged = merge(known.unionByName(rows)).withColumn("bucket", bucket)
+        schema = merge(batch).schema
+        known = _versions(spark, path, {b: v for b, v in current.items() if b in set(touched)}, schema)
+        # Known and new rows are merged in one shuffle.
+        merged = merge(known.unionByName(batch)).withColumn("bucket", bucket)
         # One file per bucket.
         merged.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
             f"{path}/rows/version={number}"
