@@ -15,9 +15,11 @@ from sftlens.catalog.adapters import (
     table,
 )
 from sftlens.catalog.registry import query
+from sftlens.catalog.sources import shared_folder
 from sftlens.catalog.telemetry import CLEAN, RULES, labels
 from sftlens.operators import sessions as S
 from sftlens.operators import telemetry
+from sftlens.plans.skew import bounded
 
 # Line items stand for the evaluations and decisions of their order.
 EVENTS_SQL = """,
@@ -304,12 +306,16 @@ def pending_actions(spark: SparkSession, sf: str) -> DataFrame:
 )
 def agent_context(spark: SparkSession, sf: str) -> DataFrame:
     points = runs(spark, sf)
-    summary = telemetry.metrics_summary(points, order=RUN_ORDER, rules=RULES)
+    # Summaries and triggers are used more than once: the rules look at all points for them.
+    summary = bounded(telemetry.metrics_summary(points, order=RUN_ORDER, rules=RULES))
     spikes = labels(points).where(F.col("anomaly") == "loss_spike")
     triggers = spikes.select(
         F.col("run_id").alias("session_id"), F.col("row_no").alias("seq"),
         F.col("anomaly").alias("trigger"),
     )
+    path = shared_folder(spark, "triggers")
+    triggers.write.parquet(path)
+    triggers = spark.read.schema(triggers.schema).parquet(path)
     states = summary.select(
         F.col("run_id").alias("session_id"),
         F.lit("training").alias("status"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sftlens.functions.numeric import finite
 from sftlens.functions.text import DASH, format_or_dash, json_text
-from sftlens.plans.skew import join_keys, last_rows
+from sftlens.plans.skew import bounded, join_keys, last_rows
 from sftlens.schemas import RESUMABLE, STATE_FIELDS
 
 # How the history names two of the states.
@@ -17,6 +17,8 @@ STATUS_LABELS = {"training": "running", "waiting_user": "waiting"}
 RECENT_SESSIONS = 10
 SUMMARY_DECISIONS = 5
 CONTEXT_POINTS = 50
+# Sessions whose states and histories, some kilobytes each, may be broadcast.
+CONTEXT_SESSIONS = 200
 
 
 def _updated(digits: int = 16) -> Column:
@@ -262,7 +264,11 @@ def agent_context(
         key,
         F.to_json(F.struct(*SUMMARY_FIELDS), {"ignoreNullFields": "false"}).alias("__state"),
     )
-    joined = join_keys(join_keys(triggers, state, [key], "inner"), history, [key], "left")
+    # Messages are long and a session may have many triggers: where states and histories are
+    # few, triggers are dealt out evenly instead of by session.
+    state, history = bounded(state, CONTEXT_SESSIONS), bounded(history, CONTEXT_SESSIONS)
+    spread = int(triggers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = join_keys(join_keys(triggers.repartition(spread), state, [key], "inner"), history, [key], "left")
     members = {
         "trigger": json_text(F.col("trigger")),
         "session_state": F.col("__state"),
