@@ -49,6 +49,12 @@ def _two_sums(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return upward.ravel()[: len(values)], downward.ravel()[: len(values)]
 
 
+def _coarse(value: float) -> float:
+    """The value's first 24 bits: multiples of it are exact, so windows of zeros have sum and mean zero."""
+    fraction, exponent = np.frexp(value)
+    return float(np.ldexp(np.trunc(np.ldexp(fraction, 24)), exponent - 24))
+
+
 def trailing_windows(values: np.ndarray, width: int) -> Windows:
     """Windows of up to ``width`` values; the first ones are shorter."""
     n = len(values)
@@ -57,7 +63,7 @@ def trailing_windows(values: np.ndarray, width: int) -> Windows:
     place = at % width
     count = np.minimum(at + 1, width)
     bad_from, bad_to = _two_sums(~finite, width)
-    offset = float(np.median(values[finite])) if finite.any() else 0.0
+    offset = _coarse(float(np.median(values[finite]))) if finite.any() else 0.0
     shifted = np.where(finite, values - offset, 0.0)
     sum_from, sum_to = _two_sums(shifted, width)
     by_place_from, by_place_to = _two_sums(shifted * place, width)
